@@ -103,6 +103,38 @@ def _name_distance(a: str, wa: list[str], b: str, wb: list[str]) -> float | None
     return best
 
 
+def spelling_links(forms: DataFrame) -> DataFrame:
+    """(a, b): each spelling with the one it is a slip of; forms: (id, name, words, n, mark), one row for each name.
+
+    ``n`` says how often a form is written. Forms whose ``mark`` is known and more than one letter apart are never linked.
+    """
+
+    def with_grams(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            yield pd.DataFrame({"id": p["id"], "grams": [grams([*w]) for w in p["words"]]})
+
+    schema = "id string, grams array<string>"
+    pairs = similar_sets(forms.select("id", "words").mapInPandas(with_grams, schema), NAME_JACCARD)
+    # Names run together have no words of their own: they are compared as one word with the joined forms of all.
+    joined = similar_sets(forms.select("id", F.array("name").alias("words")).mapInPandas(with_grams, schema), NAME_JACCARD)
+    pairs = pairs.select("a", "b").unionByName(joined.select("a", "b")).distinct()
+    left = forms.select(*[F.col(c).alias(f"{c}_a") for c in ("id", "name", "words", "n", "mark")])
+    right = forms.select(*[F.col(c).alias(f"{c}_b") for c in ("id", "name", "words", "n", "mark")])
+    both = pairs.join(left, F.col("a") == F.col("id_a")).join(right, F.col("b") == F.col("id_b")).where(F.coalesce(F.levenshtein("mark_a", "mark_b") <= 1, F.lit(True)))
+
+    def verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            d = [_name_distance(a, [*wa], b, [*wb]) for a, wa, b, wb in zip(p["name_a"], p["words_a"], p["name_b"], p["words_b"], strict=True)]
+            ok = [x is not None and not (min(m, n) >= OFTEN and max(m, n) < OFTEN_LEAD * min(m, n)) and not (min(m, n) >= 2 and x >= FAR) for x, m, n in zip(d, p["n_a"], p["n_b"], strict=True)]
+            yield p.assign(d=d).loc[ok, ["a", "b", "n_a", "n_b", "d"]].astype({"d": "float64"})
+
+    near = cut(both.mapInPandas(verify, "a string, b string, n_a long, n_b long, d double"))
+    # A spelling belongs to the nearest of those written more often; so a slip that lies between two names links only one.
+    swap = (F.col("n_b") > F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("b") < F.col("a")))
+    way = near.select(F.when(swap, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(swap, F.col("b")).otherwise(F.col("a")).alias("b"), F.greatest("n_a", "n_b").alias("n"), "d")
+    return way.groupBy("a").agg(F.min_by("b", F.struct(F.col("d"), -F.col("n"), F.col("b"))).alias("b"))
+
+
 def organisation_classes(labels: DataFrame, places: frozenset[str]) -> DataFrame:
     """(label, org): the class of each distinct label that may name one organisation; others do not come out."""
 
@@ -118,32 +150,8 @@ def organisation_classes(labels: DataFrame, places: frozenset[str]) -> DataFrame
     least = each.groupBy("key").agg(F.min("label").alias("a"), F.count("*").alias("m")).where("m > 1")
     same = each.join(least, "key").select("a", F.col("label").alias("b")).where("a <> b").distinct()
     # Alike names: the distinct joined forms, by q-grams.
-    forms = named.groupBy("name").agg(F.min("label").alias("id"), F.sum("n").alias("n"), F.min_by("words", "label").alias("words"))
-
-    def with_grams(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            yield p.assign(grams=[grams([*w]) for w in p["words"]])
-
-    forms = cut(forms.mapInPandas(with_grams, "name string, id string, n long, words array<string>, grams array<string>"))
-    pairs = similar_sets(forms, NAME_JACCARD)
-    # Names run together have no words of their own: they are compared as one word with the joined forms of all.
-    one = forms.select("id", F.array("name").alias("words"))
-    joined = cut(one.mapInPandas(with_grams, "id string, words array<string>, grams array<string>"))
-    pairs = pairs.select("a", "b").unionByName(similar_sets(joined, NAME_JACCARD).select("a", "b")).distinct()
-    left = forms.select(F.col("id").alias("a"), F.col("name").alias("na"), F.col("words").alias("wa"), F.col("n").alias("ca"))
-    right = forms.select(F.col("id").alias("b"), F.col("name").alias("nb"), F.col("words").alias("wb"), F.col("n").alias("cb"))
-
-    def verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            d = [_name_distance(a, [*wa], b, [*wb]) for a, wa, b, wb in zip(p["na"], p["wa"], p["nb"], p["wb"], strict=True)]
-            ok = [x is not None and not (min(m, n) >= OFTEN and max(m, n) < OFTEN_LEAD * min(m, n)) and not (min(m, n) >= 2 and x >= FAR) for x, m, n in zip(d, p["ca"], p["cb"], strict=True)]
-            yield p.assign(d=d).loc[ok, ["a", "b", "ca", "cb", "d"]].astype({"d": "float64"})
-
-    near = cut(pairs.join(left, "a").join(right, "b").mapInPandas(verify, "a string, b string, ca long, cb long, d double"))
-    # A spelling belongs to the nearest of those written more often; so a slip that lies between two names links only one.
-    swap = (F.col("cb") > F.col("ca")) | ((F.col("cb") == F.col("ca")) & (F.col("b") < F.col("a")))
-    way = near.select(F.when(swap, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(swap, F.col("b")).otherwise(F.col("a")).alias("b"), F.greatest("ca", "cb").alias("n"), "d")
-    alike = way.groupBy("a").agg(F.min_by("b", F.struct(F.col("d"), -F.col("n"), F.col("b"))).alias("b"))
+    forms = cut(named.groupBy("name").agg(F.min("label").alias("id"), F.sum("n").alias("n"), F.min_by("words", "label").alias("words")).withColumn("mark", F.lit(None).cast("string")))
+    alike = spelling_links(forms)
     # Cut names: a name that is the start of another, at most so many letters short, belongs to it if it has one such.
     longer = forms.select(F.col("id").alias("b"), "name").where(F.length("name") >= CUT_LEAST + 1)
     starts = longer.select("b", F.explode(F.expr(f"transform(sequence(greatest({CUT_LEAST}, length(name) - {CUT_MOST}), length(name) - 1), k -> substring(name, 1, k))")).alias("start"))

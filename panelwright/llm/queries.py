@@ -24,7 +24,7 @@ def p9_bins(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {"p8_ids": p8_ids, "p9_bins": p9_bins}
 ORACLES: dict[str, str] = {}
 
-for _name in ("language", "mainbody", "outlets", "payees", "standing", "variants"):
+for _name in ("language", "mainbody", "outlets", "payees", "standing", "turns", "variants"):
     _m = importlib.import_module(f"panelwright.llm.{_name}")
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES

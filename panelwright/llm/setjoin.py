@@ -19,25 +19,31 @@ def grams(words: list[str], q: int = 3) -> list[str]:
     return sorted(out)
 
 
-def similar_sets(sets: DataFrame, threshold: float, key: str = "id", items: str = "grams") -> DataFrame:
+def similar_sets(sets: DataFrame, threshold: float, key: str = "id", items: str = "grams", asks: str | None = None) -> DataFrame:
     """(a, b, jaccard), a < b: all pairs of rows of ``sets`` (key, array) with at least ``threshold`` similarity.
 
     Two sets that similar share one of their first n - ceil(t * n) + 1 items in any common order of the items;
     here the rarest come first, so only rows that share a rare item are paired. Then sizes, and then the sets
     themselves are compared. Rows with equal sets should be merged before. Null and empty sets pair with nothing.
+    ``asks`` names a boolean column: only pairs with a row that asks are returned.
     """
-    sets = sets.select(F.col(key).alias("id"), F.array_distinct(items).alias("items")).where(F.size("items") > 0)
-    each = sets.select("id", F.explode("items").alias("g"))
+    ask = F.col(asks) if asks else F.lit(True)
+    sets = sets.select(F.col(key).alias("id"), F.array_distinct(items).alias("items"), ask.alias("ask")).where(F.size("items") > 0)
+    each = sets.select("id", "ask", F.explode("items").alias("g"))
     count = each.groupBy("g").agg(F.count("*").alias("n"))
-    ordered = each.join(count, "g").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "g"))).alias("o"))
-    ordered = ordered.select("id", F.transform("o", lambda x: x["g"]).alias("o"))
+    ordered = each.join(count, "g").groupBy("id", "ask").agg(F.sort_array(F.collect_list(F.struct("n", "g"))).alias("o"))
+    ordered = ordered.select("id", "ask", F.transform("o", lambda x: x["g"]).alias("o"))
     ordered = cut(ordered)
     n = F.size("o")
-    first = ordered.select("id", n.alias("n"), F.explode(F.slice("o", F.lit(1), (n - F.ceil(F.lit(threshold - 1e-9) * n) + 1).cast("int"))).alias("g"))
+    first = ordered.select("id", "ask", n.alias("n"), F.explode(F.slice("o", F.lit(1), (n - F.ceil(F.lit(threshold - 1e-9) * n) + 1).cast("int"))).alias("g"))
     x, y = first.alias("x"), first.alias("y")
     sizes = (F.col("x.n") >= F.lit(threshold) * F.col("y.n")) & (F.col("y.n") >= F.lit(threshold) * F.col("x.n"))
-    pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.id") < F.col("y.id")) & sizes)
-    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    if asks:
+        # The rows that ask are joined with all, so that the others are never paired among themselves.
+        pairs = x.where("x.ask").join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.id") != F.col("y.id")) & sizes)
+    else:
+        pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.id") < F.col("y.id")) & sizes)
+    pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct() if asks else pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     left, right = ordered.select(F.col("id").alias("a"), F.col("o").alias("oa")), ordered.select(F.col("id").alias("b"), F.col("o").alias("ob"))
     both = pairs.join(left, "a").join(right, "b").withColumn("same", F.size(F.array_intersect("oa", "ob")))
     both = both.withColumn("jaccard", F.col("same") / (F.size("oa") + F.size("ob") - F.col("same")))

@@ -43,7 +43,7 @@ PERSON_LINK = 2.0
 WORD_JACCARD = 0.3
 #: The words of a name that are left out of the search weigh less than this share of all.
 REST = 0.35
-NAME_JACCARD = 0.4
+JOINED_JACCARD = 0.5
 NAME_MOST = 2.2
 
 
@@ -103,6 +103,29 @@ def _name_distance(a: str, wa: list[str], b: str, wb: list[str]) -> float | None
     return best
 
 
+def alike_words(vocabulary: DataFrame) -> DataFrame:
+    """(a, b) in both directions and with itself: words (w) within two edits, found by their q-grams."""
+
+    def with_grams(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            yield pd.DataFrame({"id": p["w"], "grams": [grams([w]) for w in p["w"]]})
+
+    pairs = similar_sets(vocabulary.mapInPandas(with_grams, "id string, grams array<string>"), WORD_JACCARD)
+    pairs = pairs.where(F.levenshtein("a", "b") <= 2).select("a", "b")
+    return cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(vocabulary.select(F.col("w").alias("a"), F.col("w").alias("b"))))
+
+
+def rarest_words(each: DataFrame, counts: DataFrame) -> DataFrame:
+    """(id, w): the rarest words of each name (id, w), up to where the others weigh less than REST of all.
+
+    Alike names share one of these words, but for a slip; counts: (w, weight). Words under four letters do not search.
+    """
+    weighed = each.join(counts, "w").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("weight", "w")), asc=False).alias("o"), F.sum("weight").alias("total"))
+    before = F.expr("aggregate(slice(o, 1, k), 0D, (s, y) -> s + y.weight)")
+    first = weighed.select("id", "total", "o", F.posexplode("o").alias("k", "x")).where(F.col("total") - before >= F.col("total") * REST).select("id", F.col("x.w").alias("w"))
+    return cut(first.where(F.length("w") >= 4))
+
+
 def spelling_links(forms: DataFrame) -> DataFrame:
     """(a, b): each spelling with the one it is a slip of; forms: (id, name, words, n, mark), one row for each name.
 
@@ -111,13 +134,20 @@ def spelling_links(forms: DataFrame) -> DataFrame:
 
     def with_grams(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            yield pd.DataFrame({"id": p["id"], "grams": [grams([*w]) for w in p["words"]]})
-
-    schema = "id string, grams array<string>"
-    pairs = similar_sets(forms.select("id", "words").mapInPandas(with_grams, schema), NAME_JACCARD)
+            yield pd.DataFrame({"id": p["id"], "grams": [grams([*w]) for w in p["words"]], "alone": p["alone"]})
+
+    # Names of several words: they share a word, but for a slip, among the rarest that make up most of their weight.
+    n = forms.count()
+    each = forms.select("id", F.explode(F.array_distinct("words")).alias("w"))
+    counts = cut(each.groupBy("w").agg(F.count("*").alias("c"))).withColumn("weight", F.log(F.lit(float(max(n, 2)) + 1) / F.col("c")))
+    alike = alike_words(counts.where(F.length("w") >= 4).select("w"))
+    words = rarest_words(each, counts)
+    near = words.join(alike, F.col("w") == F.col("a")).select("id", F.col("b").alias("v"))
+    pairs = near.join(words.select(F.col("id").alias("id_b"), "w"), F.col("v") == F.col("w")).where("id < id_b").select(F.col("id").alias("a"), F.col("id_b").alias("b"))
     # Names run together have no words of their own: they are compared as one word with the joined forms of all.
-    joined = similar_sets(forms.select("id", F.array("name").alias("words")).mapInPandas(with_grams, schema), NAME_JACCARD)
-    pairs = pairs.select("a", "b").unionByName(joined.select("a", "b")).distinct()
+    joined = forms.select("id", F.array("name").alias("words"), (F.size("words") == 1).alias("alone"))
+    joined = joined.mapInPandas(with_grams, "id string, grams array<string>, alone boolean")
+    pairs = pairs.unionByName(similar_sets(joined, JOINED_JACCARD, asks="alone").select("a", "b")).distinct()
     left = forms.select(*[F.col(c).alias(f"{c}_a") for c in ("id", "name", "words", "n", "mark")])
     right = forms.select(*[F.col(c).alias(f"{c}_b") for c in ("id", "name", "words", "n", "mark")])
     both = pairs.join(left, F.col("a") == F.col("id_a")).join(right, F.col("b") == F.col("id_b")).where(F.coalesce(F.levenshtein("mark_a", "mark_b") <= 1, F.lit(True)))
@@ -270,28 +300,22 @@ def person_classes(rows: DataFrame) -> DataFrame:
     each = records.select("id", F.explode(F.array_distinct(F.split("words", " "))).alias("w"))
     counts = cut(each.groupBy("w").agg(F.count("*").alias("c"))).withColumn("weight", F.log(F.lit(float(max(n, 2))) / F.col("c")))
 
-    def with_grams(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            yield pd.DataFrame({"id": p["w"], "grams": [grams([w]) for w in p["w"]]})
-
-    # Alike words: the distinct words of four letters and more, by q-grams.
-    vocabulary = counts.where(F.length("w") >= 4)
-    alike = similar_sets(vocabulary.select("w").mapInPandas(with_grams, "id string, grams array<string>"), WORD_JACCARD)
-    alike = alike.where(F.levenshtein("a", "b") <= 2).select("a", "b")
-    alike = cut(alike.unionByName(alike.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(vocabulary.select(F.col("w").alias("a"), F.col("w").alias("b"))))
-    # The rarest words of a record, up to where the others weigh less than a share of all: alike names share one of these.
-    weighed = each.join(counts, "w").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("weight", "w")), asc=False).alias("o"), F.sum("weight").alias("total"))
-    before = F.expr("aggregate(slice(o, 1, k), 0D, (s, y) -> s + y.weight)")
-    first = weighed.select("id", "total", "o", F.posexplode("o").alias("k", "x")).where(F.col("total") - before >= F.col("total") * REST).select("id", F.col("x.w").alias("w"))
-    words = cut(first.where(F.length("w") >= 4))
+    alike = alike_words(counts.where(F.length("w") >= 4).select("w"))
+    words = rarest_words(each, counts)
     near = words.join(alike, F.col("w") == F.col("a")).select("id", F.col("b").alias("v"))
     pairs = near.join(words.select(F.col("id").alias("id_b"), "w"), F.col("v") == F.col("w")).where("id < id_b").select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
     left = records.select(F.col("id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in same])
     right = records.select(F.col("id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in same])
     both = pairs.join(left, "a").join(right, "b")
-    # Another telephone, another place and not the same organisation: no name can make up for it, short of a slip in the telephone.
-    against = (F.col("tel_a") != F.col("tel_b")) & (F.levenshtein("tel_a", "tel_b") > 2) & (F.col("place_a") != F.col("place_b")) & ~F.coalesce(F.col("org_a") == F.col("org_b"), F.lit(False))
-    both = both.where(~F.coalesce(against, F.lit(False)))
+    # What no name can make up for is left out before names are compared: another telephone, or another place without
+    # the same telephone, unless the organisation is the same; and names whose words begin with other letters.
+    same_org = F.coalesce(F.col("org_a") == F.col("org_b"), F.lit(False))
+    slip = F.coalesce(F.levenshtein("tel_a", "tel_b") <= 2, F.lit(False))
+    other_tel = F.coalesce(F.col("tel_a") != F.col("tel_b"), F.lit(False)) & ~slip
+    other_place = F.coalesce(F.levenshtein("place_a", "place_b") > 2, F.lit(False)) & ~slip
+    firsts = lambda c: F.transform(F.split(c, " "), lambda w: F.substring(w, 1, 1))
+    apart = F.least(F.size(F.array_except(firsts("words_a"), firsts("words_b"))), F.size(F.array_except(firsts("words_b"), firsts("words_a"))))
+    both = both.where(same_org | ~(other_tel | other_place)).where(apart <= 1)
     # Weights of the pair's words go with the pair; common words have a small one, which is all that is needed of them.
     common = [r[0] for r in counts.where(F.col("weight") < TELLING).orderBy(F.desc("c")).limit(MAX_COMMON).select("w").collect()]
     shared = rows.sparkSession.sparkContext.broadcast(frozenset(common))

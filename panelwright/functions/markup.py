@@ -24,14 +24,14 @@ def tag_text(c: Column, tag: str) -> Column:
 
 def meta_content(c: Column, name: str) -> Column:
     """Content of the first meta element with a name or property, whichever attribute comes first; NULL if none."""
-    a = F.regexp_extract(c, rf"""(?is)<meta\b[^>]*?\b(?:name|property)\s*=\s*["']{name}["'][^>]*?\bcontent\s*=\s*["']([^"']*)["']""", 1)
-    b = F.regexp_extract(c, rf"""(?is)<meta\b[^>]*?\bcontent\s*=\s*["']([^"']*)["'][^>]*?\b(?:name|property)\s*=\s*["']{name}["']""", 1)
+    a = F.regexp_extract(c, rf"""(?is)<meta\b[^>]*?\b(?:name|property)\s*=\s*["']{name}["'][^>]*?\bcontent\s*=\s*(["'])(.*?)\1""", 2)
+    b = F.regexp_extract(c, rf"""(?is)<meta\b[^>]*?\bcontent\s*=\s*(["'])(.*?)\1[^>]*?\b(?:name|property)\s*=\s*["']{name}["']""", 2)
     return F.coalesce(F.nullif(a, F.lit("")), F.nullif(b, F.lit("")))
 
 
 def link_href(c: Column, rel: str) -> Column:
-    a = F.regexp_extract(c, rf"""(?is)<link\b[^>]*?\brel\s*=\s*["']{rel}["'][^>]*?\bhref\s*=\s*["']([^"']*)["']""", 1)
-    b = F.regexp_extract(c, rf"""(?is)<link\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*?\brel\s*=\s*["']{rel}["']""", 1)
+    a = F.regexp_extract(c, rf"""(?is)<link\b[^>]*?\brel\s*=\s*["']{rel}["'][^>]*?\bhref\s*=\s*(["'])(.*?)\1""", 2)
+    b = F.regexp_extract(c, rf"""(?is)<link\b[^>]*?\bhref\s*=\s*(["'])(.*?)\1[^>]*?\brel\s*=\s*["']{rel}["']""", 2)
     return F.coalesce(F.nullif(a, F.lit("")), F.nullif(b, F.lit("")))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,7 +139,7 @@ def jaro_winkler(a: str, b: str, p: float = 0.1) -> float:
     if not hit:
         return 0.0
     other = [b[j] for j in range(m) if used[j]]
-    t = sum(x != y for x, y in zip(hit, other, strict=True)) / 2
+    t = sum(x != y for x, y in zip(hit, other, strict=True)) // 2
     k = len(hit)
     jaro = (k / n + k / m + (k - t) / k) / 3
     same = 0
@@ -155,8 +156,6 @@ def fuzzy_pairs(names: DataFrame, name: str, block: Column, threshold: float = 0
     Only names of one block are compared; what the blocks keep apart is not found, so a block should be what
     similar names surely share. Similarities are computed in Arrow batches.
     """
-    import pandas as pd
-
     @F.pandas_udf("double")
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
@@ -198,8 +197,6 @@ def matching_blocks(pairs: DataFrame, key: str, left: str, right: str) -> DataFr
     """(key, left_at, right_at, size): matching blocks of two arrays of paragraphs of each row of ``pairs``."""
     import difflib
 
-    import pandas as pd
-
     kind = pairs.schema[key].dataType.simpleString()
 
     def run(parts):

@@ -50,7 +50,7 @@ def long(df: DataFrame, ids: list[str], columns: list[str], name: str = "name",
 
 def split_rows(df: DataFrame, column: str, sep: str, out: str) -> DataFrame:
     """One row for each non-empty trimmed piece of a delimited cell; rows without any fall away."""
-    parts = F.filter(F.transform(F.split(column, sep), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(column, sep), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
     return df.withColumn(out, F.explode(parts))
 
 

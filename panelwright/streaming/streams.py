@@ -14,7 +14,13 @@ def parquet_stream(spark: SparkSession, path: str, files_per_batch: int | None =
     """New Parquet files of a folder as a stream, with the schema of those that are there."""
     schema = spark.read.parquet(path).schema
     r = spark.readStream.schema(schema)
-    return (r.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else r).parquet(path)
+    r = r.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else r
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).isDirectory(hadoop):
+        return r.parquet(path)
+    # A single file is the folder it lies in, without its neighbours.
+    folder, name = path.rsplit("/", 1)
+    return r.option("pathGlobFilter", name).parquet(folder)
 
 
 def event_time(df: DataFrame, column: str, lateness: str) -> DataFrame:

@@ -55,7 +55,7 @@ def unambiguous_pairs(pairs: DataFrame, left: str, right: str) -> DataFrame:
     p = pairs.select(left, right).dropna().distinct()
     one_l = p.groupBy(left).agg(F.count("*").alias("n")).where("n = 1").select(left)
     one_r = p.groupBy(right).agg(F.count("*").alias("n")).where("n = 1").select(right)
-    return p.join(one_l, left, "left_semi").join(one_r, right, "left_semi")
+    return p.join(one_l, left, "left_semi").join(one_r, right, "left_semi").select(left, right)
 
 
 def with_fallback(rows: DataFrame, first: DataFrame, second: DataFrame, key: str, value: str, names: tuple[str, str] = ("first", "second")) -> DataFrame:

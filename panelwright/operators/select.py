@@ -109,7 +109,7 @@ def prune_to_support(df: DataFrame, rules: list[tuple[list[str], int]], max_roun
         n = m
         for keys, least in rules:
             ok = now.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select(*keys)
-            now = now.join(ok, keys, "left_semi")
+            now = now.join(ok, keys, "left_semi").select(*df.columns)
         now = cut(now)
     raise RuntimeError("support did not settle")
 

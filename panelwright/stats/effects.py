@@ -319,10 +319,10 @@ def unit_bootstrap(df: DataFrame, y: str, treated: str, unit: str, date: str, dr
                 for _ in range(500):
                     a = _mean(u[c], (y - b[t])[c], w[c], n_u)
                     new = _mean(t[c], (y - a[u])[c], w[c], n_t)
-                    new = np.where(np.isnan(new), 0.0, new)
-                    if np.nanmax(np.abs(new - b)) < 1e-10:
-                        break
+                    moved = np.nanmax(np.abs(new - b)) if (~np.isnan(new)).any() else 0.0
                     b = new
+                    if moved < 1e-10:
+                        break
                 e = (y - a[u] - b[t])[d]
                 ok = ~np.isnan(e)
                 out.append(float((e * w[d])[ok].sum() / w[d][ok].sum()) if w[d][ok].sum() > 0 else None)
@@ -335,7 +335,8 @@ def unit_bootstrap(df: DataFrame, y: str, treated: str, unit: str, date: str, dr
 
 
 def _mean(k: np.ndarray, v: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
-    s, t = np.bincount(k, v * w, n), np.bincount(k, w, n)
+    # What was not drawn counts nothing, whatever its value.
+    s, t = np.bincount(k, np.where(w > 0, v * w, 0.0), n), np.bincount(k, w, n)
     return np.divide(s, t, out=np.full(n, np.nan), where=t > 0)
 
 

@@ -256,6 +256,8 @@ def person_alike(a: list[str], b: list[str], weight) -> float:
 
 #: Weight (natural logarithm of rows per row with the word) from which a word tells persons apart.
 TELLING = 4.6
+#: A word of so few records tells persons apart in a small table too.
+FEW = 3
 
 
 def _tel_evidence(a: str | None, b: str | None) -> float:
@@ -317,7 +319,7 @@ def person_classes(rows: DataFrame) -> DataFrame:
     apart = F.least(F.size(F.array_except(firsts("words_a"), firsts("words_b"))), F.size(F.array_except(firsts("words_b"), firsts("words_a"))))
     both = both.where(same_org | ~(other_tel | other_place)).where(apart <= 1)
     # Weights of the pair's words go with the pair; common words have a small one, which is all that is needed of them.
-    common = [r[0] for r in counts.where(F.col("weight") < TELLING).orderBy(F.desc("c")).limit(MAX_COMMON).select("w").collect()]
+    common = [r[0] for r in counts.where((F.col("weight") < TELLING) & (F.col("c") > FEW)).orderBy(F.desc("c")).limit(MAX_COMMON).select("w").collect()]
     shared = rows.sparkSession.sparkContext.broadcast(frozenset(common))
 
     def verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

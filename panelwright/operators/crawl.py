@@ -76,3 +76,38 @@ def group_lists(df: DataFrame, key: str, value: str, fn, schema: str) -> DataFra
             yield pd.concat([fn(k, [*v]) for k, v in zip(p[key], p[value], strict=True)] or [pd.DataFrame()])
 
     return g.mapInPandas(run, schema)
+
+
+def wordpress_posts(df: DataFrame, key: str, payload: str) -> DataFrame:
+    """(key, post_id, url, slug, title, published, modified) of pages of a posts interface; broken pages give none."""
+    kind = "array<struct<id:bigint,link:string,slug:string,date_gmt:string,modified_gmt:string,title:struct<rendered:string>>>"
+    p = df.select(key, F.explode(F.from_json(payload, kind)).alias("p"))
+    return p.select(key, F.col("p.id").alias("post_id"), F.col("p.link").alias("url"), "p.slug", F.col("p.title.rendered").alias("title"), F.col("p.date_gmt").alias("published"), F.col("p.modified_gmt").alias("modified"))
+
+
+def news_index_articles(df: DataFrame, key: str, payload: str) -> DataFrame:
+    """(key, url, title, seendate, domain, language, sourcecountry, socialimage) of answers of a news index."""
+    kind = "struct<articles:array<struct<url:string,title:string,seendate:string,domain:string,language:string,sourcecountry:string,socialimage:string>>>"
+    return df.select(key, F.explode(F.from_json(payload, kind)["articles"]).alias("a")).select(key, "a.*")
+
+
+def archive_captures(df: DataFrame, line: str) -> DataFrame:
+    """(captured_at, url, mime, status, digest) of lines of an archive's index: key, stamp, url, mime, status, digest."""
+    w = F.split(F.trim(line), " ")
+    from panelwright.functions.dates import capture_time
+
+    ok = (F.size(w) >= 6) & F.get(w, F.lit(1)).rlike(r"^\d{14}$")
+    return df.where(ok).select(capture_time(F.get(w, F.lit(1))).alias("captured_at"), F.get(w, F.lit(2)).alias("url"), F.get(w, F.lit(3)).alias("mime"), F.get(w, F.lit(4)).try_cast("int").alias("status"), F.get(w, F.lit(5)).alias("digest"))
+
+
+def quota_plan(n_requests: int, cost: int, keys: int, quota: int) -> list[tuple[int, int]]:
+    """(key number, requests) for a pool of keys with a quota each, in order; raises if the pool is too small. A plan."""
+    each, left, out = quota // cost, n_requests, []
+    for k in range(keys):
+        if left <= 0:
+            break
+        out.append((k, min(each, left)))
+        left -= each
+    if left > 0:
+        raise ValueError(f"{left} requests are beyond the quota of {keys} keys")
+    return out

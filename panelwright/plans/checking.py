@@ -188,6 +188,56 @@ def _(spark, d):
     return spark.read.parquet(*parts).agg(F.count("*").alias("n"))
 
 
+@query("s12_news_index", "select source_id, url, title, seendate, domain, language, sourcecountry, socialimage from gdelt_urls where source_id is not null")
+def _(spark, d):
+    from panelwright.operators.crawl import news_index_articles
+
+    t = table(spark, d, "gdelt_urls").where("source_id is not null")
+    page = t.select("source_id", (F.col("url_row") % 8).alias("page"), F.struct("url", "title", "seendate", "domain", "language", "sourcecountry", "socialimage").alias("a"))
+    answers = page.groupBy("source_id", "page").agg(F.to_json(F.struct(F.collect_list("a").alias("articles"))).alias("payload"))
+    return news_index_articles(answers, "source_id", "payload")
+
+
+@query("s12_posts", "select source_id, wp_post_id as post_id, url, title from articles where wp_post_id is not null and source_id is not null")
+def _(spark, d):
+    from panelwright.operators.crawl import wordpress_posts
+
+    t = table(spark, d, "articles").where("wp_post_id is not null and source_id is not null")
+    post = F.struct(F.col("wp_post_id").alias("id"), F.col("url").alias("link"), F.struct(F.col("title").alias("rendered")).alias("title"))
+    pages = t.groupBy("source_id", (F.col("article_row") % 8).alias("page")).agg(F.to_json(F.collect_list(post)).alias("payload"))
+    return wordpress_posts(pages, "source_id", "payload").select("source_id", "post_id", "url", "title")
+
+
+@query("s12_captures", "select url, status, strftime(scrape_timestamp, '%Y-%m-%d %H:%M:%S') as captured_at from sitemap_articles where url not like '% %' and status is not null and scrape_timestamp is not null")
+def _(spark, d):
+    from panelwright.operators.crawl import archive_captures
+
+    t = table(spark, d, "sitemap_articles").where("url not like '% %' and status is not null and scrape_timestamp is not null")
+    line = F.concat_ws(" ", F.lit("key"), F.date_format("scrape_timestamp", "yyyyMMddHHmmss"), "url", F.lit("text/html"), F.col("status").cast("string"), F.lit("DIGEST"))
+    return archive_captures(t.select(line.alias("line")), "line").select("url", "status", F.date_format("captured_at", "yyyy-MM-dd HH:mm:ss").alias("captured_at"))
+
+
+@query("s13_quota_plan")
+def _(spark, d):
+    from panelwright.operators.crawl import quota_plan
+
+    n = table(spark, d, "gdelt_urls").count()
+    return spark.createDataFrame(quota_plan(n, 1, 10, -(-n // 9)), "key_no int, n_requests int")
+
+
+@query("q6_file_hashes")
+def _(spark, d):
+    return Q.file_hashes(spark, d, "{nation,region}.parquet")
+
+
+@query("q2_lookup_contract", "select s_suppkey, n_name from supplier join nation on s_nationkey=n_nationkey")
+def _(spark, d):
+    from panelwright.operators.joins import lookup
+
+    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n_nationkey"))
+    return lookup(s, table(spark, d, "nation"), ["n_nationkey"], "inner").select("s_suppkey", "n_name")
+
+
 @query("s14_cached_lookup", "select distinct estado from contracts where estado is not null and estado not in (select estado from news_sources)")
 def _(spark, d):
     cache = table(spark, d, "news_sources").select("estado", F.lit(1).alias("lat")).distinct()

@@ -52,10 +52,16 @@ class LossyCounter:
             self.counts = {k: c for k, c in self.counts.items() if c[0] + c[1] > b}
 
 
-def candidates(df: DataFrame, source: str, text: str, keys_of: Callable[[str], set[str]], share: float, eps: float) -> DataFrame:
+#: The source under which keys of all rows together are counted.
+ALL = "*"
+
+
+def candidates(df: DataFrame, source: str, text: str, keys_of: Callable[[str], object], share: float, eps: float, wide: tuple[float, float] | None = None) -> DataFrame:
     """(source, key, n_least, n_rows): keys that may be in ``share`` of the source's rows with text.
 
-    Rows with a null source are a source of their own. Blank and null texts count as no row.
+    Rows with a null source are a source of their own. Blank and null texts count as no row. With ``wide``, the
+    (share, eps) of keys over all rows, ``keys_of`` gives two sets, those of the source and those of all rows,
+    which are counted in the same pass under the source ALL.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +72,15 @@ def candidates(df: DataFrame, source: str, text: str, keys_of: Callable[[str], s
                     c = by.get(s)
                     if c is None:
                         c = by[s] = LossyCounter(eps)
-                    c.add(keys_of(t))
+                    if wide is None:
+                        c.add(keys_of(t))
+                    else:
+                        own, every = keys_of(t)
+                        c.add(own)
+                        c = by.get(ALL)
+                        if c is None:
+                            c = by[ALL] = LossyCounter(wide[1])
+                        c.add(every)
         src, key, n, rows = [], [], [], []
         for s, c in by.items():
             src.append(s), key.append(None), n.append(0), rows.append(c.rows)
@@ -79,7 +93,8 @@ def candidates(df: DataFrame, source: str, text: str, keys_of: Callable[[str], s
     # The row of a source's total has no key; it goes to the source's keys by a join, not by a window over the group.
     totals = merged.where("key is null").select(F.col("source").alias("__s"), F.col("rows").alias("n_rows"))
     keys = merged.where("key is not null").join(broadcast_if_small(totals), F.col("source").eqNullSafe(F.col("__s")))
-    return keys.where(F.col("n_least") >= (share - eps) * F.col("n_rows")).select("source", "key", "n_least", "n_rows")
+    least = F.lit(share - eps) if wide is None else F.when(F.col("source") == ALL, F.lit(wide[0] - wide[1])).otherwise(F.lit(share - eps))
+    return keys.where(F.col("n_least") >= least * F.col("n_rows")).select("source", "key", "n_least", "n_rows")
 
 
 class SourceSets:

@@ -9,6 +9,7 @@ text nor a subheading between two pieces of it are outside the body again.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm.heavy import SourceSets, candidates, short_key
+from panelwright.llm.heavy import ALL, SourceSets, candidates, short_key
 from panelwright.session import broadcast_if_small, cut
 from panelwright.sources.tables import table
 
@@ -45,25 +46,42 @@ _INNER_END = re.compile(r"""[.!?…]['"”’»)]* \W*\w""")
 _SUBHEAD_WORDS = 4
 
 
+_FIGURES = re.compile(r"\d+")
+
+
+def _line_key(line: str) -> str:
+    if not line.isascii() and not unicodedata.is_normalized("NFKC", line):
+        line = unicodedata.normalize("NFKC", line)
+    return short_key(" ".join(_FIGURES.sub("#", line.casefold()).split()).strip(" .,:;!-–—|·•*"))
+
+
+#: Short lines return often; their keys are kept.
+_short_line_key = functools.lru_cache(maxsize=300_000)(_line_key)
+
+
 def line_key(line: str) -> str:
-    """A line without letter case, marks at its ends and the figures in it; of up to one word it keeps all."""
-    s = unicodedata.normalize("NFKC", line).casefold()
-    s = re.sub(r"\d+", "#", s)
-    return short_key(" ".join(s.split()).strip(" .,:;!-–—|·•*"))
+    """A line without letter case, marks at its ends and the figures in it."""
+    return _short_line_key(line) if len(line) <= 90 else _line_key(line)
 
 
-def page_keys(text: str) -> set[str]:
-    return {k for x in text.split("\n") if x and not x.isspace() and (k := line_key(x))}
+def page_keys(text: str) -> tuple[set[str], set[str]]:
+    """Keys of a page's lines, and of its short ones."""
+    own, short = set(), set()
+    for x in text.split("\n"):
+        if x and not x.isspace() and (k := line_key(x)):
+            own.add(k)
+            if len(x) <= 90 and len(x.split()) <= _SUBHEAD_WORDS + 2:
+                short.add(k)
+    return own, short
 
 
-def short_keys(text: str) -> set[str]:
-    return {k for x in text.split("\n") if x and not x.isspace() and len(x.split()) <= _SUBHEAD_WORDS + 2 and (k := line_key(x))}
+def _plain_line(line: str) -> str:
+    return " ".join((_TAG.sub(" ", line) if "<" in line else line).split())
 
 
 def keyed_lines(text: str, own: set[str]) -> tuple[list[str], list[str]]:
     """Keys of ``own`` in a text, and those of them that stand between two lines of running text."""
-    lines = [" ".join(_TAG.sub(" ", x).split()) for x in text.split("\n")]
-    lines = [x for x in lines if x]
+    lines = [y for x in text.split("\n") if (y := _plain_line(x))]
     keys = [line_key(x) for x in lines]
     running = [_running(x) and k not in own for x, k in zip(lines, keys, strict=True)]
     found = {k for k in keys if k in own}
@@ -71,8 +89,11 @@ def keyed_lines(text: str, own: set[str]) -> tuple[list[str], list[str]]:
     return list(found), list(between)
 
 
+_WORDY = re.compile(r"\S*[^\W\d_]\S*")
+
+
 def _words(s: str) -> int:
-    return sum(any(c.isalpha() for c in w) for w in s.split())
+    return len(_WORDY.findall(s)) if len(s) < 200 else max(14, s.count(" "))
 
 
 def _running(s: str) -> bool:
@@ -99,8 +120,7 @@ def _subheading(s: str) -> bool:
 
 def body_lines(text: str, is_furniture, is_subheading) -> tuple[set[int], list[int]]:
     """(numbers of the body's lines, numbers of all non-blank lines) of a page's text."""
-    lines = [(i, " ".join(_TAG.sub(" ", x).split())) for i, x in enumerate(text.split("\n"))]
-    lines = [(i, x) for i, x in lines if x]
+    lines = [(i, y) for i, x in enumerate(text.split("\n")) if (y := _plain_line(x))]
     n = len(lines)
     keys = [line_key(x) for _, x in lines]
     known = [is_subheading(k) for k in keys]
@@ -150,9 +170,9 @@ def site_furniture(df: DataFrame, source: str, text: str, url: str) -> DataFrame
     Pages that come several times (the same url but for scheme, query and fragment) count once.
     """
     base = df.select(F.col(source).cast("string").alias("__src"), F.expr(page_hash(f"`{url}`")).alias("__page"), F.col(text).alias("__text"))
-    found = candidates(base, "__src", "__text", page_keys, SITE_SHARE * 0.8, EPS)
-    short = candidates(base.withColumn("__all", F.lit("*")), "__all", "__text", short_keys, SUBHEAD_SHARE, SUBHEAD_SHARE / 2)
-    sets, wide_sets = SourceSets(cut(found)), SourceSets(cut(short))
+    found = cut(candidates(base, "__src", "__text", page_keys, SITE_SHARE * 0.8, EPS, (SUBHEAD_SHARE, SUBHEAD_SHARE / 2)))
+    own, short = ~F.col("source").eqNullSafe(F.lit(ALL)), F.col("source").eqNullSafe(F.lit(ALL))
+    sets, wide_sets = SourceSets(found.where(own)), SourceSets(found.where(short))
     get, get_any = sets.getter(), wide_sets.getter()
     if wide_sets.value is None:
         raise RuntimeError("the short lines of all sites together are larger than a broadcast value may be; raise BROADCAST_SET_BYTES")
@@ -162,7 +182,7 @@ def site_furniture(df: DataFrame, source: str, text: str, url: str) -> DataFrame
             src, page, keys, between = [], [], [], []
             for s, p, t, given in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 if t and not t.isspace():
-                    all_keys, inner = keyed_lines(t, get(s, given) | get_any("*", None))
+                    all_keys, inner = keyed_lines(t, get(s, given) | get_any(ALL, None))
                     src.append(s), page.append(p), keys.append(all_keys), between.append(inner)
             texts = pa.list_(pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(page, pa.int64()), pa.array(keys, texts), pa.array(between, texts)], names=["source", "page", "keys", "between"])

@@ -35,6 +35,7 @@ MONTHS = set(
     "janeiro fevereiro marco abril maio junho julho setembro outubro novembro dezembro".split()
 )
 _TOKEN = re.compile(r"(?i:https?://|www\.)\S+|\d+|[^\W\d_]+")
+_LINKS = re.compile(r"(?i:https?://|www\.)\S+")
 _LINK = re.compile(r"(?i)https?://|www\.")
 HOLE = "#"
 
@@ -47,27 +48,34 @@ def fold(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if not unicodedata.combining(c))
 
 
+@functools.lru_cache(maxsize=400_000)
+def _token(word: str) -> tuple[str, str, str]:
+    """What a token becomes at the head of a line, inside a line with letter case, and inside one without."""
+    if word[0].isdigit() or _LINK.match(word):
+        return HOLE, HOLE, HOLE
+    f = fold(word)
+    inside = HOLE if f in MONTHS else f
+    return f, (HOLE if word[0].isupper() else inside), inside
+
+
 def template(line: str) -> tuple[str, bool]:
     """The line's template, and whether its letter case shows which words are names."""
     if not line.isascii() and not unicodedata.is_normalized("NFC", line):
         line = unicodedata.normalize("NFC", line)
     words = _TOKEN.findall(line)
-    letters = [w for w in words if w[0].isalpha() and not _LINK.match(w)]
-    small = any(w[-1].islower() for w in letters)
-    large = any(w[0].isupper() for w in letters[1:])
-    cased = small and (large or (bool(letters) and letters[0][0].isupper()))
-    out: list[str] = []
-    for i, w in enumerate(words):
-        if w[0].isdigit() or _LINK.match(w):
-            w = HOLE
-        elif cased and i and w[0].isupper():
-            w = HOLE
-        else:
-            w = fold(w)
-            if w in MONTHS and i:
-                w = HOLE
-        if w != HOLE or not out or out[-1] != HOLE:
+    if not words:
+        return "", False
+    # Letter case shows names in a line of both cases; the letters of links say nothing.
+    bare = _LINKS.sub(" ", line) if "//" in line or "www." in line or "WWW." in line else line
+    cased = not (bare.isupper() or bare.islower())
+    k = 1 if cased else 2
+    last = _token(words[0])[0]
+    out = [last]
+    for w in words[1:]:
+        w = _token(w)[k]
+        if w != HOLE or last != HOLE:
             out.append(w)
+        last = w
     return " ".join(out), cased
 
 
@@ -82,6 +90,19 @@ def keys_of(text: str) -> set[str]:
     return out
 
 
+def first_words(keys: set[str]) -> frozenset[str] | None:
+    """The words that keys begin with; None if a key does not show its words."""
+    return None if any(k.startswith("\x02") for k in keys) else frozenset(k.split(" ", 1)[0] for k in keys)
+
+
+def begins(line: str, firsts: frozenset[str] | None) -> bool:
+    """Whether a line begins like one of the keys; a quick test before its template is made."""
+    if firsts is None or HOLE in firsts:
+        return True
+    m = _TOKEN.search(line)
+    return m is not None and _token(m[0])[0] in firsts
+
+
 def _matcher(keys: set[str]):
     """The template with place holders that a line without letter case fits, or None."""
     holes = sorted(k for k in keys if HOLE in k.split(" ") and not k.startswith("\x02"))
@@ -136,9 +157,10 @@ def line_hits(df: DataFrame, row_id: str, source: str, text: str, sets: SourceSe
                 if match is None:
                     if len(matchers) > 500:
                         matchers.clear()
-                    match = matchers[s] = _matcher(own)
+                    match = matchers[s] = (_matcher(own), first_words(own))
+                match, firsts = match
                 for no, line in enumerate(t.split("\n")):
-                    if not line or line.isspace():
+                    if not line or not begins(line, firsts):
                         continue
                     k = held(line, own, match)
                     if k:

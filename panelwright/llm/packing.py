@@ -27,7 +27,7 @@ BLOCK_ITEMS = 20_000
 FULL = 0.999
 ROUNDS = 2
 #: Distinct vectors scored at a time, from the largest that fit downwards.
-CANDIDATES = 128
+CANDIDATES = 96
 
 
 def pack_vectors(size: np.ndarray, limit: np.ndarray) -> np.ndarray:
@@ -41,45 +41,48 @@ def pack_vectors(size: np.ndarray, limit: np.ndarray) -> np.ndarray:
     if not n:
         return out
     kinds, inverse, counts = np.unique(size, axis=0, return_inverse=True, return_counts=True)
-    inverse = inverse.reshape(-1)
+    # Kinds in falling order of tokens, so that those that fit the room for tokens are a tail of the list.
+    inverse = len(counts) - 1 - inverse.reshape(-1)
     kinds, counts = kinds[::-1].copy(), counts[::-1].copy()
-    inverse = len(counts) - 1 - inverse
     members = np.argsort(inverse, kind="stable")
     next_of = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    share = kinds / limit
     left = counts.copy()
-    # Kinds are in falling order of tokens: those that fit the room for tokens are a tail of the list.
-    tokens = kinds[:, 0]
-    rising = -tokens
+    # The kinds that are left, side by side: their vectors, shares of the limits, and numbers.
     alive = np.arange(len(counts))
-    dead = 0
-    placed, bin_no = 0, -1
+    vec, share, have = kinds, kinds / (limit * limit), left
+    rising = -vec[:, 0]
+    placed = dead = 0
+    bin_no = -1
     room = np.zeros(d, kinds.dtype)
-    alive_tokens = rising[alive]
     while placed < n:
-        lo = int(np.searchsorted(alive_tokens, -room[0], "left")) if bin_no >= 0 else len(alive)
-        k = -1
+        lo = int(rising.searchsorted(-room[0])) if bin_no >= 0 else len(alive)
+        best = -1
         # The largest items that fit come first; the next ones count only if none of these fits.
-        while k < 0 and lo < len(alive):
-            near = alive[lo : lo + CANDIDATES]
-            fits = (left[near] > 0) & (kinds[near] <= room).all(axis=1)
-            if fits.any():
-                k = near[int(np.where(fits, share[near] @ (room / limit), -1.0).argmax())]
-            lo += CANDIDATES
-        if k < 0:
+        while best < 0 and lo < len(alive):
+            hi = lo + CANDIDATES
+            score = share[lo:hi] @ room
+            bad = (vec[lo:hi, 1:] > room[1:]).any(axis=1) | (have[lo:hi] <= 0)
+            score[bad] = -1.0
+            k = int(score.argmax())
+            if score[k] >= 0:
+                best = lo + k
+            lo = hi
+        if best < 0:
             bin_no += 1
-            room = limit.astype(kinds.dtype).copy()
+            room = limit.astype(kinds.dtype)
             continue
+        k = alive[best]
         out[members[next_of[k]]] = bin_no
         next_of[k] += 1
-        left[k] -= 1
+        have[best] -= 1
         placed += 1
-        room = room - kinds[k]
-        if not left[k]:
+        room = room - vec[best]
+        if not have[best]:
             dead += 1
-            if dead * 4 > len(alive):
-                alive = alive[left[alive] > 0]
-                alive_tokens = rising[alive]
+            if dead * 8 > len(alive):
+                keep = have > 0
+                alive, vec, share, have = alive[keep], vec[keep], share[keep], have[keep]
+                rising = -vec[:, 0]
                 dead = 0
     return out
 

@@ -29,11 +29,15 @@ N_FEATURES = 4000
 #: Short runs of words taken from each sample paragraph beside the whole, and the steepness of the confidence.
 RUNS = 4
 SCALE = 6.0
+#: Mean square below which a column is not scaled up further.
+RARE = 1e-3
 #: Lengths of the sample's paragraphs in characters; longer and shorter ones are scored, but not trained on.
 SAMPLE_CHARS = (40, 3000)
 #: A paragraph makes its document a mixed one if it has so many words and is sure, or has some and is very sure.
 MANY_WORDS, SURE = 8, 0.8
 SURE_WORDS, VERY_SURE = 4, 0.92
+#: How far a written label is believed before its text is read.
+TRUST = 0.8
 #: Words whose scores a worker keeps; beyond them it starts afresh.
 CACHED_WORDS = 1_000_000
 
@@ -135,6 +139,13 @@ class LanguageModel:
 
     def __init__(self, features: dict[str, int], machines: list[tuple[tuple[str, ...], tuple[str, ...]]], weights: np.ndarray, bias: np.ndarray, scale: float):
         self.features, self.machines, self.weights, self.bias, self.scale = features, machines, weights, bias, scale
+        #: Share of each language among all labels.
+        self.share = np.full(len(LANGUAGES), 1 / len(LANGUAGES))
+
+    def priors(self) -> dict[str | None, np.ndarray]:
+        """Prior probabilities of a document's language by its label's code: labels are mostly right."""
+        own = {x: TRUST * np.eye(len(LANGUAGES))[i] + (1 - TRUST) * self.share for i, x in enumerate(LANGUAGES)}
+        return own | {None: self.share}
 
     def word(self, w: str) -> np.ndarray:
         idx = [i for g in grams(w) if (i := self.features.get(g)) is not None]
@@ -197,7 +208,11 @@ def train(texts: list[str], labels: list[str], n_features: int = N_FEATURES) ->
             seen[g] = seen.get(g, 0) + 1
     top = sorted(seen, key=lambda g: (-seen[g], g))[:n_features]
     features = {g: i for i, g in enumerate(top)}
-    x = np.c_[_matrix(docs, features), np.ones(len(docs), np.float32)]
+    x = _matrix(docs, features)
+    # Rare n-grams count as much as common ones: columns are brought to one scale, which goes into the weights.
+    scale = 1 / np.sqrt((x * x).mean(axis=0) + RARE)
+    scale = (scale / np.sqrt((x * scale * x * scale).sum(axis=1).mean())).astype(np.float32)
+    x = np.c_[x * scale, np.ones(len(docs), np.float32)]
     y, size = np.array(langs), np.array([len(d) for d in docs])
     machines = [(FAMILIES["romance"], FAMILIES["germanic"])] + [((a,), (b,)) for f in FAMILIES.values() for a, b in combinations(f, 2)]
     sign = np.stack([np.where(np.isin(y, a), 1, -1) for a, _ in machines], axis=1).astype(np.float32)
@@ -209,7 +224,7 @@ def train(texts: list[str], labels: list[str], n_features: int = N_FEATURES) ->
             pick = (sign == s) & (weight > 0)
             weight /= np.where(pick, np.maximum(1, pick.sum(axis=0)) / (weight > 0).sum(axis=0).clip(1) * 2, 1)
         w, bias = _svms(x, sign, weight)
-        model = LanguageModel(features, machines, w, bias, SCALE)
+        model = LanguageModel(features, machines, w * scale[:, None], bias, SCALE)
         prob = model.probabilities(x[:, :-1] @ w + bias, size)
         keep = (np.array(LANGUAGES)[prob.argmax(axis=1)] == y) | (prob.max(axis=1) < 0.6)
     return model
@@ -242,7 +257,7 @@ def paragraphs(df: DataFrame, model: LanguageModel, key: str = "doc_id", text: s
         m: LanguageModel = shared.value
         index: dict[str, int] = {}
         table_ = np.zeros((1 << 15, m.weights.shape[1]), np.float32)
-        names = np.array(LANGUAGES)
+        names, priors = np.array(LANGUAGES), m.priors()
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 b = batch.slice(start, 2000)
@@ -271,13 +286,15 @@ def paragraphs(df: DataFrame, model: LanguageModel, key: str = "doc_id", text: s
                 total = np.add.reduceat(table_[np.array(ids)].astype(np.float64), starts, axis=0)
                 prob = m.probabilities(total / n[:, None] + m.bias, n)
                 best, conf = prob.argmax(axis=1), prob.max(axis=1)
-                # The document: the language with most words among its paragraphs, and its share of confidence.
+                # The document: the language that most of its words and, where these are few, its label speak for.
                 first = np.r_[0, np.flatnonzero(np.diff(doc_a)) + 1]
                 of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(doc_a)]))
-                mass = np.zeros((len(first), len(LANGUAGES)))
-                np.add.at(mass, (of, best), n * conf)
+                mass = np.add.reduceat(prob * n[:, None], first, axis=0) / np.add.reduceat(n, first)[:, None]
+                label = b.column(2).take(pa.array(doc_a[first])).to_pylist()
+                mass *= np.stack([priors[x] for x in label])
+                mass /= mass.sum(axis=1, keepdims=True)
                 main = mass.argmax(axis=1)
-                main_conf = mass[np.arange(len(main)), main] / np.bincount(of, weights=n)
+                main_conf = mass.max(axis=1)
                 # Sure paragraphs say which languages the document has; the others get the likeliest of those.
                 sure = ((n >= MANY_WORDS) & (conf >= SURE)) | ((n >= SURE_WORDS) & (conf >= VERY_SURE))
                 has = np.zeros((len(first), len(LANGUAGES)), bool)
@@ -299,7 +316,11 @@ def paragraphs(df: DataFrame, model: LanguageModel, key: str = "doc_id", text: s
 
 def languages(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Train on a bounded sample of the labelled rows of ``df`` and label all of its paragraphs."""
-    return paragraphs(df, train(*training_sample(df, text, lang)), key, text, lang)
+    model = train(*training_sample(df, text, lang))
+    counts = dict(df.groupBy(label_code(F.col(lang)).alias("code")).count().collect())  # a row for each language
+    n = np.array([counts.get(x, 0) + 1.0 for x in LANGUAGES])
+    model.share = n / n.sum()
+    return paragraphs(df, model, key, text, lang)
 
 
 def p10_languages(spark: SparkSession, folder: str) -> DataFrame:

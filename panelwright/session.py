@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,3 +61,23 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if plan_bytes(df) <= limit else df
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors once per context, so that their workers can import it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_panelwright_shipped", False):
+        return spark
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="panelwright-")
+    path = os.path.join(folder, "panelwright.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    # The context copies the file and serves it to the executors.
+    sc.addPyFile(path)
+    sc._panelwright_shipped = True
+    return spark

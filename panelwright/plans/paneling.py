@@ -81,14 +81,14 @@ def _(spark, d):
 
 @query(
     "d5_history",
-    """with w as (select * from (values ('m6', date '2001-02-01', date '2001-07-31'), ('y1', date '2000-08-01', date '2001-07-31'), ('y2', date '1999-08-01', date '2000-07-31')) t(name,a,b)), o as (select o_custkey, cast(o_orderdate as date) as day, o_totalprice as v, o_orderstatus<>'P' as seen from orders where o_orderdate < timestamp '2001-08-01')
-    select o_custkey, name as window_name, count(*) filter (where seen) as n_observed, round(sum(case when seen then v end),2) as v, round(sum(case when seen then v end)/nullif(count(*) filter (where seen),0),4) as v_per_day from o join w on day between a and b group by 1,2""",
+    """with w as (select * from (values ('m6', date '2001-02-01', date '2001-07-31'), ('y1', date '2000-08-01', date '2001-07-31'), ('y2', date '1999-08-01', date '2000-07-31')) t(name,a,b)), o as (select o_custkey, cast(o_orderdate as date) as day, round(o_totalprice) as v, o_orderstatus<>'P' as seen from orders where o_orderdate < timestamp '2001-08-01')
+    select o_custkey, name as window_name, count(*) filter (where seen) as n_observed, sum(case when seen then v end) as v, sum(case when seen then v end)/nullif(count(*) filter (where seen),0) as v_per_day from o join w on day between a and b group by 1,2""",
 )
 def _(spark, d):
     w = P.history_windows(spark, "2001-08-01", {"m6": (6, 0), "y1": (12, 0), "y2": (24, 12)})
-    o = table(spark, d, "orders").select("o_custkey", F.col("o_orderdate").cast("date").alias("day"), F.col("o_totalprice").alias("v"), (F.col("o_orderstatus") != "P").alias("seen")).where("day < '2001-08-01'")
+    o = table(spark, d, "orders").select("o_custkey", F.col("o_orderdate").cast("date").alias("day"), F.round("o_totalprice").alias("v"), (F.col("o_orderstatus") != "P").alias("seen")).where("day < '2001-08-01'")
     h = P.summarize_history(o, w, "o_custkey", "day", ["v"], "seen", "2001-08-01")
-    return h.select("o_custkey", F.col("window").alias("window_name"), "n_observed", F.round("v", 2).alias("v"), F.round("v_per_day", 4).alias("v_per_day"))
+    return h.select("o_custkey", F.col("window").alias("window_name"), "n_observed", "v", "v_per_day")
 
 
 @query(

@@ -201,6 +201,10 @@ def train(texts: list[str], labels: list[str], n_features: int = N_FEATURES) ->
                 at = int(rng.integers(0, max(1, len(w) - n + 1)))
                 docs.append(w[at : at + n])
                 langs.append(y)
+    machines = [(FAMILIES["romance"], FAMILIES["germanic"])] + [((a,), (b,)) for f in FAMILIES.values() for a, b in combinations(f, 2)]
+    if not docs:
+        # Nothing to learn from: the shares of the labels decide alone.
+        return LanguageModel({}, machines, np.zeros((0, len(machines)), np.float32), np.zeros(len(machines)), SCALE)
     seen: dict[str, int] = {}
     known: dict[str, set[str]] = {}
     for d in docs:
@@ -214,7 +218,6 @@ def train(texts: list[str], labels: list[str], n_features: int = N_FEATURES) ->
     scale = (scale / np.sqrt((x * scale * x * scale).sum(axis=1).mean())).astype(np.float32)
     x = np.c_[x * scale, np.ones(len(docs), np.float32)]
     y, size = np.array(langs), np.array([len(d) for d in docs])
-    machines = [(FAMILIES["romance"], FAMILIES["germanic"])] + [((a,), (b,)) for f in FAMILIES.values() for a, b in combinations(f, 2)]
     sign = np.stack([np.where(np.isin(y, a), 1, -1) for a, _ in machines], axis=1).astype(np.float32)
     part = np.stack([np.isin(y, a + b) for a, b in machines], axis=1)
     keep = np.ones(len(y), bool)

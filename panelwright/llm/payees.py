@@ -123,7 +123,7 @@ def payees(contracts: DataFrame) -> DataFrame:
     node = lambda tag, c: F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(tag), F.col(c)))
     pairs = rows.select(node("n", "name").alias("a"), node("c", "code").alias("b")).distinct()
     # Slips of a name that no tax code ties to it: joined by their spelling, unless the dates of their codes differ.
-    forms = rows.where("name is not null").groupBy("name").agg(F.min("words").alias("w"), F.count("*").alias("n"), F.mode("day").alias("mark"))
+    forms = rows.where("name is not null").groupBy("name").agg(F.min("words").alias("w"), F.count("*").alias("n"), F.mode("day", True).alias("mark"))
     forms = cut(forms.select(F.col("name").alias("id"), "name", F.array_except(F.split("w", " "), F.array(*[F.lit(x) for x in sorted(LINKS)])).alias("words"), "n", "mark"))
     slips = spelling_links(forms).select(node("n", "a").alias("a"), node("n", "b").alias("b"))
     roots = cut(components(pairs.dropna().unionByName(slips)))
@@ -191,7 +191,7 @@ def payee_matches(contracts: DataFrame, registry: DataFrame) -> tuple[DataFrame,
     by_name = by_name.join(total, "payee").withColumn("d", F.col("d") + F.least(F.lit(2.5), -F.log(F.col("k") / F.col("m")) * 0.6))
     best = by_name.groupBy("payee", "outlet_id").agg(F.min_by(F.struct("kind", "d"), "d").alias("n")).select("payee", "outlet_id", "n.kind", "n.d")
     # Dates: the payees whose code has the day an outlet was founded; legal names only, as other names would have matched.
-    facts = rows.groupBy("payee").agg(F.mode("day").alias("day"), F.mode("place").alias("place"), F.mode("words").alias("words"), F.collect_set("product").alias("products"))
+    facts = rows.groupBy("payee").agg(F.mode("day", True).alias("day"), F.mode("place", True).alias("place"), F.mode("words", True).alias("words"), F.collect_set("product").alias("products"))
     facts = cut(facts)
     r = spark.createDataFrame(
         [(x.outlet_id, x.founded, " ".join(tokens(x.estado)) if x.estado else None, x.medio, x.razon_social is not None) for x in listed] or [(0, None, None, None, False)],

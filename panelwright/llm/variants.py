@@ -151,6 +151,11 @@ def spelling_links(forms: DataFrame) -> DataFrame:
     left = forms.select(*[F.col(c).alias(f"{c}_a") for c in ("id", "name", "words", "n", "mark")])
     right = forms.select(*[F.col(c).alias(f"{c}_b") for c in ("id", "name", "words", "n", "mark")])
     both = pairs.join(left, F.col("a") == F.col("id_a")).join(right, F.col("b") == F.col("id_b")).where(F.coalesce(F.levenshtein("mark_a", "mark_b") <= 1, F.lit(True)))
+    # However words are turned, an edit changes two letters of a name at most: names whose letters in order differ by
+    # more than so many edits allow are left out before they are compared.
+    letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
+    edits = int(NAME_MOST / 0.7)
+    both = both.where((F.abs(F.length("name_a") - F.length("name_b")) <= edits) & (F.levenshtein(letters("name_a"), letters("name_b"), 2 * edits) >= 0))
 
     def verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -339,7 +344,7 @@ def person_classes(rows: DataFrame) -> DataFrame:
     roots = cut(components(links.where("sure")))
     records = records.join(roots.select("id", "root"), "id", "left").withColumn("person", F.coalesce("root", "id"))
     # Links by the name alone join two classes only if nothing known of these differs and neither has another such link.
-    known = cut(records.groupBy("person").agg(F.mode("tel").alias("tel"), F.mode("place").alias("place")))
+    known = cut(records.groupBy("person").agg(F.mode("tel", True).alias("tel"), F.mode("place", True).alias("place")))
     side = records.select("id", "person")
     weak = links.where("not sure").join(side.select(F.col("id").alias("a"), F.col("person").alias("pa")), "a").join(side.select(F.col("id").alias("b"), F.col("person").alias("pb")), "b")
     weak = weak.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()

@@ -96,16 +96,24 @@ def _words(s: str) -> int:
     return len(_WORDY.findall(s)) if len(s) < 200 else max(14, s.count(" "))
 
 
-def _running(s: str) -> bool:
+def _reads_on(s: str) -> bool:
     """Whether a line reads as running text: sentences, list items and quotations, not headlines or labels."""
     if _LINK_MARK.match(s):
         return False
     n = _words(s)
-    if n >= 3 and _SENTENCE_END.search(s) and not s.endswith(("...", "?»", "?")) and not _headline_quote(s):
+    # Only the end of a line says whether it ends a sentence.
+    if n >= 3 and _SENTENCE_END.search(s[-12:]) and not s.endswith(("...", "?»", "?")) and not (s[-1] in "»”\"" and _headline_quote(s)):
         return True
     return n >= 14 and bool(_INNER_END.search(s))
 
 
+_short_reads_on = functools.lru_cache(maxsize=300_000)(_reads_on)
+
+
+def _running(s: str) -> bool:
+    return _short_reads_on(s) if len(s) <= 90 else _reads_on(s)
+
+
 def _headline_quote(s: str) -> bool:
     """`The name: «the quotation»` without a full stop after the quotation."""
     return bool(re.search(r"""[:] ?[«"“][^«»"“”]*[»"”]$""", s)) and not s.rstrip("»”\"").endswith((".", "!"))

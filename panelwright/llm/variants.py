@@ -56,6 +56,9 @@ def remark(label: str) -> bool:
     return not any(len(x) >= 2 and not x.isdigit() for x in w) or all(x in REMARKS or x.isdigit() for x in w)
 
 
+_LONG_KINDS = tuple(k for k in KINDS if len(k) >= 4)
+
+
 def name_keys(label: str, places: frozenset[str]) -> tuple[str, list[str], list[str]]:
     """(name as joined letters, keys that equal names share, words) of an organisation's label."""
     ways = [(x, n) for x, n in spoken(label, places) if n <= 3]
@@ -65,7 +68,12 @@ def name_keys(label: str, places: frozenset[str]) -> tuple[str, list[str], list[
     for x, _ in ways:
         e = expand(x.split())
         own = [w for w in e if w not in LINKS]
-        if not any(w not in KINDS and len(w) >= 3 for w in own) or len(compact(own)) < 6 or (len(own) < 2 and not single):
+        if not any(w not in KINDS and len(w) >= 3 for w in own) or len(compact(own)) < 6:
+            continue
+        # One word that is left of several is a name run together only if no kind of medium was taken from it: what is
+        # left without its kind is a place that many media share.
+        lost = set(ways[0][0].split()) - set(x.split())
+        if len(own) < 2 and not single and any(expand([w])[0] in KINDS for w in lost) and not own[0].startswith(_LONG_KINDS):
             continue
         best = e
         keys += [core(e), compact(e)]
@@ -100,6 +108,8 @@ def _name_distance(a: str, wa: list[str], b: str, wb: list[str]) -> float | None
     figures = [sorted(x for x in w if x.isdigit()) for w in (wa, wb)]
     if len(wa) > 1 and len(wb) > 1 and figures[0] and figures[1] and figures[0] != figures[1]:
         return None
+    if best >= FAR_START and len(wa) > 1 and len(wb) > 1 and not set(max(wa, key=len)[:2]) & set(max(wb, key=len)[:2]):
+        return None
     return best
 
 
@@ -203,6 +213,8 @@ def organisation_classes(labels: DataFrame, places: frozenset[str]) -> DataFrame
 OFTEN, OFTEN_LEAD = 3, 4
 #: Nor are names so far apart, if both are written more than once.
 FAR = 1.7
+#: Nor are names so far apart whose longest words begin with other letters: slips seldom change both.
+FAR_START = 1.5
 #: Letters of a name cut short, at least, and letters it lacks, at most.
 CUT_LEAST, CUT_MOST = 9, 12
 

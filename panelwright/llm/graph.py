@@ -11,6 +11,11 @@ from panelwright.session import cut
 MAX_ROUNDS = 60
 
 
+def _state(edges: DataFrame) -> tuple:
+    """Number and two independent checksums of distinct links: equal for equal sets of links."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first())
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, root): the smallest id that each linked id can be reached from.
 
@@ -20,6 +25,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     edges = cut(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    state = _state(edges)
     for _ in range(MAX_ROUNDS):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Large star: the larger neighbours of an id go to its smallest neighbour or itself.
@@ -32,9 +38,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         new = small.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         new = cut(new)
-        changed = new.exceptAll(edges).limit(1).count() + edges.exceptAll(new).limit(1).count()
-        edges = new
-        if not changed:
+        edges, before, state = new, state, _state(new)
+        if state == before:
             break
     else:
         raise RuntimeError("classes did not settle")

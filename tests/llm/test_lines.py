@@ -101,3 +101,17 @@ def test_pages(spark):
     assert got[20] == {0: False, 1: True, 2: False}
     assert 90 not in got and 91 not in got and got[92] == {0: True}
     assert mainbody.outside_lines(df.limit(0)).count() == 0
+
+
+def test_standing_lines_that_begin_with_a_name(spark):
+    names = ["Ana", "Luis", "Rosa", "Juan", "Eva", "Raúl", "Inés", "Hugo", "Olga", "Iván", "Sara", "Tito"]
+    rows = [(i, "s", f"{x} Pérez, staff writer | January {i + 1}, 2020\nComparte esta nota\n{x} dijo algo {'abcdefghijkl'[i]}") for i, x in enumerate(names)]
+    rows += [(20 + i, "s", f"{x.upper()}HUACO, a {i + 1} de noviembre de 2023.-\ncuerpo {'abcdefghijkl'[i]} propio") for i, x in enumerate(names)]
+    # All in capitals, and a line that only ends like a standing line.
+    rows += [(50, "s", "LOLA LÓPEZ, STAFF WRITER | MAY 2, 2021"), (51, "s", "Escribió esta nota")]
+    df = spark.createDataFrame(rows, "article_row long, source_id string, main_text string")
+    lines, _ = standing.standing_lines(df)
+    want = sorted([(i, k) for i in range(12) for k in (0, 1)] + [(20 + i, 0) for i in range(12)] + [(50, 0)])
+    assert sorted((r["article_row"], r["line_no"]) for r in lines.collect()) == want
+    clean = {r["article_row"]: r["main_text"] for r in standing.without_standing_lines(df).collect()}
+    assert clean[0] == "Ana dijo algo a" and clean[20] == "cuerpo a propio" and clean[50] == "" and clean[51] == "Escribió esta nota"

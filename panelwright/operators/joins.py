@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -150,23 +155,97 @@ def jaro_winkler(a: str, b: str, p: float = 0.1) -> float:
     return jaro + same * p * (1 - jaro)
 
 
-def fuzzy_pairs(names: DataFrame, name: str, block: Column, threshold: float = 0.9) -> DataFrame:
-    """(left, right, similarity), left < right: pairs of distinct names of one block at or above ``threshold``.
+def _least_shared(n: int, threshold: float) -> int:
+    """Letters that a string of ``n`` has in common with any string it is similar to, at least.
 
-    Only names of one block are compared; what the blocks keep apart is not found, so a block should be what
-    similar names surely share. Similarities are computed in Arrow batches.
+    Four letters of common prefix add most, so Jaro is at least j = (threshold - 0.4) / 0.6. It is at most
+    (k / n + k / m + 1) / 3 for k common letters; as k / m is at most 1, k / n is at least 3 j - 2.
     """
-    @F.pandas_udf("double")
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    return max(0, math.ceil(((threshold - 0.4) / 0.6 * 3 - 2) * n - 1e-9))
 
-    n = names.select(F.col(name).alias("n"), block.alias("b")).dropna().distinct()
-    # Two strings whose lengths differ too much cannot reach the threshold: Jaro is at most (2 + short / long) / 3.
+
+def _choice(n: int, threshold: float) -> int:
+    """How many letters a name of ``n`` is paired by: SHARED, or fewer where there would be more than CHOICES of them."""
+    least = _least_shared(n, threshold)
+    return next((k for k in range(min(SHARED, least), 1, -1) if math.comb(n - least + k, k) <= CHOICES), min(1, least))
+
+
+def _letters(s: str) -> list[tuple[str, int]]:
+    """The letters of a string, each with how often it has come before."""
+    seen: dict[str, int] = {}
+    out = []
+    for c in s:
+        seen[c] = k = seen.get(c, -1) + 1
+        out.append((c, k))
+    return out
+
+
+def _letter_counts(strings: list[str]) -> np.ndarray:
+    """A row of letter counts for each string; letters that share a column only make strings look more alike."""
+    codes = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), dtype="uint32") % LETTER_COLUMNS
+    at = np.repeat(np.arange(len(strings)), [len(x) for x in strings])
+    return np.bincount(at * LETTER_COLUMNS + codes, minlength=len(strings) * LETTER_COLUMNS).reshape(len(strings), LETTER_COLUMNS).astype("int16")
+
+
+def fuzzy_pairs(names: DataFrame, name: str, threshold: float = 0.9) -> DataFrame:
+    """(left, right, similarity), left < right: all pairs of distinct names at or above ``threshold``.
+
+    Similar names have so many letters in common that, in any common order of the letters, they share k of the
+    first n - least + k letters of each; here the rarest come first. Names are paired by each choice of k of these
+    letters, then held against the bound by all their letters, then compared. Null names pair with nothing. Up to a threshold of 0.8 there is no such bound, and all names are compared with all.
+    """
     low = (threshold - 0.4) / 0.6 * 3 - 2
-    fits = F.least(F.length("x.n"), F.length("y.n")) >= F.lit(max(low, 0.0)) * F.greatest(F.length("x.n"), F.length("y.n"))
-    pairs = n.alias("x").join(n.alias("y"), (F.col("x.b") == F.col("y.b")) & (F.col("x.n") < F.col("y.n")) & fits)
-    pairs = pairs.select(F.col("x.n").alias("left"), F.col("y.n").alias("right")).distinct().withColumn("similarity", score("left", "right"))
-    return pairs.where(F.col("similarity") >= threshold)
+    n = cut(names.select(F.col(name).alias("n")).dropna().distinct())
+
+    def letters(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            count = Counter(x for s in p["n"] for x in _letters(s))
+            yield pd.DataFrame([(c, k, v) for (c, k), v in count.items()], columns=["c", "k", "v"]).astype({"k": "int64", "v": "int64"})
+
+    # The order only has to be the same for all names: letters beyond MOST_LETTERS are the rarest and follow their own.
+    often = n.mapInPandas(letters, "c string, k long, v long").groupBy("c", "k").agg(F.sum("v").alias("v")).orderBy(F.desc("v"), "c", "k").limit(MOST_LETTERS).collect()
+    rank = names.sparkSession.sparkContext.broadcast({(r["c"], r["k"]): -i for i, r in enumerate(often)})
+
+    def signs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        order = rank.value
+        for p in parts:
+            out = []
+            for s in p["n"]:
+                size, least = len(s), _least_shared(len(s), threshold)
+                items = sorted(_letters(s), key=lambda x: (order.get(x, -MOST_LETTERS), x))
+                # A pair shares as many letters as its shorter name needs at least, so the choices are of the size for that.
+                for k in sorted({_choice(q, threshold) for q in range(math.ceil(low * size - 1e-9), size + 1)}):
+                    for chosen in itertools.combinations(items[: size - least + k], k) if k else ():
+                        out.append((s, size, "".join(f"{c}{j}" for c, j in chosen)))
+            yield pd.DataFrame(out, columns=["n", "size", "sign"]).astype({"size": "int32"})
+
+    def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            a, b = p["left"].tolist(), p["right"].tolist()
+            if not a:
+                continue
+            k = np.minimum(_letter_counts(a), _letter_counts(b)).sum(axis=1)
+            jaro = (k / np.array([len(x) for x in a]) + k / np.array([len(x) for x in b]) + 1) / 3
+            same = np.array([next((i for i in range(4) if x[i : i + 1] != y[i : i + 1] or i >= len(x)), 4) for x, y in zip(a, b, strict=True)])
+            p = p[jaro + same * 0.1 * (1 - jaro) >= threshold - 1e-9]
+            s = np.array([jaro_winkler(x, y) for x, y in zip(p["left"], p["right"], strict=True)], dtype="float64")
+            yield p.assign(similarity=s)[s >= threshold]
+
+    if low <= 0:
+        pairs = n.alias("x").join(n.alias("y"), F.col("x.n") < F.col("y.n"))
+        return pairs.select(F.col("x.n").alias("left"), F.col("y.n").alias("right")).mapInPandas(score, "left string, right string, similarity double")
+    signed = cut(n.mapInPandas(signs, "n string, size int, sign string"))
+    fits = F.least("x.size", "y.size") >= F.lit(low) * F.greatest("x.size", "y.size") - 1e-9
+    pairs = signed.alias("x").join(signed.alias("y"), (F.col("x.sign") == F.col("y.sign")) & (F.col("x.n") < F.col("y.n")) & fits)
+    return pairs.select(F.col("x.n").alias("left"), F.col("y.n").alias("right")).mapInPandas(score, "left string, right string, similarity double").distinct()
+
+
+#: Letters that names are paired by, at most: more make longer lists of choices and fewer pairs.
+SHARED = 4
+CHOICES = 1000
+#: Letters, each with its number, that are ordered by how rare they are.
+MOST_LETTERS = 10_000
+LETTER_COLUMNS = 64
 
 
 def clusters(links: DataFrame, left: str, right: str, max_rounds: int = 50) -> DataFrame:

@@ -191,7 +191,7 @@ def _(spark, d):
 )
 def _(spark, d):
     n = table(spark, d, "attendance").select(F.lower(fold_accents(F.trim("medios"))).alias("n")).where("n <> ''")
-    return J.fuzzy_pairs(n, "n", F.substring("n", 1, 4), 0.97).withColumn("similarity", F.round("similarity", 6))
+    return J.fuzzy_pairs(n, "n", 0.97).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("j22_done", "select g.url_row from gdelt_urls g where not exists (select 1 from articles a where a.url = g.url and a.status = 200)")
@@ -209,7 +209,7 @@ def _(spark, d):
 @query("u12_clusters")
 def _(spark, d):
     n = table(spark, d, "attendance").select(F.lower(F.trim("medios")).alias("n")).where("n <> ''")
-    members = J.clusters(J.fuzzy_pairs(n, "n", F.substring("n", 1, 4), 0.97), "left", "right")
+    members = J.clusters(J.fuzzy_pairs(n, "n", 0.97), "left", "right")
     counts = n.groupBy(F.col("n").alias("member")).agg(F.count("*").alias("n"))
     return members.join(J.representatives(members, counts), "root").select("member", "representative")
 

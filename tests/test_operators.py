@@ -105,6 +105,29 @@ def test_unambiguous_pairs(spark):
     assert sorted(map(tuple, joins.unambiguous_pairs(df, "l", "r").collect())) == [("a", "x"), ("e", "w")]
 
 
+@pytest.mark.parametrize("threshold", [0.97, 0.7])
+def test_fuzzy_pairs_are_those_of_all_pairs(spark, threshold):
+    rng = np.random.default_rng(5)
+    names = {"agecnia lopaslucas", "agencia lopaslucas", "gruo jumilttanza", "grupo jumiltanza", "a", "ab", "ba", "abc", "acb", "abcd", "abdc", "", "ñandú x", "ñandu x"}
+    for base in ("el faro de cuzanhuaco", "radio nasal", "la voz", "diario vevilrosa", "canal 22", "la verdad de las regiones del norte y del sur de la patria"):
+        for _ in range(40):
+            w = list(base)
+            for _ in range(rng.integers(1, 4)):
+                i = int(rng.integers(0, len(w)))
+                how = rng.integers(0, 3)
+                if how == 0:
+                    del w[i]
+                elif how == 1:
+                    w.insert(i, "aeiourstz"[rng.integers(0, 9)])
+                elif i:
+                    w[i - 1], w[i] = w[i], w[i - 1]
+            names.add("".join(w))
+    got = {(r["left"], r["right"]) for r in joins.fuzzy_pairs(spark.createDataFrame([*((x,) for x in names), (None,)], "n string"), "n", threshold).collect()}
+    want = {(a, b) for a in names for b in names if a < b and joins.jaro_winkler(a, b) >= threshold}
+    assert got == want
+    assert ("agecnia lopaslucas", "agencia lopaslucas") in got
+
+
 def test_clusters_and_representatives(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y")], "l string, r string")
     m = joins.clusters(links, "l", "r")

@@ -128,7 +128,7 @@ def _(spark, d):
     g as (select * from f where day in (select day from f group by 1 having count(*) >= 5)) select user_id, day from g""",
 )
 def _(spark, d):
-    t = table(spark, d, "events").where("event_type = 'error' and user_id % 2 = 0").select("user_id", F.col("ts").cast("date").alias("day")).distinct()
+    t = table(spark, d, "events").where("event_type = 'error'").select("user_id", F.col("ts").cast("date").alias("day")).distinct()
     return S.prune_to_support(t, [(["user_id"], 8), (["day"], 5)])
 
 

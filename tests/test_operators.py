@@ -1,4 +1,6 @@
 import datetime
+import os
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -8,6 +10,7 @@ from panelwright.functions import dates, keys, markup, numbers
 from panelwright.operators import aggregates as A
 from panelwright.operators import contracts as Q
 from panelwright.operators import crawl, joins, panel, reshape, select, windows
+from panelwright.plans import joining, selections
 from panelwright.sources import tables
 from panelwright.stats import effects
 
@@ -221,3 +224,20 @@ def test_holm(spark):
     df = spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03), ("d", None)], "k string, p double")
     got = {r["k"]: r["p_holm"] for r in effects.holm(df, "p", "k").collect()}
     assert got["a"] == pytest.approx(0.03) and got["c"] == pytest.approx(0.06) and got["b"] == pytest.approx(0.06) and got["d"] is None
+
+
+def test_registered_queries_take_all_ids(spark, data):
+    t = tables.table(spark, data, "attendance").where("medios is not null")
+    got = [r[0] for r in joining.QUERIES["j16_dated_links"](spark, data).select("attendance_row").collect()]
+    assert sorted(got) == sorted(r[0] for r in t.select("attendance_row").collect())
+    larger = data.replace("sf0.001", "sf0.01")
+    if not os.path.isdir(larger):
+        pytest.skip("no test tables here")
+    left = {tuple(r) for r in tables.table(spark, larger, "events").where("event_type = 'error'").select("user_id", F.col("ts").cast("date")).collect()}
+    size = -1
+    while len(left) != size:
+        size = len(left)
+        for k, least in ((0, 8), (1, 5)):
+            n = Counter(x[k] for x in left)
+            left = {x for x in left if n[x[k]] >= least}
+    assert {tuple(r) for r in selections.QUERIES["proj_p14_support"](spark, larger).select("user_id", "day").collect()} == left != set()

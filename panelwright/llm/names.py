@@ -38,8 +38,10 @@ _AFTER = [p.split(" ") for p in AFTER]
 @lru_cache(maxsize=200_000)
 def plain(s: str) -> str:
     """Small ASCII letters, figures and marks; other characters fall away or lose their accents."""
+    if s.isascii():
+        return s.lower()
     s = unicodedata.normalize("NFKD", s.replace("ß", "ss"))
-    return "".join(c for c in s if not unicodedata.combining(c)).lower()
+    return "".join(c for c in s if c < "\x80" or not unicodedata.combining(c)).lower()
 
 
 def tokens(s: str) -> list[str]:

@@ -79,13 +79,71 @@ def test_turn_edges(spark):
 
 
 def test_precedence():
-    # Time marks order what has no row; a mark against the rows is dropped.
+    # Time marks order what has no row; the fewest marks against the rows are dropped; cues place what has no mark.
     assert turns.precedence_order([0, 1, None, 2], [0, 0, 0, 0], [10, 20, 25, 30]) == [0, 1, 2, 3]
     assert turns.precedence_order([0, 1, 2], [0, 0, 0], [30, 10, 20]) == [0, 1, 2]
+    assert turns.precedence_order([0, 1, 2, None], [0, 0, 0, 0], [99, 10, 20, 15]) == [0, 1, 3, 2]
     assert turns.precedence_order([1, 1, 0], [1, 0, 0], [None, None, None]) == [2, 1, 0]
+    assert turns.precedence_order([0, 1, 2, None, None], [0] * 5, [None] * 5, [None, "+video", None, "-video", None]) == [0, 1, 3, 2, 4]
     assert turns.precedence_order([], [], []) == []
 
 
+def test_longest_chain_is_the_longest():
+    rng = random.Random(5)
+    for _ in range(200):
+        marks = [(t, (rng.randrange(12), 0)) for t in range(rng.randint(0, 9))]
+        got = turns.longest_chain(marks)
+        assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(got, got[1:], strict=False))
+        sets = [[p for k, (_, p) in enumerate(marks) if m >> k & 1] for m in range(1 << len(marks))]
+        most = max(len(c) for c in sets if all(x < y for x, y in zip(c, c[1:], strict=False)))
+        assert len(got) == most
+
+
+@pytest.mark.parametrize("chunk", [5_000, 2])
+def test_rows_without_number_stand_between_their_marks(spark, chunk):
+    rows = [(0, "ANA PEREGRINA", "[00:10] Uno."), (1, "ANA PEREGRINA", "[00:30] Tres."), (None, "ZOILA VENTANAL", "[00:20] Dos."), (None, "ZOILA VENTANAL", "[00:20] Dos.")]
+    df = spark.createDataFrame([(1, *r, 0) for r in rows] + [(None, *r, 0) for r in rows], "conference_id long, source_row int, participant_raw string, text string, loaded_at int")
+    got = sorted(turns.speaker_turns(df, chunk, with_text=True).where("conference_id = 1").collect(), key=lambda r: r["turn_no"])
+    assert [(r["speaker"].split(" ")[0], r["first_row"], r["last_row"], r["text"]) for r in got] == [("ana", 0, 0, "Uno."), ("zoila", None, None, "Dos."), ("ana", 1, 1, "Tres.")]
+    assert turns.speaker_turns(df, chunk).where("conference_id is null").count() == 3
+
+
+def test_distributed_order_is_the_graph_order(spark):
+    rng = random.Random(6)
+    rows = []
+    for c in range(6):
+        for k in range(30):
+            t = rng.choice([None, None, rng.randrange(60)])
+            cue = rng.choice(["", "", "(inicia video)", "(concluye video)"])
+            rows.append((c, None if rng.random() < 0.3 else k, f"VOZ{c}{k}LARGA UNO", f"{'' if t is None else f'[00:{t:02d}] '}{cue} palabra{k}", 0))
+    df = spark.createDataFrame(rows, "conference_id long, source_row int, participant_raw string, text string, loaded_at int")
+    segs = [r.asDict() for r in turns.segments(df, True).collect()]
+    got = turns.speaker_turns(df, 7, with_text=True).orderBy("conference_id", "turn_no").collect()
+    for c in range(6):
+        mine = [s for s in segs if s["conference_id"] == c]
+        order = turns.precedence_order(*([s[k] for s in mine] for k in ("source_row", "seg_no", "at_s", "cue", "owner")))
+        want = [turns.clean_text(mine[i]["text"]) for i in order if mine[i]["words"]]
+        assert [x for r in got if r["conference_id"] == c for x in r["text"].split("\n")] == want
+
+
+def test_clean_text():
+    assert turns.clean_text("[00:01:02] Eh, la habrá *aplausos* en este país, o sea, mañana, ¿no?\n(risas)\nBueno, sí.") == "La habrá en este país, mañana\nSí."
+
+
+def test_roster_grows_with_its_labels():
+    import time
+
+    def took(n):
+        rng = random.Random(n)
+        labels = [("".join(rng.choices("abcdefghilmnoprstuv", k=9)).upper() + " " + "".join(rng.choices("abcdefghilmnoprstuv", k=10)).upper(), 1, True) for _ in range(n)]
+        at = time.process_time()
+        assert len(set(turns.roster(labels).values())) > 0.95 * n
+        return time.process_time() - at
+
+    took(50)
+    assert took(1600) < 12 * max(took(400), 0.05)
+
+
 def test_labels():
     got = turns.roster([("SECRETARIO DE OBRAS, JUAN LUMBERTO PINVEGA", 3, True), ("Juan Lumberto (secretario de obras)", 1, True), ("SECRETARIO DE OBRAS", 1, True), ("J. Lumberto", 1, True), ("INTERLOCTUOR", 1, True), ("NOTA DEL DÍA", 2, False), ("PREGUNTA (Ana Rosvega, El Faro)", 1, True), ("ANA ROSVEGA, EL FARO", 1, True)])
     assert len({got[k] for k in list(got) if "umberto" in k.lower() or k == "SECRETARIO DE OBRAS"}) == 1 and got["INTERLOCTUOR"] == "kind interlocutor" and got["NOTA DEL DÍA"] is None

@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Texts up to so many characters are leaves.
-LEAF_CHARS = 32_768
+#: Texts up to so many characters are leaves, and so many tokens when they are decoded.
+LEAF_CHARS = 2_048
+LEAF_TOKENS = 512
 #: Characters looked at first on either side of a border; doubled until a stable place is found.
 WINDOW_CHARS = 64
 #: Characters of text per Arrow batch that is handed on, so that long texts do not pile up.
@@ -53,7 +54,16 @@ class Codec:
         return self.encoding.encode_ordinary(text)
 
     def decode(self, ids: list[int]) -> str:
-        return self.encoding.decode(list(ids), errors="strict")
+        """The text of ids: halves are decoded to bytes, as a token may end within a character, and joined up the tree."""
+
+        def half(lo: int, hi: int) -> bytes:
+            if hi - lo <= LEAF_TOKENS:
+                return self.encoding.decode_bytes(ids[lo:hi])
+            mid = (lo + hi) // 2
+            return half(lo, mid) + half(mid, hi)
+
+        ids = list(ids)
+        return half(0, len(ids)).decode()
 
     def _tokens_of(self, ids: list[int], n_bytes: int, from_end: bool) -> int:
         """How many tokens at one end of ``ids`` cover exactly ``n_bytes``."""
@@ -148,6 +158,19 @@ def encode_texts(df: DataFrame, text: str = "text", key: str = "doc_id", path: s
     return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {key_type}, ids array<int>")
 
 
+def decode_ids(df: DataFrame, ids: str = "ids", key: str = "doc_id", path: str | None = None, out: str = "text") -> DataFrame:
+    """(key, out): the text of each row's ids; null and empty lists give an empty text. One narrow pass."""
+    path = path or tokenizer_path()
+    key_type = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], names=[key, out])
+
+    return df.select(key, ids).mapInArrow(run, f"`{key}` {key_type}, `{out}` string")
+
+
 def count_tokens(df: DataFrame, text: str = "text", path: str | None = None, leaf_chars: int = LEAF_CHARS, out: str = "n_tokens") -> DataFrame:
     """``df`` with the number of tokens of each text (0 for null and empty) in place of the text column."""
     path = path or tokenizer_path()

@@ -26,15 +26,18 @@ BLOCK_ITEMS = 20_000
 #: A container filled to this share of its tokens is closed in a round before the last.
 FULL = 0.999
 ROUNDS = 2
-#: Distinct vectors scored at a time, from the largest that fit downwards.
-CANDIDATES = 96
+#: Distinct vectors scored at a time, from the largest that fit downwards, until none that follows can score more.
+STEP = 128
+#: Loss-bearing tokens of a container as a share of its tokens.
+LOSS_SHARE = 0.95
 
 
 def pack_vectors(size: np.ndarray, limit: np.ndarray) -> np.ndarray:
     """Container numbers, from 0, of items with the vectors ``size`` (n x d) under ``limit`` (d).
 
-    Dot-product heuristic over the distinct vectors. No item may exceed a limit by itself. Ties go to the
-    larger vector in lexical order; equal vectors are taken in the order of the rows.
+    Dot-product heuristic over all distinct vectors that fit: they are scored from the one with the most tokens
+    downwards, until the largest parts of those that follow cannot give a higher product. No item may exceed a limit
+    by itself. Ties go to the larger vector in lexical order; equal vectors are taken in the order of the rows.
     """
     n, d = size.shape
     out = np.full(n, -1, np.int64)
@@ -51,21 +54,23 @@ def pack_vectors(size: np.ndarray, limit: np.ndarray) -> np.ndarray:
     alive = np.arange(len(counts))
     vec, share, have = kinds, kinds / (limit * limit), left
     rising = -vec[:, 0]
+    # What a kind or any behind it can have at most, in shares of the limits.
+    bound = np.maximum.accumulate(share[::-1], axis=0)[::-1]
     placed = dead = 0
     bin_no = -1
     room = np.zeros(d, kinds.dtype)
     while placed < n:
         lo = int(rising.searchsorted(-room[0])) if bin_no >= 0 else len(alive)
         best = -1
-        # The largest items that fit come first; the next ones count only if none of these fits.
-        while best < 0 and lo < len(alive):
-            hi = lo + CANDIDATES
+        most = -1.0
+        while lo < len(alive) and (best < 0 or bound[lo] @ room > most):
+            hi = lo + STEP
             score = share[lo:hi] @ room
             bad = (vec[lo:hi, 1:] > room[1:]).any(axis=1) | (have[lo:hi] <= 0)
             score[bad] = -1.0
             k = int(score.argmax())
-            if score[k] >= 0:
-                best = lo + k
+            if score[k] > most:
+                best, most = lo + k, score[k]
             lo = hi
         if best < 0:
             bin_no += 1
@@ -83,6 +88,7 @@ def pack_vectors(size: np.ndarray, limit: np.ndarray) -> np.ndarray:
                 keep = have > 0
                 alive, vec, share, have = alive[keep], vec[keep], share[keep], have[keep]
                 rising = -vec[:, 0]
+                bound = np.maximum.accumulate(share[::-1], axis=0)[::-1]
                 dead = 0
     return out
 
@@ -116,7 +122,7 @@ def pack(
     capacities: DataFrame,
     key: str = "doc_id",
     max_segments: int | None = None,
-    loss_share: float = 1.0,
+    loss_share: float = LOSS_SHARE,
     block_items: int = BLOCK_ITEMS,
     rounds: int = ROUNDS,
 ) -> DataFrame:
@@ -125,8 +131,9 @@ def pack(
     Columns: capacity_id, capacity_tokens, bin_id, segment_no, the key, part_no, n_parts, n_tokens, n_loss.
     An item longer than the capacity is cut into parts (part_no from 0), whose full ones fill a container
     each; every other item stays whole (n_parts 1). ``max_segments`` limits the items of a container (by
-    default an eighth of its tokens), ``loss_share`` its loss-bearing tokens as a share of its tokens.
-    Items without tokens take a segment and no room. Null keys are kept as items; repeated rows are items
+    default an eighth of its tokens), ``loss_share`` its loss-bearing tokens as a share of its tokens. An item
+    that bears more loss than that by itself stays whole and fills a container alone; no other container exceeds
+    a limit. Items without tokens take a segment and no room. Null keys are kept as items; repeated rows are items
     of their own. An empty input gives no rows. bin_id is unique within a capacity.
     """
     key_type = items.schema[key].dataType
@@ -151,8 +158,8 @@ def pack(
     before = F.greatest(F.lit(0), F.col("n_loss") - (F.col("n_tokens") - F.col("part_no") * cap - size)).cast("int")
     wide = wide.withColumn("__size", size).withColumn("__loss", F.least(size, before))
     wide = wide.select("capacity_id", "capacity_tokens", "__rid", key, "part_no", "n_parts", F.col("__size").alias("n_tokens"), F.col("__loss").alias("n_loss"))
-    # An item or part of just the capacity is a container by itself.
-    alone = (F.col("n_tokens") == cap) & F.lit(loss_share >= 1.0)
+    # An item or part of just the capacity is a container by itself, and so is one that bears too much loss.
+    alone = (F.col("n_tokens") == cap) | (F.col("n_loss") > F.greatest(F.lit(1), F.floor(cap * F.lit(loss_share))))
     done = wide.where(alone).select(
         "capacity_id", "capacity_tokens", F.concat_ws("-", "capacity_tokens", F.lit("full"), "__rid", "part_no").alias("bin_id"),
         F.lit(0).alias("segment_no"), key, "part_no", "n_parts", "n_tokens", "n_loss", F.lit(False).alias("__open"),
@@ -165,7 +172,7 @@ def pack(
             block = block.sort_values(["n_tokens", "__rid", "part_no"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
             most = max_segments or max(1, c // 8)
             limit = np.array([c, most, max(1, int(c * loss_share))])
-            size = np.stack([block["n_tokens"], np.ones(len(block)), np.minimum(block["n_loss"], limit[2])], axis=1).astype(np.int64)
+            size = np.stack([block["n_tokens"], np.ones(len(block)), block["n_loss"]], axis=1).astype(np.int64)
             bins = pack_vectors(size, limit)
             filled = np.bincount(bins, weights=size[:, 0], minlength=bins.max() + 1)
             order = np.argsort(bins, kind="stable")

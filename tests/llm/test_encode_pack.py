@@ -68,3 +68,47 @@ def test_every_item_is_in_a_container(spark):
         assert sum(r["part_no"] == 0 for r in mine) == len(rows)
     assert packing.pack(items.limit(0), caps).count() == 0
     assert packing.pack(items, caps.limit(0)).count() == 0
+
+
+def plain_packing(size, limit):
+    """Dot-product heuristic that scores every item that is left."""
+    left = sorted(range(len(size)), key=lambda i: (*(-size[i]), i))
+    out, n = np.full(len(size), -1), 0
+    while left:
+        room = limit.copy()
+        while fits := [i for i in left if (size[i] <= room).all()]:
+            i = max(fits, key=lambda i: (round(float((size[i] / (limit * limit)) @ room), 12), *size[i], -i))
+            out[i], room = n, room - size[i]
+            left.remove(i)
+        n += 1
+    return out
+
+
+def test_the_bounded_search_is_the_full_one(monkeypatch):
+    rng = np.random.default_rng(3)
+    size = np.c_[rng.integers(1, 120, 250), np.ones(250, int), np.zeros(250, int)]
+    size[:, 2] = size[:, 0] * rng.choice([0, 0.5, 1], 250)
+    for limit in (np.array([128, 16, 121]), np.array([128, 3, 121])):
+        monkeypatch.setattr(packing, "STEP", 4)
+        few = packing.pack_vectors(size, limit)
+        monkeypatch.setattr(packing, "STEP", 10_000)
+        assert (few == packing.pack_vectors(size, limit)).all() and few.max() == plain_packing(size, limit).max()
+
+
+def test_loss_limit_holds(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, int(n), int(n * rng.choice([0.2, 0.9, 1.0]))) for i, n in enumerate(rng.integers(1, 513, 600))]
+    items = spark.createDataFrame(rows, "doc_id long, n_tokens int, n_loss int")
+    got = packing.pack(items, spark.createDataFrame([(1, 512)], "capacity_id int, capacity_tokens int"), loss_share=0.8).collect()
+    by: dict = {}
+    for r in got:
+        by.setdefault(r["bin_id"], []).append(r)
+    assert sorted(r["doc_id"] for r in got) == [*range(600)] and all(r["n_parts"] == 1 for r in got)
+    assert all(len(b) == 1 or sum(r["n_loss"] for r in b) <= 409 for b in by.values())
+    assert sum(r["n_loss"] for r in got) == sum(x[2] for x in rows)
+
+
+def test_decoding_goes_up_the_tree(spark):
+    texts = [None, "", "Hola 漢😀 " * 900, "a\r\nb"]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in encode.decode_ids(encode.encode_texts(df)).collect()} == {i: x or "" for i, x in enumerate(texts)}

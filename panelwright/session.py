@@ -51,6 +51,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a frame that ``cut`` made and that no later step reads any more."""
+    kept = df._jdf.queryExecution().logical()
+    name = kept.rdd().getCheckpointFile() if kept.getClass().getSimpleName() == "LogicalRDD" else None
+    if name is not None and name.isDefined():
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(name.get())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df``."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

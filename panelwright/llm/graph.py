@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.session import cut
+from panelwright.session import cut, forget
 
 #: Rounds end as soon as no label changes; so many are more than a path of 2 ** 20 links needs.
 MAX_ROUNDS = 60
@@ -38,7 +38,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         new = small.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         new = cut(new)
-        edges, before, state = new, state, _state(new)
+        old, edges, before, state = edges, new, state, _state(new)
+        forget(old)
         if state == before:
             break
     else:

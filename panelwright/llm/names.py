@@ -83,6 +83,7 @@ def _strip_after(s: str) -> list[str]:
     return [x for x in out if len(x) > 3]
 
 
+@lru_cache(maxsize=20_000)
 def spoken(label: str, places: frozenset[str] = frozenset()) -> list[tuple[str, int]]:
     """(name in plain words, steps of clean-up) of a label as typed: as it stands, turned round at a comma, and
     without what is written around names. The fewest steps come first."""

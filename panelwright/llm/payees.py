@@ -9,6 +9,7 @@ messages through joins until they settle, and gives each pair its marginal proba
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -18,16 +19,16 @@ from pyspark.sql import functions as F
 
 from panelwright.llm.graph import components
 from panelwright.llm.names import LINKS, DeleteIndex, compact, core, expand, plain, tokens, weighted_distance
+from panelwright.llm.outlets import SHARD_OUTLETS
 from panelwright.llm.variants import spelling_links
-from panelwright.session import broadcast_if_small, cut
+from panelwright.session import broadcast_if_small, cut, forget
 from panelwright.sources.tables import table
 
 #: Marginal probability from which a pair counts as found.
 SURE = 0.5
-#: Rounds of messages at most, and the greatest change at which they have settled.
-MAX_ROUNDS, SETTLED = 25, 1e-4
+#: Rounds of messages at most, the greatest change at which they have settled, and the round from which they are damped.
+MAX_ROUNDS, SETTLED, DAMPED = 100, 1e-4, 12
 NAME_MOST = 2.4
-MAX_OUTLETS = 20_000
 
 # Legal forms of companies as written behind their names, in plain letters without dots.
 _FORMS = re.compile(r"\b(?:s\s*a\s*p\s*i|s\s*de\s*r\s*l|s\s*a\s*b|s\s*a|s\s*c|a\s*c|s\s*r\s*l|sapi|sab|sa|sc|ac)\b(?:\s*(?:de|d)?\s*c\s*v\b|\s*(?:de|d)\s*cv\b)?.*$")
@@ -52,7 +53,7 @@ def payee_words(name: str | None) -> list[str]:
     # A damaged legal form: single letters at the end.
     s = s[: cut_at.start()] if cut_at and cut_at.start() > 0 else s
     words = re.findall(r"[a-z]+|\d+", s)
-    while len(words) > 2 and (len(words[-1]) <= 2 and not words[-1].isdigit() and words[-1] != "tv" or words[-1] in ("de", "s", "rl", "cv", "sapi", "saei", "sapo")):
+    while len(words) > 2 and (len(words[-1]) <= 2 and not words[-1].isdigit() and words[-1] != "tv" or words[-1] in ("de", "s", "rl", "cv", "sapi")):
         words = words[:-1]
     while len(words) > 2 and 3 <= len(words[-1]) <= 5 and weighted_distance(words[-1], "sapi", 1.0) <= 1.0:
         words = words[:-1]
@@ -85,20 +86,56 @@ class RegistryIndex:
         self.owners = {f: sorted(v) for f, v in owners.items()}
         self.index = DeleteIndex(sorted(self.owners))
 
-    def find(self, words: list[str]) -> list[tuple[int, str, float]]:
-        """(outlet, "name" or "legal", distance) of the outlets a payee's name may be."""
-        best: dict[tuple[int, str], float] = {}
+    def find(self, words: list[str]) -> list[tuple[str, int, int, str, float]]:
+        """(form, stage, outlet, "name" or "legal", distance) of the outlets a payee's name may be.
+
+        Stages: 0 the same, 1 within one edit, 2 within two, 3 a name cut short. The first stage that finds any holds for a form.
+        """
+        out = []
         for f in {core(words), compact(words)}:
             if len(f) < 4:
                 continue
-            hits = self.index.matches(f, 1, 1.0) or (self.index.matches(f, 2, NAME_MOST) if len(f) >= 8 else [])
-            if not hits and len(f) >= 11:
-                # A name cut short, up to two letters beyond the reach of edits.
-                hits = [(1.5, k) for k, g in enumerate(self.index.forms) if g.startswith(f)] if len(f) >= 12 else []
-            for d, k in hits:
-                for o in self.owners[self.index.forms[k]]:
-                    best[o] = min(best.get(o, 9.0), d)
-        return [(o, kind, d) for (o, kind), d in sorted(best.items())]
+            hits = self.index.matches(f, 1, 1.0)
+            stage = 0 if hits and not hits[0][0] else 1
+            if not hits and len(f) >= 8:
+                stage, hits = 2, self.index.matches(f, 2, NAME_MOST)
+            if not hits and len(f) >= 12:
+                # A name cut short: the forms that begin with it stand side by side in their order.
+                stage, forms = 3, self.index.forms
+                k = bisect.bisect_left(forms, f)
+                while k < len(forms) and forms[k].startswith(f):
+                    hits.append((1.5, k))
+                    k += 1
+            out += [(f, stage, o, kind, d) for d, k in hits for o, kind in self.owners[self.index.forms[k]]]
+        return out
+
+
+def registry_hits(words: DataFrame, registry: DataFrame, shard_outlets: int = SHARD_OUTLETS) -> DataFrame:
+    """(words, outlet_id, kind, d): outlets that distinct names (words) may be; registry: (outlet_id, outlet_name, razon_social).
+
+    One dictionary of the outlets' names is broadcast; a registry longer than a dictionary may be has several, one after
+    the other, and of their hits those of the first stage that found any are kept.
+    """
+    spark = words.sparkSession
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    words = cut(words.repartition(tasks, "words"))
+    shards = max(1, -(-registry.count() // shard_outlets))
+    found = None
+    for k in range(shards):
+        part = registry if shards == 1 else registry.where(F.pmod(F.xxhash64("outlet_id"), F.lit(shards)) == k)
+        index = spark.sparkContext.broadcast(RegistryIndex([(r.outlet_id, r.outlet_name, r.razon_social) for r in part.collect()]))
+
+        def lookup(parts: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
+            for p in parts:
+                out = [(w, *hit) for w in p["words"] for hit in index.value.find(w.split(" "))]
+                yield pd.DataFrame(out, columns=["words", "form", "stage", "outlet_id", "kind", "d"]).astype({"stage": "int32", "outlet_id": "int64", "d": "float64"})
+
+        got = words.mapInPandas(lookup, "words string, form string, stage int, outlet_id long, kind string, d double")
+        found = cut(got) if found is None else found.unionByName(cut(got))
+    if shards > 1:
+        first = found.groupBy("words", "form").agg(F.min("stage").alias("stage"))
+        found = found.join(first, ["words", "form", "stage"], "left_semi")
+    return found.groupBy("words", "outlet_id", "kind").agg(F.min("d").alias("d"))
 
 
 def payees(contracts: DataFrame) -> DataFrame:
@@ -147,44 +184,47 @@ def propagate(pairs: DataFrame, left: str, right: str, logit: str) -> DataFrame:
 
     Sum-product messages of a matching: of a pair with odds w, the left factor says 1 / (1 + sum of the other
     pairs' odds there, each times what their right factor says), and the right one likewise. Messages go back and
-    forth by aggregation over either side until they change by less than SETTLED; lineage is cut each round.
+    forth by aggregation over either side until they change by less than SETTLED, and it is an error if they do not;
+    from round DAMPED on each is the mean of the new and the last one, so that they do not swing. A pair that is
+    alone on both sides hears nothing and is settled at once. Lineage is cut each round and the last round's state dropped.
     """
     w = F.exp(F.least(F.greatest(F.col(logit), F.lit(-25.0)), F.lit(25.0)))
-    state = cut(pairs.select(left, right, w.alias("w"), F.lit(1.0).alias("from_l"), F.lit(1.0).alias("from_r")))
-    for _ in range(MAX_ROUNDS):
+    pairs = cut(pairs.select(left, right, w.alias("w")))
+    many = lambda side: pairs.groupBy(side).agg(F.count("*").alias("m")).where("m > 1").select(side, F.lit(True).alias(f"__{side}"))
+    pairs = cut(pairs.join(many(left), left, "left").join(many(right), right, "left").withColumn("linked", F.coalesce(f"__{left}", f"__{right}", F.lit(False))).drop(f"__{left}", f"__{right}"))
+    alone = pairs.where("not linked").select(left, right, (F.col("w") / (1 + F.col("w"))).alias("p"))
+    state = pairs.where("linked").select(left, right, "w", F.lit(1.0).alias("from_l"), F.lit(1.0).alias("from_r"))
+    held = None
+    for k in range(MAX_ROUNDS):
+        keep = 0.5 if k >= DAMPED else 0.0
         by_l = state.groupBy(left).agg(F.sum(F.col("w") * F.col("from_r")).alias("sum_l"))
         new = state.join(by_l, left)
-        new = new.withColumn("new_l", 1 / (1 + F.greatest(F.lit(0.0), F.col("sum_l") - F.col("w") * F.col("from_r"))))
+        new = new.withColumn("new_l", keep * F.col("from_l") + (1 - keep) / (1 + F.greatest(F.lit(0.0), F.col("sum_l") - F.col("w") * F.col("from_r"))))
         by_r = new.groupBy(right).agg(F.sum(F.col("w") * F.col("new_l")).alias("sum_r"))
         new = new.join(by_r, right)
-        new = new.withColumn("new_r", 1 / (1 + F.greatest(F.lit(0.0), F.col("sum_r") - F.col("w") * F.col("new_l"))))
+        new = new.withColumn("new_r", keep * F.col("from_r") + (1 - keep) / (1 + F.greatest(F.lit(0.0), F.col("sum_r") - F.col("w") * F.col("new_l"))))
         new = new.withColumn("change", F.greatest(F.abs(F.col("new_l") - F.col("from_l")), F.abs(F.col("new_r") - F.col("from_r"))))
         new = cut(new.select(left, right, "w", F.col("new_l").alias("from_l"), F.col("new_r").alias("from_r"), "change"))
         change = new.agg(F.max("change")).first()[0]
-        state = new.drop("change")
+        if held is not None:
+            forget(held)
+        held, state = new, new.drop("change")
         if change is None or change < SETTLED:
             break
+    else:
+        raise RuntimeError("messages did not settle")
     odds = F.col("w") * F.col("from_l") * F.col("from_r")
-    return state.select(left, right, (odds / (1 + odds)).alias("p"))
+    return state.select(left, right, (odds / (1 + odds)).alias("p")).unionByName(alone)
 
 
 def payee_matches(contracts: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((contract_id, payee), (payee, outlet_id, p)): payees of contracts and their pairs with outlets."""
-    reg = registry.select("outlet_id", "outlet_name", "razon_social", F.date_format("constituida", "yyMMdd").alias("founded"), "estado", "medio").dropna(subset=["outlet_id", "outlet_name"])
-    listed = reg.orderBy("outlet_id").limit(MAX_OUTLETS + 1).collect()
-    if len(listed) > MAX_OUTLETS:
-        raise ValueError(f"the registry has more than {MAX_OUTLETS} outlets; its index would not fit a broadcast")
-    spark = contracts.sparkSession
-    index = spark.sparkContext.broadcast(RegistryIndex([(r.outlet_id, r.outlet_name, r.razon_social) for r in listed]))
+    place_of = F.pandas_udf(lambda s: s.map(lambda x: " ".join(tokens(x)) if x else None), "string")
+    reg = registry.dropna(subset=["outlet_id", "outlet_name"]).groupBy("outlet_id").agg(F.min(F.struct("outlet_name", "razon_social", "constituida", "estado", "medio")).alias("r")).select("outlet_id", "r.*")
+    reg = cut(reg)
     rows = cut(payees(contracts))
-
     # Names: each distinct cleaned name once.
-    def lookup(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            out = [(w, *hit) for w in p["words"] for hit in index.value.find(w.split(" "))]
-            yield pd.DataFrame(out, columns=["words", "outlet_id", "kind", "d"]).astype({"outlet_id": "int64", "d": "float64"})
-
-    names = rows.where("name is not null").select("words").distinct().mapInPandas(lookup, "words string, outlet_id long, kind string, d double")
+    names = registry_hits(rows.where("name is not null").select("words").distinct(), reg.select("outlet_id", "outlet_name", "razon_social"))
     # A payee's name counts by how many of its rows bear it: one slip that looks like another outlet weighs little.
     total = rows.groupBy("payee").agg(F.count("*").alias("m"))
     by_name = rows.join(cut(names), "words").groupBy("payee", "outlet_id", "kind").agg(F.count("*").alias("k"), F.min("d").alias("d_min"), F.avg("d").alias("d"))
@@ -193,11 +233,8 @@ def payee_matches(contracts: DataFrame, registry: DataFrame) -> tuple[DataFrame,
     # Dates: the payees whose code has the day an outlet was founded; legal names only, as other names would have matched.
     facts = rows.groupBy("payee").agg(F.mode("day", True).alias("day"), F.mode("place", True).alias("place"), F.mode("words", True).alias("words"), F.collect_set("product").alias("products"))
     facts = cut(facts)
-    r = spark.createDataFrame(
-        [(x.outlet_id, x.founded, " ".join(tokens(x.estado)) if x.estado else None, x.medio, x.razon_social is not None) for x in listed] or [(0, None, None, None, False)],
-        "outlet_id long, founded string, state string, medium string, has_legal boolean",
-    )
-    r = F.broadcast(r) if len(listed) <= MAX_OUTLETS else r
+    r = reg.select("outlet_id", F.date_format("constituida", "yyMMdd").alias("founded"), place_of("estado").alias("state"), F.col("medio").alias("medium"), F.col("razon_social").isNotNull().alias("has_legal"))
+    r = broadcast_if_small(cut(r))
     head = F.split("words", " ")[0]
     legal = F.greatest(*[F.levenshtein(head, F.lit(x)) <= 1 for x in sorted(LEGAL_HEADS)]) & ~F.col("words").rlike("^(?:" + "|".join(OTHER_HEADS) + ")")
     by_day = facts.where(legal).join(r.where("founded is not null and not has_legal"), F.col("day") == F.col("founded")).select("payee", "outlet_id")
@@ -215,7 +252,7 @@ def payee_matches(contracts: DataFrame, registry: DataFrame) -> tuple[DataFrame,
     pairs = pairs.withColumn("logit", prior_odds(F.col("kind"), F.col("d"), day, place, F.coalesce(bought, F.lit(0))))
     # An outlet is paid under its own and under its legal name, each by one payee at most.
     facet = F.col("outlet_id") * 2 + F.when(F.col("kind") == "name", 0).otherwise(1)
-    pairs = pairs.where(F.col("logit") > -4).select("payee", facet.alias("facet"), "logit")
+    pairs = pairs.select("payee", facet.alias("facet"), "logit")
     found = propagate(pairs, "payee", "facet", "logit")
     return rows.select("contract_id", "payee"), found.select("payee", F.floor(F.col("facet") / 2).cast("long").alias("outlet_id"), "p")
 

@@ -391,16 +391,8 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     media = class_pairs(rows.where("org is not null"), "medios", "row_id", "org")
     people = class_pairs(person_classes(rows.select("row_id", "name", "place", "tel", "org")), "reporter", "row_id", "person")
     open_ = table(spark, folder, "question_aliases").where("status = 'needs_review' and alias is not null").select(F.col("alias_id").alias("row_id"), F.col("alias").alias("label"))
-    unlisted = match_labels(open_, index).where(F.col("canonical_id") == UNMATCHED).select("row_id", "label")
-    pool = cut(unlisted)
     # Labels of two organisations name no single one.
-    shared = spark.sparkContext.broadcast(index)
-
-    @F.pandas_udf("boolean")
-    def names_two(s: pd.Series) -> pd.Series:
-        return s.map(shared.value._names_two)
-
-    pool = pool.where(~names_two("label"))
+    pool = cut(match_labels(open_, index).where((F.col("canonical_id") == UNMATCHED) & ~F.col("two")).select("row_id", "label"))
     classes = organisation_classes(pool, index.places)
     aliases = class_pairs(pool.join(broadcast_if_small(cut(classes)), "label"), "alias", "row_id", "org")
     return people.unionByName(media).unionByName(aliases)

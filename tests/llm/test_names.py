@@ -48,18 +48,35 @@ REG = [(f"{k} {p}".lower(), f"{k} {p}", s, None, "Altamar") for k, p, s in [("Ra
 
 
 def test_labels():
-    index = outlets.OutletIndex(REG, [("la buena", "radio zerquillo")], {"semanario raberjara": 9.0})
+    index = outlets.OutletIndex(REG, {"semanario raberjara": 9.0})
     want = {
         "RADIO  ZERQUILLO": "radio zerquillo", "R. Zerquilo": "radio zerquillo", "Zerquillo, Radio": "radio zerquillo", "zerquillo portal": "portal zerquillo", "www.portalzerquillo.example": "portal zerquillo",
         "Telar de Monteverde": "el telar de monteverde", "E.T.M.": "el telar de monteverde", "equipo de El Telar d Monteverde": "el telar de monteverde", "Canal-94/Lumarcolma": "canal 94 lumarcolma", "Zaguan Claor en Altamar": "zaguán claro",
-        "Semanario Rab": "semanario raberjara", "La Buena": "radio zerquillo", "Radio Zerquillo / Canal 94 Lumarcolma": "unmatched", "radio zerquillo y zaguan claro": "unmatched", "pendiente": "unmatched", "": "unmatched", "???": "unmatched", "Diario de Otrolado": "unmatched", "x" * 3000: "unmatched",
+        "Semanario Rab": "semanario raberjara", "Radio Zerquillo / Canal 94 Lumarcolma": "unmatched", "radio zerquillo y zaguan claro": "unmatched", "pendiente": "unmatched", "": "unmatched", "???": "unmatched", "Diario de Otrolado": "unmatched", "x" * 3000: "unmatched",
     }
     assert {k: index.resolve(k)[0] for k in want} == want
     assert index.resolve(None)[0] == "unmatched"
 
 
+def reference(spark, shard_outlets=outlets.SHARD_OUTLETS):
+    reg = spark.createDataFrame(REG, "canonical_id string, outlet_name string, siglas string, sitio string, estado string")
+    known = spark.createDataFrame([("la buena", "radio zerquillo", 1), ("Portal zerquillo", "radio zerquillo", 9)], "label string, canonical_id string, n int")
+    return outlets.Outlets(reg, known, spark.createDataFrame([("semanario raberjara", 9)], "canonical_id string, count long"), shard_outlets)
+
+
+def test_shards_give_what_one_dictionary_gives(spark):
+    labels = ["Radio Zerquilo", "La Buena!", "zerquillo portal", "Telar Monteverd", "E.T.M.", "Semanario Rab", "Radio Zerquillo / Canal 94 Lumarcolma", "Canal 94 Lumarcloma", "nada", "Zaguan Claor en Altamar", "", "Portal Zerqillo", "radio zer", "r. zerquillo oficial"]
+    df = spark.createDataFrame([(x,) for x in labels], "label string")
+    one, several = reference(spark), reference(spark, 2)
+    assert one.shards == 1 and several.shards == 3
+    got = sorted(map(tuple, one.resolve(df).collect()), key=str)
+    assert got == sorted(map(tuple, several.resolve(df).collect()), key=str) and len(got) == len(labels)
+    by = {r[0]: r[1:] for r in got}
+    assert by["La Buena!"][0] == "radio zerquillo" and by["zerquillo portal"][0] == "portal zerquillo" and by["Radio Zerquillo / Canal 94 Lumarcolma"][2] is True
+
+
 def test_labels_on_rows(spark):
-    index = outlets.OutletIndex(REG, [], {})
+    index = reference(spark)
     df = spark.createDataFrame([(1, "Radio Zerquillo", "c"), (1, "Radio Zerquillo", "c"), (2, None, "c"), (3, "nada", "c")], "row_id long, label string, canonical string")
     got = outlets.match_labels(df, index).collect()
     assert len(got) == 4 and {r["row_id"]: r["canonical_id"] for r in got} == {1: "radio zerquillo", 2: None, 3: "unmatched"}
@@ -135,6 +152,20 @@ def test_messages_of_a_matching(spark):
     assert all(abs(got[a, b] - p[i] / z) < 1e-3 for i, (a, b, _) in enumerate(pairs))
 
 
+def test_messages_settle_on_circles(spark):
+    pairs = [(a, 10 + b, float((a * b) % 3)) for a in range(6) for b in range(6)] + [(50, 60, 2.0)]
+    got = payees.propagate(spark.createDataFrame(pairs, "l long, r long, logit double"), "l", "r", "logit").collect()
+    assert len(got) == len(pairs) and all(sum(r["p"] for r in got if r[s] == k) < 1.02 for s in ("l", "r") for k in range(60))
+    assert abs(next(r["p"] for r in got if r["l"] == 50) - 1 / (1 + 2.718281828 ** -2)) < 1e-6
+
+
+def test_registry_shards(spark):
+    reg = spark.createDataFrame([(1, "Radio Zerquillo", "Impulsora Valmonte"), (2, "Radio Zerquilla", None), (3, "Canal 9 Lumarcolma", None), (4, "Radio Zerquillo del Norte", None)], "outlet_id long, outlet_name string, razon_social string")
+    words = spark.createDataFrame([("radio zerquillo",), ("radio zerqillos",), ("impulsora valmomte",), ("radio zerquillo del n",), ("nada",)], "words string")
+    one = sorted(map(tuple, payees.registry_hits(words, reg).collect()))
+    assert one == sorted(map(tuple, payees.registry_hits(words, reg, 1).collect())) and ("radio zerquillo del n", 4, "name", 1.5) in one
+
+
 def test_payees(spark):
     reg = spark.createDataFrame(
         [(1, "Radio Zerquillo", "Impulsora Valmonte S.A. de C.V.", "2001-02-03", "Altamar", "radio"), (2, "Portal Zerquillo", None, "1999-05-06", "San Telmo", "digital"), (3, "Canal 9 Lumarcolma", None, None, None, "television")],

@@ -63,7 +63,11 @@ def forget(df: DataFrame) -> None:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df``."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except ValueError:
+        # Estimates of many joins multiply to thousands of digits, more than an integer is read from.
+        return 1 << 62
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -7,12 +7,14 @@ else the row says of them. Rows that say exactly the same are merged first, and
 
 from __future__ import annotations
 
-import math
+import functools
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.llm.graph import components
@@ -40,6 +42,10 @@ REMARKS = frozenset(
 )
 #: Link score of persons from which two records are one person.
 PERSON_LINK = 2.0
+#: The most that two names are worth, and if their numbers of words differ or are under three.
+BEST_NAME, BEST_PARTIAL = 2.5, 1.4
+#: Rows of a class that are paired with all of it in one part.
+CLASS_PART = 5_000
 WORD_JACCARD = 0.3
 #: The words of a name that are left out of the search weigh less than this share of all.
 REST = 0.35
@@ -81,6 +87,11 @@ def name_keys(label: str, places: frozenset[str]) -> tuple[str, list[str], list[
             keys.append("~".join(sorted(own)))
             keys += [core(r) for r in rotations(own)[1:]] if len(own) <= 4 else []
     keys = list(dict.fromkeys(keys))
+    if not keys:
+        # Too short or too plain for slips: the same name is still the same, unless only a kind of medium is named.
+        own = [w for w in expand(tokens(label)) if w not in LINKS]
+        if any(w not in KINDS for w in own) and len(own) <= 4:
+            keys = ["=" + compact(own)]
     return (core(best) if best else ""), keys, [w for w in best if w not in LINKS]
 
 
@@ -128,50 +139,118 @@ def alike_words(vocabulary: DataFrame) -> DataFrame:
 def rarest_words(each: DataFrame, counts: DataFrame) -> DataFrame:
     """(id, w): the rarest words of each name (id, w), up to where the others weigh less than REST of all.
 
-    Alike names share one of these words, but for a slip; counts: (w, weight). Words under four letters do not search.
+    Alike names share one of these words, but for a slip; counts: (w, weight). Words under four letters do not search
+    for slips, and at all only where a name has no longer ones.
     """
     weighed = each.join(counts, "w").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("weight", "w")), asc=False).alias("o"), F.sum("weight").alias("total"))
     before = F.expr("aggregate(slice(o, 1, k), 0D, (s, y) -> s + y.weight)")
-    first = weighed.select("id", "total", "o", F.posexplode("o").alias("k", "x")).where(F.col("total") - before >= F.col("total") * REST).select("id", F.col("x.w").alias("w"))
-    return cut(first.where(F.length("w") >= 4))
+    short = F.forall("o", lambda x: F.length(x["w"]) < 4)
+    first = weighed.select("id", "total", "o", short.alias("short"), F.posexplode("o").alias("k", "x"))
+    first = first.where(F.col("short") | (F.col("total") - before >= F.col("total") * REST)).select("id", F.col("x.w").alias("w"), "short")
+    return cut(first.where(F.col("short") | (F.length("w") >= 4)).select("id", "w"))
+
+
+@lru_cache(maxsize=200_000)
+def _letter_counts(name: str) -> bytes:
+    """How often a name has each letter and figure."""
+    out = bytearray(36)
+    for c in name:
+        k = ord(c) - 97 if "a" <= c <= "z" else ord(c) - 22 if "0" <= c <= "9" else -1
+        if k >= 0 and out[k] < 255:
+            out[k] += 1
+    return bytes(out)
+
+
+def may_be_alike(a: list[str], b: list[str]) -> np.ndarray:
+    """Whether two names may be within the greatest distance, whatever the order of their words.
+
+    An edit of two letters' counts costs at least 0.7, one of a single letter's at least 0.7, and a turn changes none.
+    """
+    if not len(a):
+        return np.zeros(0, bool)
+    x, y = (np.frombuffer(b"".join(_letter_counts(s) for s in z), np.uint8).reshape(-1, 36).astype(np.int16) for z in (a, b))
+    apart = np.abs(x - y).sum(axis=1)
+    la, lb = np.fromiter(map(len, a), np.int64, len(a)), np.fromiter(map(len, b), np.int64, len(b))
+    short = np.minimum(la, lb) < 9
+    most = np.where(short, 1.0, NAME_MOST)
+    d = np.abs(la - lb)
+    return apart <= d + 2 * np.floor(np.maximum(most - 0.7 * d, 0) / 0.7 + 1e-9)
+
+
+def soft_similarity(wa: list[str], xa: list[float], wb: list[str], xb: list[float]) -> float:
+    """Share of the weight of two names' words that have an alike word in the other, weighed by how alike they are.
+
+    Rare words weigh more (xa, xb). Words run together are met by the joined letters of neighbours.
+    """
+    left = list(range(len(wb)))
+    got = 0.0
+    for i in sorted(range(len(wa)), key=lambda i: -xa[i]):
+        best = max(((_word_alike(wa[i], wb[j]), -j) for j in left), default=(0.0, 0))
+        if best[0] > 0:
+            left.remove(-best[1])
+            got += best[0] * (xa[i] + xb[-best[1]])
+    return got / max(sum(xa) + sum(xb), 1e-9)
 
 
 def spelling_links(forms: DataFrame) -> DataFrame:
     """(a, b): each spelling with the one it is a slip of; forms: (id, name, words, n, mark), one row for each name.
 
     ``n`` says how often a form is written. Forms whose ``mark`` is known and more than one letter apart are never linked.
+    Candidates share an alike word among their rarest ones, found by the q-grams of words; names run together are found by
+    their own q-grams. They are verified by the soft similarity of their words, in which rare words weigh more, and by
+    the distance of their letters. What depends on how often a form is written depends on ratios only.
     """
 
     def with_grams(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             yield pd.DataFrame({"id": p["id"], "grams": [grams([*w]) for w in p["words"]], "alone": p["alone"]})
 
-    # Names of several words: they share a word, but for a slip, among the rarest that make up most of their weight.
+    # What tells early that two names are too far apart goes with their words into the join: length, letters in order, mark.
+    letters = F.array_join(F.array_sort(F.split("name", "")), "")
+    forms = forms.where("name <> ''")
+    # How often a slip is written: of all forms the lower quarter, so that a table repeated k times gives the same.
+    slip = forms.agg(F.percentile_approx("n", 0.25)).first()[0] or 1
     n = forms.count()
     each = forms.select("id", F.explode(F.array_distinct("words")).alias("w"))
     counts = cut(each.groupBy("w").agg(F.count("*").alias("c"))).withColumn("weight", F.log(F.lit(float(max(n, 2)) + 1) / F.col("c")))
     alike = alike_words(counts.where(F.length("w") >= 4).select("w"))
-    words = rarest_words(each, counts)
-    near = words.join(alike, F.col("w") == F.col("a")).select("id", F.col("b").alias("v"))
-    pairs = near.join(words.select(F.col("id").alias("id_b"), "w"), F.col("v") == F.col("w")).where("id < id_b").select(F.col("id").alias("a"), F.col("id_b").alias("b"))
+    facts = forms.select("id", F.length("name").alias("len"), letters.alias("letters"), "mark")
+    words = rarest_words(each, counts).join(facts, "id")
+    near = words.join(alike, F.col("w") == F.col("a")).select("id", "len", "letters", "mark", F.col("b").alias("v"))
+    near = near.unionByName(words.where(F.length("w") < 4).select("id", "len", "letters", "mark", F.col("w").alias("v")))
+    most = 2 * int(NAME_MOST / 0.7)
+    x, y = near.alias("x"), words.alias("y")
+    close = (F.abs(F.col("x.len") - F.col("y.len")) <= most // 2) & F.coalesce(F.levenshtein("x.mark", "y.mark") <= 1, F.lit(True))
+    close = close & (F.levenshtein("x.letters", "y.letters", most) >= 0)
+    pairs = x.join(y, (F.col("v") == F.col("y.w")) & (F.col("x.id") < F.col("y.id")) & close).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     # Names run together have no words of their own: they are compared as one word with the joined forms of all.
     joined = forms.select("id", F.array("name").alias("words"), (F.size("words") == 1).alias("alone"))
     joined = joined.mapInPandas(with_grams, "id string, grams array<string>, alone boolean")
-    pairs = pairs.unionByName(similar_sets(joined, JOINED_JACCARD, asks="alone").select("a", "b")).distinct()
-    left = forms.select(*[F.col(c).alias(f"{c}_a") for c in ("id", "name", "words", "n", "mark")])
-    right = forms.select(*[F.col(c).alias(f"{c}_b") for c in ("id", "name", "words", "n", "mark")])
+    pairs = cut(pairs.unionByName(similar_sets(joined, JOINED_JACCARD, asks="alone").select("a", "b")).distinct())
+    weight = each.join(counts, "w").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("w", "weight"))).alias("of"))
+    full = forms.join(weight, "id").withColumn("weights", F.transform("words", lambda w: F.element_at("of", w))).drop("of")
+    columns = ("id", "name", "words", "n", "mark", "weights")
+    left = full.select(*[F.col(c).alias(f"{c}_a") for c in columns])
+    right = full.select(*[F.col(c).alias(f"{c}_b") for c in columns])
     both = pairs.join(left, F.col("a") == F.col("id_a")).join(right, F.col("b") == F.col("id_b")).where(F.coalesce(F.levenshtein("mark_a", "mark_b") <= 1, F.lit(True)))
-    # However words are turned, an edit changes two letters of a name at most: names whose letters in order differ by
-    # more than so many edits allow are left out before they are compared.
-    letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
-    edits = int(NAME_MOST / 0.7)
-    both = both.where((F.abs(F.length("name_a") - F.length("name_b")) <= edits) & (F.levenshtein(letters("name_a"), letters("name_b"), 2 * edits) >= 0))
 
     def verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            d = [_name_distance(a, [*wa], b, [*wb]) for a, wa, b, wb in zip(p["name_a"], p["words_a"], p["name_b"], p["words_b"], strict=True)]
-            ok = [x is not None and not (min(m, n) >= OFTEN and max(m, n) < OFTEN_LEAD * min(m, n)) and not (min(m, n) >= 2 and x >= FAR) for x, m, n in zip(d, p["n_a"], p["n_b"], strict=True)]
-            yield p.assign(d=d).loc[ok, ["a", "b", "n_a", "n_b", "d"]].astype({"d": "float64"})
+            p = p[may_be_alike(p["name_a"].tolist(), p["name_b"].tolist())]
+            out = []
+            for a, b, na, wa, xa, ma, nb, wb, xb, mb in zip(*(p[c] for c in ("a", "b", "name_a", "words_a", "weights_a", "n_a", "name_b", "words_b", "weights_b", "n_b")), strict=True):
+                wa, wb = [*wa], [*wb]
+                d = _name_distance(na, wa, nb, wb)
+                if d is None:
+                    continue
+                lo, hi = min(ma, mb), max(ma, mb)
+                if (lo >= OFTEN * slip and hi < OFTEN_LEAD * lo) or (lo > slip and d >= FAR and hi < FAR_LEAD * lo):
+                    continue
+                # Words that run together or are split differently are judged by their letters alone.
+                if len(wa) == len(wb) > 1 and soft_similarity(wa, [*xa], wb, [*xb]) < SOFT:
+                    continue
+                out.append((a, b, ma, mb, d))
+            yield pd.DataFrame(out, columns=["a", "b", "n_a", "n_b", "d"]).astype({"a": "object", "b": "object", "n_a": "int64", "n_b": "int64", "d": "float64"})
 
     near = cut(both.mapInPandas(verify, "a string, b string, n_a long, n_b long, d double"))
     # A spelling belongs to the nearest of those written more often; so a slip that lies between two names links only one.
@@ -195,7 +274,7 @@ def organisation_classes(labels: DataFrame, places: frozenset[str]) -> DataFrame
     least = each.groupBy("key").agg(F.min("label").alias("a"), F.count("*").alias("m")).where("m > 1")
     same = each.join(least, "key").select("a", F.col("label").alias("b")).where("a <> b").distinct()
     # Alike names: the distinct joined forms, by q-grams.
-    forms = cut(named.groupBy("name").agg(F.min("label").alias("id"), F.sum("n").alias("n"), F.min_by("words", "label").alias("words")).withColumn("mark", F.lit(None).cast("string")))
+    forms = cut(named.where("name <> ''").groupBy("name").agg(F.min("label").alias("id"), F.sum("n").alias("n"), F.min_by("words", "label").alias("words")).withColumn("mark", F.lit(None).cast("string")))
     alike = spelling_links(forms)
     # Cut names: a name that is the start of another, at most so many letters short, belongs to it if it has one such.
     longer = forms.select(F.col("id").alias("b"), "name").where(F.length("name") >= CUT_LEAST + 1)
@@ -209,10 +288,13 @@ def organisation_classes(labels: DataFrame, places: frozenset[str]) -> DataFrame
     return named.select("label").join(roots, F.col("label") == F.col("id"), "left").select("label", F.coalesce("root", "label").alias("org"))
 
 
-#: Two names that are both written so often are not slips of each other, unless one is written so many times as often.
+#: Two names that are both written so many times as often as a slip usually is are not slips of each other, unless one is
+#: written so many times as often as the other.
 OFTEN, OFTEN_LEAD = 3, 4
-#: Nor are names so far apart, if both are written more than once.
-FAR = 1.7
+#: Nor are names so far apart, if both are written more often than a slip usually is, without such a lead.
+FAR, FAR_LEAD = 1.7, 8
+#: Least soft similarity of the words of two spellings of one name.
+SOFT = 0.5
 #: Nor are names so far apart whose longest words begin with other letters: slips seldom change both.
 FAR_START = 1.5
 #: Letters of a name cut short, at least, and letters it lacks, at most.
@@ -249,7 +331,8 @@ def _word_alike(a: str, b: str) -> float:
 
 
 def person_alike(a: list[str], b: list[str], weight) -> float:
-    """How much two names speak for one person: 2.5 all words the same, 2 with slips, 1.2 with words missing; 0 against."""
+    """How much two names speak for one person: 2.5 all words the same, 2 with slips, 1.2 with words missing, 0.9 the same
+    words that many bear; 0 against."""
     left, pairs = list(range(len(b))), []
     for i in sorted(range(len(a)), key=lambda i: (len(a[i]) == 1, -weight(a[i]))):
         best = max(((_word_alike(a[i], b[j]), j) for j in left), default=(0.0, -1))
@@ -261,9 +344,10 @@ def person_alike(a: list[str], b: list[str], weight) -> float:
         return 0.0
     # A word that tells persons apart, a family name, must be among the pairs, and not only as an initial.
     telling = [s for i, j, s in pairs if s >= 0.6 and max(weight(a[i]), weight(b[j])) >= TELLING and len(a[i]) > 2 and len(b[j]) > 2]
-    if not telling:
-        return 0.0
     full = all(s >= 0.99 for _, _, s in pairs)
+    if not telling:
+        # A full name of words that many bear is one person's only with the same telephone or organisation.
+        return SAME_COMMON if full and not open_a and not open_b and len(pairs) >= 2 else 0.0
     if not open_a and not open_b and len(pairs) >= 3:
         if full:
             return 2.5
@@ -273,8 +357,10 @@ def person_alike(a: list[str], b: list[str], weight) -> float:
 
 #: Weight (natural logarithm of rows per row with the word) from which a word tells persons apart.
 TELLING = 4.6
-#: A word of so few records tells persons apart in a small table too.
+#: A word of so few names tells persons apart in a small table too.
 FEW = 3
+#: What the same full name of common words is worth: not enough with the same place alone.
+SAME_COMMON = 0.9
 
 
 def _tel_evidence(a: str | None, b: str | None) -> float:
@@ -297,6 +383,18 @@ def _place_evidence(a: str | None, b: str | None) -> float:
     return 1.0 if a == b or weighted_distance(a, b, 2.0) <= 2.0 else -1.0
 
 
+def _most_evidence() -> Column:
+    """The most that a pair of records x and y can be worth from all but its names, and with the best of names."""
+    both = lambda c, e: F.when(F.col(f"x.{c}").isNull() | F.col(f"y.{c}").isNull(), 0.0).otherwise(e)
+    apart = lambda c: F.levenshtein(f"x.{c}", f"y.{c}")
+    tel = both("tel", F.when(apart("tel") == 0, 2.0).when(apart("tel") <= 2, 1.0).otherwise(-2.0))
+    # Exchanged neighbours are two plain edits each; two of them are still one place.
+    place = both("place", F.when(apart("place") <= 4, 1.0).otherwise(-1.0))
+    org = both("org", F.when(F.col("x.org") == F.col("y.org"), 1.5).otherwise(-0.5))
+    name = F.when((F.col("x.k") == F.col("y.k")) & (F.col("x.k") >= 3), BEST_NAME).otherwise(BEST_PARTIAL)
+    return name + tel + place + org
+
+
 def person_classes(rows: DataFrame) -> DataFrame:
     """(row_id, person) of rows (row_id, name, place, tel, org): persons told apart by name and what else is known.
 
@@ -315,41 +413,39 @@ def person_classes(rows: DataFrame) -> DataFrame:
     # Rows that say the same are one record; its number is its least row.
     same = ["words", "place", "tel", "org"]
     records = cut(clean.groupBy(*same).agg(F.min("row_id").alias("id")))
-    n = records.count()
-    each = records.select("id", F.explode(F.array_distinct(F.split("words", " "))).alias("w"))
-    counts = cut(each.groupBy("w").agg(F.count("*").alias("c"))).withColumn("weight", F.log(F.lit(float(max(n, 2))) / F.col("c")))
-
+    # How rare a word is: counted over distinct names, so that one person with many rows does not make it common.
+    names = cut(records.select("words").distinct())
+    n = names.count()
+    split = lambda df, *keep: df.select(*keep, F.explode(F.array_distinct(F.split("words", " "))).alias("w"))
+    counts = cut(split(names).groupBy("w").agg(F.count("*").alias("c"))).withColumn("weight", F.log(F.lit(float(max(n, 2))) / F.col("c")))
+    each = split(names, F.col("words").alias("id"))
     alike = alike_words(counts.where(F.length("w") >= 4).select("w"))
-    words = rarest_words(each, counts)
-    near = words.join(alike, F.col("w") == F.col("a")).select("id", F.col("b").alias("v"))
-    pairs = near.join(words.select(F.col("id").alias("id_b"), "w"), F.col("v") == F.col("w")).where("id < id_b").select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
-    left = records.select(F.col("id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in same])
-    right = records.select(F.col("id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in same])
+    rare = rarest_words(each, counts).select(F.col("id").alias("words"), "w")
+    tells = split(names, "words").join(counts.where((F.col("weight") >= TELLING) | (F.col("c") <= FEW)), "w").groupBy("words").agg(F.collect_list("w").alias("tells"))
+    records = cut(records.join(tells, "words", "left"))
+    # What else is known goes with the words into the join, so that pairs that no name can save are never built.
+    facts = [F.col(c) for c in ("id", "place", "tel", "org")]
+    words = records.join(rare, "words").select(*facts, "w", F.size(F.split("words", " ")).alias("k"))
+    near = words.join(alike, F.col("w") == F.col("a")).select(*facts, "k", F.col("b").alias("v"))
+    near = near.unionByName(words.where(F.length("w") < 4).select(*facts, "k", F.col("w").alias("v")))
+    x, y = near.alias("x"), words.alias("y")
+    pairs = x.join(y, (F.col("v") == F.col("y.w")) & (F.col("x.id") < F.col("y.id")) & (_most_evidence() >= PERSON_LINK)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    more = [*same, "tells"]
+    left = records.select(F.col("id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in more])
+    right = records.select(F.col("id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in more])
     both = pairs.join(left, "a").join(right, "b")
-    # What no name can make up for is left out before names are compared: another telephone, or another place without
-    # the same telephone, unless the organisation is the same; and names whose words begin with other letters.
-    same_org = F.coalesce(F.col("org_a") == F.col("org_b"), F.lit(False))
-    slip = F.coalesce(F.levenshtein("tel_a", "tel_b") <= 2, F.lit(False))
-    other_tel = F.coalesce(F.col("tel_a") != F.col("tel_b"), F.lit(False)) & ~slip
-    other_place = F.coalesce(F.levenshtein("place_a", "place_b") > 2, F.lit(False)) & ~slip
-    firsts = lambda c: F.transform(F.split(c, " "), lambda w: F.substring(w, 1, 1))
-    apart = F.least(F.size(F.array_except(firsts("words_a"), firsts("words_b"))), F.size(F.array_except(firsts("words_b"), firsts("words_a"))))
-    both = both.where(same_org | ~(other_tel | other_place)).where(apart <= 1)
-    # Weights of the pair's words go with the pair; common words have a small one, which is all that is needed of them.
-    common = [r[0] for r in counts.where((F.col("weight") < TELLING) & (F.col("c") > FEW)).orderBy(F.desc("c")).limit(MAX_COMMON).select("w").collect()]
-    shared = rows.sparkSession.sparkContext.broadcast(frozenset(common))
 
     def verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        usual = shared.value
-        weight = lambda w: 1.0 if w in usual else TELLING + 1
         for p in parts:
             out = []
-            for a, b, wa, wb, pa, pb, ta, tb, oa, ob in zip(*(p[c] for c in ("a", "b", "words_a", "words_b", "place_a", "place_b", "tel_a", "tel_b", "org_a", "org_b")), strict=True):
-                s = person_alike(wa.split(" "), wb.split(" "), weight)
-                if s:
-                    more = [_tel_evidence(ta, tb), _place_evidence(pa, pb), 0.0 if not oa or not ob else 1.5 if oa == ob else -0.5]
-                    if s + sum(more) >= PERSON_LINK:
-                        out.append((a, b, max(more) > 0.5))
+            for a, b, wa, wb, pa, pb, ta, tb, oa, ob, ra, rb in zip(*(p[c] for c in ("a", "b", "words_a", "words_b", "place_a", "place_b", "tel_a", "tel_b", "org_a", "org_b", "tells_a", "tells_b")), strict=True):
+                more = [_tel_evidence(ta, tb), _place_evidence(pa, pb), 0.0 if not oa or not ob else 1.5 if oa == ob else -0.5]
+                if BEST_NAME + sum(more) < PERSON_LINK:
+                    continue
+                rare = {*(() if ra is None else ra), *(() if rb is None else rb)}
+                s = person_alike(wa.split(" "), wb.split(" "), lambda w, rare=rare: TELLING + 1 if w in rare else 1.0)
+                if s and s + sum(more) >= PERSON_LINK:
+                    out.append((a, b, max(more) > 0.5))
             yield pd.DataFrame(out, columns=["a", "b", "sure"]).astype({"a": "int64", "b": "int64", "sure": "bool"})
 
     links = cut(both.mapInPandas(verify, "a long, b long, sure boolean"))
@@ -371,32 +467,51 @@ def person_classes(rows: DataFrame) -> DataFrame:
     return clean.join(records, on).select(clean["row_id"], "person")
 
 
-#: Words of less weight than TELLING are at most e ** TELLING times the mean words of a name; so many are broadcast.
-MAX_COMMON = int(math.exp(TELLING)) * 20
-
-
 def class_pairs(rows: DataFrame, kind: str, row_id: str, group: str) -> DataFrame:
-    """(kind, id_a, id_b), id_a < id_b, of the rows of each class."""
-    x = rows.select(F.col(group).alias("g"), F.col(row_id).alias("id_a"))
-    y = rows.select(F.col(group).alias("g"), F.col(row_id).alias("id_b"))
-    return x.join(y, "g").where("id_a < id_b").select(F.lit(kind).alias("kind"), F.col("id_a").cast("long").alias("id_a"), F.col("id_b").cast("long").alias("id_b"))
+    """(kind, id_a, id_b), id_a < id_b, of the rows of each class.
 
+    A class of many rows is joined in parts: each row meets the rows of every part, and no task has all pairs of a class.
+    """
+    ids = cut(rows.select(F.col(group).alias("g"), F.col(row_id).alias("i")))
+    size = ids.groupBy("g").agg(F.ceil(F.count("*") / CLASS_PART).cast("int").alias("parts")).where("parts > 1")
+    ids = ids.join(broadcast_if_small(size), "g", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    x = ids.select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("i").alias("id_a"))
+    y = ids.select("g", F.pmod(F.xxhash64("i"), F.col("parts")).cast("int").alias("part"), F.col("i").alias("id_b"))
+    return x.join(y, ["g", "part"]).where("id_a < id_b").select(F.lit(kind).alias("kind"), F.col("id_a").cast("long").alias("id_a"), F.col("id_b").cast("long").alias("id_b"))
 
-def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of rows that mean the same person or organisation."""
+
+def variant_classes(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """(row_id, class) of the rows of each kind that name somebody."""
     accred = table(spark, folder, "accreditations").select(F.col("accred_id").alias("row_id"), F.col("reporter").alias("name"), F.col("estado").alias("place"), F.col("tel_final").alias("tel"), F.col("medios").alias("label"))
     index = build_index(spark, folder)
     orgs = cut(organisation_classes(accred, index.places))
     rows = cut(accred.join(broadcast_if_small(orgs), "label", "left"))
-    media = class_pairs(rows.where("org is not null"), "medios", "row_id", "org")
-    people = class_pairs(person_classes(rows.select("row_id", "name", "place", "tel", "org")), "reporter", "row_id", "person")
+    people = person_classes(rows.select("row_id", "name", "place", "tel", "org"))
     open_ = table(spark, folder, "question_aliases").where("status = 'needs_review' and alias is not null").select(F.col("alias_id").alias("row_id"), F.col("alias").alias("label"))
     # Labels of two organisations name no single one.
     pool = cut(match_labels(open_, index).where((F.col("canonical_id") == UNMATCHED) & ~F.col("two")).select("row_id", "label"))
     classes = organisation_classes(pool, index.places)
-    aliases = class_pairs(pool.join(broadcast_if_small(cut(classes)), "label"), "alias", "row_id", "org")
-    return people.unionByName(media).unionByName(aliases)
+    return {
+        "reporter": people.select("row_id", F.col("person").alias("class")),
+        "medios": rows.where("org is not null").select("row_id", F.col("org").alias("class")),
+        "alias": pool.join(broadcast_if_small(cut(classes)), "label").select("row_id", F.col("org").alias("class")),
+    }
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of rows that mean the same person or organisation."""
+    return functools.reduce(DataFrame.unionByName, [class_pairs(c, kind, "row_id", "class") for kind, c in variant_classes(spark, folder).items()])
+
+
+def p6_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Each row that names somebody with its class, the least row that means the same, and the number of its links."""
+    out = []
+    for kind, c in variant_classes(spark, folder).items():
+        c = cut(c)
+        of = c.groupBy("class").agg(F.min("row_id").alias("class_id"), (F.count_distinct("row_id") - 1).alias("links"))
+        out.append(c.join(broadcast_if_small(of), "class").select(F.lit(kind).alias("kind"), F.col("row_id").cast("long").alias("row_id"), F.col("class_id").cast("long").alias("class_id"), "links"))
+    return functools.reduce(DataFrame.unionByName, out)
 
 
-QUERIES = {"p6_found": p6_found}
+QUERIES = {"p6_found": p6_found, "p6_classes": p6_classes}
 ORACLES: dict[str, str] = {}

@@ -120,44 +120,57 @@ def spoken(label: str, places: frozenset[str] = frozenset()) -> list[tuple[str,
 
 
 #: Letters that sound alike or lie side by side; changing one for the other costs less.
-_NEAR = {frozenset(p) for p in ("bv", "cs", "sz", "cz", "ck", "cq", "kq", "gj", "iy", "mn", "xj", "dt", "uo", "ei")}
+_NEAR = {x for p in ("bv", "cs", "sz", "cz", "ck", "cq", "kq", "gj", "iy", "mn", "xj", "dt", "uo", "ei") for x in (p, p[::-1])}
 for _row in ("qwertyuiop", "asdfghjkl", "zxcvbnm"):
-    _NEAR |= {frozenset(p) for p in zip(_row, _row[1:], strict=False)}
+    _NEAR |= {x for p in zip(_row, _row[1:], strict=False) for x in (p[0] + p[1], p[1] + p[0])}
 
 
 def weighted_distance(a: str, b: str, most: float = 3.0) -> float:
     """Damerau-Levenshtein distance (optimal string alignment) with cheap slips: neighbouring or like-sounding
-    letters 0.7, exchanged neighbours 0.8, a doubled or undoubled letter 0.7, all else 1. ``most`` + 1 if above."""
+    letters 0.7, exchanged neighbours 0.8, a doubled or undoubled letter 0.7, all else 1. ``most`` + 1 if above.
+
+    Only cells near the diagonal are filled, as every step off it costs 0.7 at least.
+    """
     if a == b:
         return 0.0
     n, m = len(a), len(b)
+    over = most + 1
     if abs(n - m) > most / 0.7:
-        return most + 1
-    prev2: list[float] = []
-    prev = [0.0]
-    for j in range(m):
-        prev.append(prev[j] + (0.7 if j and b[j] == b[j - 1] else 1.0))
+        return over
+    band = int(most / 0.7 + 1e-9)
+    blank = [over] * (m + 1)
+    prev2: list[float] = blank
+    prev = [0.0, *blank[1:]]
+    for j in range(min(m, band)):
+        prev[j + 1] = prev[j] + (0.7 if j and b[j] == b[j - 1] else 1.0)
+    # An exchange skips a row that may lie above the bound by what it saves against a change.
+    stop = most + 0.3
     for i in range(1, n + 1):
         x = a[i - 1]
-        drop = 0.7 if i > 1 and x == a[i - 2] else 1.0
-        cur = [prev[0] + drop]
-        best = cur[0]
-        for j in range(1, m + 1):
+        y1 = a[i - 2] if i > 1 else ""
+        drop = 0.7 if x == y1 else 1.0
+        cur = blank[:]
+        cur[0] = best = prev[0] + drop
+        for j in range(i - band if i > band else 1, (i + band if i + band < m else m) + 1):
             y = b[j - 1]
-            if x == y:
-                c = prev[j - 1]
-            else:
-                c = prev[j - 1] + (0.7 if frozenset((x, y)) in _NEAR else 1.0)
-                if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                    c = min(c, prev2[j - 2] + 0.8)
-            c = min(c, prev[j] + drop, cur[j - 1] + (0.7 if j > 1 and y == b[j - 2] else 1.0))
-            cur.append(c)
+            c = prev[j - 1]
+            if x != y:
+                c += 0.7 if x + y in _NEAR else 1.0
+                if y1 == y and j > 1 and x == b[j - 2] and prev2[j - 2] + 0.8 < c:
+                    c = prev2[j - 2] + 0.8
+            d = prev[j] + drop
+            if d < c:
+                c = d
+            d = cur[j - 1] + (0.7 if j > 1 and y == b[j - 2] else 1.0)
+            if d < c:
+                c = d
+            cur[j] = c
             if c < best:
                 best = c
-        if best > most:
-            return most + 1
+        if best > stop:
+            return over
         prev2, prev = prev, cur
-    return prev[m] if prev[m] <= most else most + 1
+    return prev[m] if prev[m] <= most else over
 
 
 def deletes(s: str, d: int) -> list[bytes]:

@@ -257,7 +257,7 @@ class Outlets:
         cores = self.spark.sparkContext.defaultParallelism
         # Lookups take long for what they read: more tasks than the bytes ask for, which are not put together again.
         tasks = max(cores * 2, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        distinct = distinct.select(F.col(column).alias("label")).repartition(tasks, "label")
+        distinct = distinct.select(F.col(column).alias("label")).repartition(tasks)
         if self.shards == 1:
             shared = self.spark.sparkContext.broadcast(self.whole)
 

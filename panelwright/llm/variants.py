@@ -113,7 +113,10 @@ def _name_distance(a: str, wa: list[str], b: str, wb: list[str]) -> float | None
     if min(len(a), len(b)) < 9:
         d = weighted_distance(a, b, 1.0)
         return d if d <= 1.0 else None
-    best = min(weighted_distance(a, "".join(r), NAME_MOST) for r in rotations(list(wb)))
+    # Turned names are looked at only where the order as it stands does not fit.
+    best = weighted_distance(a, b, NAME_MOST)
+    if best > NAME_MOST:
+        best = min(weighted_distance(a, "".join(r), NAME_MOST) for r in rotations(list(wb)))
     if best > NAME_MOST:
         return None
     figures = [sorted(x for x in w if x.isdigit()) for w in (wa, wb)]

@@ -44,6 +44,45 @@ def test_weighted_distance_is_bounded_by_the_plain_one():
         assert 0.7 * osa(a, b) - 1e-9 <= d <= osa(a, b) + 1e-9 and d == names.weighted_distance(b, a, 9.0)
 
 
+def full_distance(a, b):
+    """Weighted distance with all cells filled."""
+    near = lambda x, y: x + y in names._NEAR
+    d = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) + 1):
+        for j in range(len(b) + 1):
+            ways = [0.0] if not i and not j else []
+            if i:
+                ways.append(d[i - 1][j] + (0.7 if i > 1 and a[i - 1] == a[i - 2] else 1.0))
+            if j:
+                ways.append(d[i][j - 1] + (0.7 if j > 1 and b[j - 1] == b[j - 2] else 1.0))
+            if i and j:
+                ways.append(d[i - 1][j - 1] + (0.0 if a[i - 1] == b[j - 1] else 0.7 if near(a[i - 1], b[j - 1]) else 1.0))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                ways.append(d[i - 2][j - 2] + 0.8)
+            d[i][j] = min(ways)
+    return d[-1][-1]
+
+
+def test_weighted_distance_near_the_diagonal_is_exact():
+    rng = random.Random(10)
+    for _ in range(3000):
+        a = "".join(rng.choices("abcdes", k=rng.randint(6, 12)))
+        b = slips(rng, a, rng.randint(0, 4))
+        for most in (1.0, 1.8, 2.0, 2.4, 3.0):
+            want = full_distance(a, b)
+            assert abs(names.weighted_distance(a, b, most) - (want if want <= most + 1e-9 else most + 1)) < 1e-6 or abs(want - most) < 1e-6
+
+
+def test_names_that_differ_in_too_many_letters_are_too_far():
+    rng = random.Random(11)
+    a, b = [], []
+    for _ in range(3000):
+        x = "".join(rng.choices("abcde1", k=rng.randint(6, 14)))
+        a.append(x), b.append(slips(rng, x, rng.randint(0, 4)))
+    ok = variants.may_be_alike(a, b)
+    assert all(k for x, y, k in zip(a, b, ok, strict=True) if full_distance(x, y) <= (1.0 if min(len(x), len(y)) < 9 else variants.NAME_MOST)) and not ok.all()
+
+
 REG = [(f"{k} {p}".lower(), f"{k} {p}", s, None, "Altamar") for k, p, s in [("Radio", "Zerquillo", None), ("Portal", "Zerquillo", None), ("El Telar de", "Monteverde", "ETM"), ("Canal 94", "Lumarcolma", None), ("Zaguán", "Claro", None), ("Semanario", "Raberjara", None)]]
 
 

@@ -41,13 +41,13 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 
 
 def winsorize(df: DataFrame, columns: list[str], upper: float = 0.99, lower: float | None = None, suffix: str = "_w") -> DataFrame:
-    """Each column cut at its pooled quantiles (type 7); NULL stays. One aggregate finds all bounds."""
-    aggs = []
+    """Each column cut at its pooled quantiles (type 7); NULL stays."""
+    from panelwright.operators.ordering import exact_quantiles
+
+    bounds = None
     for c in columns:
-        aggs.append(F.percentile(c, upper).alias(f"__hi_{c}"))
-        if lower is not None:
-            aggs.append(F.percentile(c, lower).alias(f"__lo_{c}"))
-    bounds = df.agg(*aggs)
+        q = exact_quantiles(df, c, {f"__hi_{c}": upper} | ({f"__lo_{c}": lower} if lower is not None else {}))
+        bounds = q if bounds is None else bounds.join(F.broadcast(q))  # one row each
     out = df.join(F.broadcast(bounds))  # one row
     for c in columns:
         v = F.least(F.col(c), F.col(f"__hi_{c}"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwright.operators.ordering import cumulative_counts, exact_quantiles
+from panelwright.session import broadcast_if_small
+
 
 def sum_or_zero(c: Column) -> Column:
     """Sum of what is there; 0 of nothing."""
@@ -87,9 +90,8 @@ def with_total(df: DataFrame, group: str, aggs: list[Column], total: str = "All"
 
 
 def quantiles(df: DataFrame, value: str, probs: list[float], group: list[str] | None = None) -> DataFrame:
-    """Exact quantiles (type 7), one column for each, named by per mille or per cent."""
-    name = lambda p: f"p{p * 100:g}".replace(".", "_")
-    return df.groupBy(*(group or [])).agg(*[F.percentile(value, p).alias(name(p)) for p in probs])
+    """Exact quantiles (type 7), one column for each, named by per mille or per cent; no task holds a group."""
+    return exact_quantiles(df, value, {f"p{p * 100:g}".replace(".", "_"): p for p in probs}, group)
 
 
 def histogram(df: DataFrame, value: str, breaks: list[float]) -> DataFrame:
@@ -106,7 +108,8 @@ def histogram(df: DataFrame, value: str, breaks: list[float]) -> DataFrame:
 
 def quantile_classes(df: DataFrame, value: str, k: int, out: str = "klass") -> DataFrame:
     """``df`` with the class 1..k of a value between the quantiles of equal shares; NULL stays."""
-    cuts = df.agg(F.percentile(value, F.array(*[F.lit(i / k) for i in range(1, k)])).alias("__cuts"))
+    q = exact_quantiles(df, value, {f"q{i}": i / k for i in range(1, k)})
+    cuts = q.select(F.array(*[f"q{i}" for i in range(1, k)]).alias("__cuts"))
     n = F.size(F.filter("__cuts", lambda x: F.col(value) > x)) + 1
     return df.join(F.broadcast(cuts)).withColumn(out, F.when(F.col(value).isNotNull(), n)).drop("__cuts")  # one row
 
@@ -173,9 +176,16 @@ def iso_week_mean(df: DataFrame, date: str, value: str) -> DataFrame:
 
 def gini(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """(group, n, gini, cv, total): Gini by ranks, coefficient of variation; NULL for a zero sum. NULL values don't count."""
-    d = df.where(F.col(value).isNotNull())
-    r = d.withColumn("__r", F.row_number().over(Window.partitionBy(*group).orderBy(value)))
-    g = r.groupBy(*group).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.sum(F.col("__r") * F.col(value)).alias("__rs"), F.stddev_samp(value).alias("__sd"), F.avg(value).alias("__m"))
+    c = cumulative_counts(df, group, value)
+    # Equal values share the ranks upto - c + 1 .. upto, whatever their order.
+    v, k, up = F.col(value).cast("double"), F.col("c"), F.col("upto")
+    ranks = k * (up - k) + k * (k + 1) / 2
+    g = c.groupBy(*group).agg(F.sum("c").alias("n"), F.sum(v * k).alias("total"), F.sum(ranks * v).alias("__rs"))
+    spread = df.groupBy(*group).agg(F.stddev_samp(value).alias("__sd"), F.avg(value).alias("__m"))
+    same = F.lit(True)
+    for x in group:
+        same = same & F.col(f"g.{x}").eqNullSafe(F.col(f"s.{x}"))
+    g = g.alias("g").join(broadcast_if_small(spread.alias("s")), same).select("g.*", "__sd", "__m")
     n = F.col("n")
     return g.select(*group, "n", F.when(F.col("total") > 0, 2 * F.col("__rs") / (n * F.col("total")) - (n + 1) / n).alias("gini"), F.try_divide("__sd", "__m").alias("cv"), "total")
 

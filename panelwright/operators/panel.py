@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from panelwright.operators.aggregates import category_or_conflict, collapse_unique
 from panelwright.operators.contracts import ContractError, require_unique
+from panelwright.operators.ordering import numbered
 from panelwright.session import broadcast_if_small
 
 
@@ -199,8 +200,8 @@ def all_or_nothing(df: DataFrame, group: list[str], member: str, expected: DataF
 
 
 def dense_numbers(df: DataFrame, order: str, out: str) -> DataFrame:
-    """``out``: 1..n in the order of a unique column; for dimensions, whose rows fit one task."""
-    return df.withColumn(out, F.row_number().over(Window.orderBy(order)))
+    """``out``: 1..n in the order of a unique column."""
+    return numbered(df, [order], out)
 
 
 def trend_panel(batches: DataFrame, term: str, date: str, batch: str, value: str, anchor: str, anchor_alone: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwright.operators.ordering import numbered
+
 
 def _w(group: list[str], order: list) -> object:
     return Window.partitionBy(*group).orderBy(*order)
@@ -138,7 +140,7 @@ def evenly_spaced(df: DataFrame, order: str, k: int) -> DataFrame:
     Places are rounded half to even. Rows are numbered within and then across ranges of the order, so that no
     task holds them all.
     """
-    ranked = _global_rank(df, order)
+    ranked = numbered(df, [order], "__rank")
     n = df.count()
     if n <= k:
         return df
@@ -146,19 +148,6 @@ def evenly_spaced(df: DataFrame, order: str, k: int) -> DataFrame:
     return ranked.where(F.col("__rank").isin(*[p + 1 for p in places])).drop("__rank")
 
 
-def _global_rank(df: DataFrame, order: str, out: str = "__rank") -> DataFrame:
-    """Rank from 1 of unique values over all rows without one task that holds them all."""
-    parts = df.repartitionByRange(order).withColumn("__p", F.spark_partition_id())
-    from panelwright.session import cut
-
-    parts = cut(parts)
-    sizes = parts.groupBy("__p").agg(F.count("*").alias("__n"), F.min(order).alias("__m"))
-    # As many rows as partitions.
-    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = Window.partitionBy("__p").orderBy(order)
-    return parts.join(F.broadcast(sizes.select("__p", "__before")), "__p").withColumn(out, F.col("__before") + F.row_number().over(w)).drop("__p", "__before")  # as many rows as partitions
-
-
 def first_date_eligibility(df: DataFrame, unit: str, date: str, active: Column, out: str = "eligible") -> DataFrame:
     """Whether a date is not before the unit's first active one; false if it has none."""
     first = F.min(F.when(active, F.col(date))).over(Window.partitionBy(unit))

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.numbers import finite
-from panelwright.session import cut
+from panelwright.operators.ordering import numbered, running
+from panelwright.session import broadcast_if_small, cut
 
 SWEEPS, TOLERANCE = 200, 1e-9
 
@@ -237,11 +238,10 @@ def missing_patterns(df: DataFrame, columns: list[str]) -> tuple[DataFrame, dict
 
 def holm(df: DataFrame, p: str, tiebreak: str, out: str = "p_holm") -> DataFrame:
     """Holm's adjusted p-values of a table of tests; NULL stays."""
-    known = df.where(F.col(p).isNotNull())
-    n = F.count("*").over(Window.partitionBy(F.lit(1)))
-    w = Window.partitionBy(F.lit(1)).orderBy(p, tiebreak)
-    step = F.least(F.lit(1.0), F.col(p) * (n - F.row_number().over(w) + 1))
-    adj = known.withColumn("__s", step).withColumn(out, F.max("__s").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__s")
+    known = numbered(df.where(F.col(p).isNotNull()), [p, tiebreak], "__k")
+    n = known.count()
+    adj = known.withColumn("__s", F.least(F.lit(1.0), F.col(p) * (n - F.col("__k") + 1)))
+    adj = running(adj, [p, tiebreak], {out: ("__s", "max")}).drop("__s", "__k")
     return adj.unionByName(df.where(F.col(p).isNull()), allowMissingColumns=True)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.sources.tables import upsert
+from panelwright.sources.tables import completed_parts, upsert
 
 
 def parquet_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -71,6 +71,24 @@ def latest_state(spark: SparkSession, path: str, keys: list[str], order: list) -
     return merge
 
 
+def last_version(spark: SparkSession, path: str) -> DataFrame:
+    """The table as the last batch left it: the version of the highest number that was written to its end."""
+    done = completed_parts(spark, path)
+    if not done:
+        raise FileNotFoundError(f"no version of the table in {path}")
+    return spark.read.parquet(max(done, key=lambda x: int(x.rsplit("=", 1)[1])))
+
+
+def repeated(each: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A sink that gets every batch twice, as after a stop between the write and its record."""
+
+    def twice(batch: DataFrame, number: int) -> None:
+        each(batch, number)
+        each(batch, number)
+
+    return twice
+
+
 def split_windows(start: int, end: int, count: Callable[[int, int], int], cap: int) -> list[tuple[int, int, int]]:
     """(from, to, n) windows of which each holds at most ``cap``, by halving; a single step that holds more stays.
 

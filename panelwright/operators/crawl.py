@@ -13,16 +13,41 @@ from panelwright.operators.aggregates import first_seen_unique
 from panelwright.operators.windows import best_row
 
 
-def merge_discoveries(rows: DataFrame, source: str, url: str, strategy: str, seen: str, priority: dict[str, int], keep: list[str], order: str) -> DataFrame:
-    """One row a source and canonical URL: the fields of the row of the best strategy, all strategies in the order in
-    which they came, first and last time seen, and the number of rows."""
+def discovery_url(source: Column, url: Column, folds: dict[str, tuple[str, str]] | None = None) -> Column:
+    """Canonical URL of a discovery. ``folds``: for a source, a pattern of paths and the host of their one true form:
+    such URLs are ``https``, that host, and the path without an end slash, query and fragment."""
+    out = canonical_url(url)
+    path = F.regexp_extract(out, r"^[a-z][a-z0-9+.-]*://[^/?#]+([^?#]*)", 1)
+    for name, (pattern, host) in sorted((folds or {}).items()):
+        out = F.when((source == name) & path.rlike(f"(?i){pattern}"), F.concat(F.lit(f"https://{host}"), F.regexp_replace(path, "/+$", ""))).otherwise(out)
+    return out
+
+
+def merge_discoveries(
+    rows: DataFrame, source: str, url: str, strategy: str, seen: str, priority: dict[str, int], keep: list[str], order: str,
+    capture: str | None = None, index: str | None = None, folds: dict[str, tuple[str, str]] | None = None,
+) -> DataFrame:
+    """One row a source and canonical URL: the fields of the row of the best strategy (the first of equals), all
+    strategies, best first and then as they came, first and last time seen, and the number of rows.
+
+    A missing strategy is ``unknown``; one without a priority comes last. ``capture``, a stamp of 14 figures, gives
+    the first and last day it was captured; ``index`` the number of distinct indexes that hold it. Rows whose URL
+    has no host are left out.
+    """
     rank = F.create_map(*[F.lit(x) for kv in sorted(priority.items()) for x in kv])
-    d = rows.withColumn("canonical", canonical_url(F.col(url))).where("canonical is not null")
-    d = d.withColumn("__p", F.coalesce(F.try_element_at(rank, F.col(strategy)), F.lit(len(priority) + 1)))
+    d = rows.withColumn("canonical", discovery_url(F.col(source), F.col(url), folds)).where("canonical is not null")
+    d = d.withColumn(strategy, F.coalesce(strategy, F.lit("unknown")))
+    d = d.withColumn("__p", F.coalesce(F.try_element_at(rank, F.col(strategy)), F.lit(9)))
     first = F.struct("__p", order)
+    more = []
+    if capture:
+        day = F.to_date(F.try_to_timestamp(F.col(capture).cast("string"), F.lit("yyyyMMddHHmmss")))
+        more += [F.min(day).alias("first_capture"), F.max(day).alias("last_capture")]
+    if index:
+        more.append(F.count_distinct(index).alias("n_indexes"))
     return d.groupBy(source, "canonical").agg(
-        F.count("*").alias("n_rows"), first_seen_unique(F.col(strategy), F.col(order)).alias("strategies"), F.min(seen).alias("first_seen"), F.max(seen).alias("last_seen"),
-        F.min_by(url, first).alias(url), *[F.min_by(c, first).alias(c) for c in keep],
+        F.count("*").alias("n_rows"), first_seen_unique(F.col(strategy), first).alias("strategies"), F.min(seen).alias("first_seen"), F.max(seen).alias("last_seen"),
+        F.min_by(url, first).alias(url), F.min_by(strategy, first).alias(strategy), *[F.min_by(c, first).alias(c) for c in keep if c != strategy], *more,
     )
 
 

@@ -81,8 +81,14 @@ def preferred_key(rows: DataFrame, known: DataFrame, raw: str, cleaned: str, key
 
 
 def in_windows(facts: DataFrame, windows: DataFrame, date: str, start: str = "from_date", end: str = "to_date") -> DataFrame:
-    """Facts with each window that holds their date; the windows are a short list and are broadcast while they are."""
-    return facts.join(broadcast_if_small(windows), F.col(date).between(F.col(start), F.col(end)))
+    """Facts with each window that holds their date (both ends belong to it); windows may overlap.
+
+    Windows are laid on the months they touch, so that facts meet them by equal months, whatever their number.
+    """
+    months = F.explode(F.sequence(F.trunc(start, "month"), F.trunc(end, "month"), F.expr("interval 1 month")))
+    w = windows.where(F.col(start) <= F.col(end)).withColumn("__month", months)
+    f = facts.withColumn("__month", F.trunc(date, "month"))
+    return f.join(broadcast_if_small(w), "__month").where(F.col(date).between(F.col(start), F.col(end))).drop("__month")
 
 
 def flag_covered(rows: DataFrame, intervals: DataFrame, entity: str, date: str, start: str, end: str, out: str = "covered") -> DataFrame:

@@ -64,13 +64,93 @@ def match_report(rows: DataFrame, known: DataFrame, source: str, key: str) -> Da
 
 
 def entity_dimension(crosswalk: DataFrame, entity: str, member: str, name: str, category: str, unknown: tuple[str, ...] = ("unknown",)) -> DataFrame:
-    """One row an entity: its members and names joined, its category or ``conflict``, and a dense number by name."""
+    """One row an entity: its members and names joined, its category or ``conflict`` with a flag for that, and
+    ``entity_number``, dense in the order of the entities (a NULL one first)."""
     informative = F.col(category).isNotNull() & ~F.lower(F.col(category)).isin(*unknown)
     d = crosswalk.groupBy(entity).agg(
         F.count_distinct(member).alias("n_members"), collapse_unique(F.col(member).cast("string")).alias("members"),
         collapse_unique(F.col(name)).alias("names"), category_or_conflict(F.col(category), informative).alias("category"),
     )
-    return d
+    d = d.withColumn(f"{category}_conflict", F.col("category") == "conflict")
+    return numbered(d, [entity], "entity_number").withColumn("entity_number", F.col("entity_number").cast("int"))
+
+
+def baseline_windows(spark: SparkSession, cutoff: str, history_start: str = "2018-12-01") -> DataFrame:
+    """(window, from_date, to_date) of a history that ends the day before a cutoff: ``total``, one ``yearK`` from each
+    anniversary of its start, ``last_year`` and ``last_2years``, which do not reach before the start. A short list."""
+    if history_start >= cutoff:
+        raise ContractError(f"the history would begin at {history_start}, not before {cutoff}")
+    end, first = F.date_sub(F.to_date(F.lit(cutoff)), 1), F.to_date(F.lit(history_start))
+    back = lambda n: F.greatest(first, F.add_months(F.to_date(F.lit(cutoff)), -12 * n))
+    k = F.col("k")
+    years = F.filter(F.transform(F.sequence(F.lit(0), F.year(end) - F.year(first)), lambda i: F.struct((i + 1).alias("k"), F.add_months(first, i * 12).alias("a"))), lambda x: x["a"] <= end)
+    one = spark.range(1)
+    y = one.select(F.inline(years)).select(F.concat(F.lit("year"), k.cast("string")).alias("window"), F.col("a").alias("from_date"), F.least(F.date_sub(F.add_months(first, k * 12), 1), end).alias("to_date"))
+    rest = F.array(*[F.struct(F.lit(n).alias("window"), a.alias("from_date"), end.alias("to_date")) for n, a in (("total", first), ("last_year", back(1)), ("last_2years", back(2)))])
+    return y.unionByName(one.select(F.inline(rest)))
+
+
+def _by_window(days: DataFrame, windows: DataFrame, key: list[str], date: str, cutoff: str) -> DataFrame:
+    """Each day once for every window that holds it. Dates or windows that reach the cutoff, empty or repeated windows,
+    and days that are there twice raise."""
+    w = [(r["window"], r["from_date"], r["to_date"]) for r in windows.collect()]  # a handful of names
+    late = days.agg(F.max(date)).first()[0]
+    if (late is not None and str(late)[:10] >= cutoff) or any(str(x[2]) >= cutoff for x in w):
+        raise ContractError("a date or a window reaches the cutoff")
+    if any(a > b for _, a, b in w) or len({n for n, _, _ in w}) < len(w):
+        raise ContractError("a window is empty or named twice")
+    require_unique(days, [*key, date])
+    each = F.array(*[F.when(F.col(date).between(F.lit(a), F.lit(b)), F.lit(n)) for n, a, b in w])
+    return days.withColumn("window", F.explode(F.filter(each, lambda x: x.isNotNull())))
+
+
+def prepare_history_days(days: DataFrame, date: str, excluded_months: tuple[str, ...] = ()) -> DataFrame:
+    """Days (recorded, assumed, questions, and whether either source has the entity and the day) ready to be summed.
+
+    In: ``attendance_matched``, ``attendance_observed``, ``questions_matched``, ``questions_observed``, ``recorded``,
+    ``assumed``, ``questions``. What is not observed is NULL, and so is attendance in excluded months (yyyy-MM). Adds
+    ``asked`` (0/1), ``corrected`` (at least one attendant where a question is recorded, not one a question),
+    ``inferred`` (corrected beyond recorded and assumed) and ``common_observed``.
+    """
+    seen = lambda a, b: F.coalesce(F.col(a) & F.col(b), F.lit(False))
+    d = days.withColumn("attendance_observed", seen("attendance_matched", "attendance_observed") & ~F.date_format(date, "yyyy-MM").isin(*excluded_months) if excluded_months else seen("attendance_matched", "attendance_observed"))
+    d = d.withColumn("questions_observed", seen("questions_matched", "questions_observed"))
+    d = d.withColumns({c: F.when(F.col("attendance_observed"), F.col(c)) for c in ("recorded", "assumed")} | {"questions": F.when(F.col("questions_observed"), F.col("questions"))})
+    d = d.withColumn("asked", F.when(F.col("questions_observed"), (F.col("questions") > 0).cast("int")))
+    base = F.col("recorded") + F.col("assumed")
+    corrected = F.when(F.col("attendance_observed"), F.when(base.isNotNull(), F.greatest(base, F.coalesce("asked", F.lit(0))))).when(F.col("asked") == 1, F.lit(1))
+    d = d.withColumn("corrected", corrected)
+    inferred = F.col("corrected") - F.coalesce("recorded", F.lit(0)) - F.coalesce("assumed", F.lit(0))
+    return d.withColumn("inferred", inferred).withColumn("common_observed", F.col("attendance_observed") & F.col("questions_observed"))
+
+
+def baseline_history(days: DataFrame, windows: DataFrame, entity: str, date: str, cutoff: str) -> DataFrame:
+    """Per entity and window, of prepared days: sums (NULL of nothing observed), days with attendance and with questions,
+    observed days, the same on days that both sources cover, and ratios of these (NULL without a positive denominator)."""
+    d = _by_window(days, windows, [entity], date, cutoff)
+    both = lambda c: F.sum(F.when(F.col("common_observed"), c))
+    some = lambda c: (F.col(c) > 0).cast("int")
+    g = d.groupBy(entity, "window").agg(
+        both(F.col("questions")).alias("common_questions"), both(F.col("corrected")).alias("common_attendance"), both(F.col("recorded")).alias("common_recorded"),
+        both(some("corrected")).alias("common_attendance_days"), both(F.col("asked")).alias("common_question_days"),
+        *[F.sum(c).alias(c) for c in ("recorded", "assumed", "inferred", "corrected", "questions")],
+        F.sum(some("recorded")).alias("attendance_days"), F.sum("asked").alias("question_days"),
+        *[F.count_if(c).alias(f"{c}_days") for c in ("attendance_observed", "questions_observed", "common_observed")],
+    )
+    ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    return g.withColumns({
+        "questions_per_attendance": ratio("common_questions", "common_attendance"), "questions_per_recorded": ratio("common_questions", "common_recorded"),
+        "question_day_share": ratio("common_question_days", "common_attendance_days"),
+    })
+
+
+def contract_history(days: DataFrame, windows: DataFrame, entity: str, date: str, measures: list[str], count: str, matched: str, observed: str, cutoff: str) -> DataFrame:
+    """Per entity and window: observed days, days with an award (``count`` above 0), and sums of the measures, NULL where
+    nothing was observed. To be made once an entity, before it is mapped to the members that share it."""
+    seen = F.coalesce(F.col(matched) & F.col(observed), F.lit(False))
+    d = days.withColumn("__seen", seen).withColumns({m: F.when(seen, F.col(m)) for m in dict.fromkeys([*measures, count])})
+    d = _by_window(d, windows, [entity], date, cutoff)
+    return d.groupBy(entity, "window").agg(F.count_if("__seen").alias("observed_days"), F.sum((F.col(count) > 0).cast("int")).alias("award_days"), *[F.sum(m).alias(m) for m in measures])
 
 
 def history_windows(spark: SparkSession, cutoff: str, spans: dict[str, tuple[int, int]]) -> DataFrame:

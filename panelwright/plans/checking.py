@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import sqlite3
 import tempfile
 
@@ -125,26 +126,28 @@ def _(spark, d):
     return S.text_table(spark, path, "ISO-8859-1")
 
 
-@query("s4_alias_tsv", "select min(alias) as alias, canonical_id, status from question_aliases where canonical_id is not null and regexp_matches(alias, '^[A-Za-z ]+$') and alias = trim(alias) group by canonical_id, status")
+@query("s4_alias_tsv", "select trim(regexp_replace(alias, '\\s+', ' ', 'g')) as alias, min(canonical_id) as canonical_id, 'reviewed' as status from question_aliases where canonical_id is not null and trim(alias) <> '' group by 1")
 def _(spark, d):
     path = _scratch(spark, "tsv")
-    t = table(spark, d, "question_aliases").where("canonical_id is not null and alias rlike '^[A-Za-z ]+$' and alias = trim(alias)")
-    t.groupBy("canonical_id", "status").agg(F.min("alias").alias("alias")).select("alias", "canonical_id", "status").write.option("header", True).option("sep", "\t").csv(path)
+    t = table(spark, d, "question_aliases").where("canonical_id is not null and trim(alias) <> ''").groupBy(F.trim(F.regexp_replace("alias", r"\s+", " ")).alias("alias")).agg(F.min("canonical_id").alias("canonical_id"))
+    t.withColumn("status", F.lit("reviewed")).write.option("header", True).option("sep", "\t").option("quote", "").option("escapeQuotes", False).csv(path)
     return S.alias_table(spark, path)
 
 
-@query("s5_sheet_header", "select source_id, tz from news_sources where tz <> 'Europe/Madrid'")
+@query("s5_sheet_header", "select source_id, tz from news_sources")
 def _(spark, d):
-    t = table(spark, d, "news_sources").where("tz <> 'Europe/Madrid'").select(F.lit(2).alias("a"), F.col("source_id").alias("c0"), F.col("tz").alias("c1"))
+    t = table(spark, d, "news_sources").select(F.lit(2).alias("a"), F.col("source_id").alias("c0"), F.col("tz").alias("c1"))
     head = spark.createDataFrame([(0, "some title", None), (1, "source_id", "tz")], "a int, c0 string, c1 string")
     return S.sheet_with_header(head.unionByName(t), "a", "c0", "source_id").select("source_id", "tz")
 
 
 @query("s7_sqlite", "select n_nationkey, n_name from nation")
 def _(spark, d):
-    # The file lies in the shared folder; it is written by the driver and read in parts by the executors.
+    # The file lies in the folder that all executors share; it is written by the driver and read in parts.
     base = checkpoint_dir(spark)
-    folder = base[len("file:") :].replace("//", "/") if base.startswith("file:") else (base if os.path.isabs(base) else tempfile.gettempdir())
+    folder = re.sub("^file:/*", "/", base)
+    if not os.path.isabs(folder):
+        raise RuntimeError(f"{base} is no mounted folder; a SQLite file needs one that all executors can open")
     os.makedirs(folder, exist_ok=True)
     fd, path = tempfile.mkstemp(suffix=".sqlite", dir=folder)
     os.close(fd)
@@ -163,14 +166,13 @@ def _(spark, d):
     return S.json_lines(spark, path, "r_regionkey int, r_name string")
 
 
-@query("s9_dated_files", "select fecha, count(*) as n from attendance where fecha >= date '2024-06-01' group by 1")
+@query("s9_dated_files", "select fecha, count(*) as n from attendance group by 1")
 def _(spark, d):
     path = _scratch(spark, "dated")
-    t = table(spark, d, "attendance").where("fecha >= '2024-06-01'").select(F.col("fecha").cast("string").alias("day"), "attendance_row")
-    t.repartition(4, "day").write.partitionBy("day").parquet(path)
-    # Partition folders bear the date; the reader takes it from the path.
-    got = spark.read.parquet(path)
-    return got.groupBy(F.to_date("day").alias("fecha")).agg(F.count("*").alias("n"))
+    t = table(spark, d, "attendance").select("attendance_row", F.date_format("fecha", "yyyy_MM_dd").alias("day"))
+    # One file a day, named by it, as such lists arrive: the date is read from the name and nowhere else.
+    folders = S.write_named(t, path, "day", "lista_{}.csv")
+    return S.dated_files(spark, folders, form="csv", header=True).groupBy(F.col("file_date").alias("fecha")).agg(F.count("*").alias("n"))
 
 
 @query("s10_union_by_name", "select source_id, url, title, cast(null as bigint) as wp_post_id from sitemap_articles union all select source_id, url, title, wp_post_id from articles")
@@ -217,7 +219,10 @@ def _(spark, d):
     return archive_captures(t.select(line.alias("line")), "line").select("url", "status", F.date_format("captured_at", "yyyy-MM-dd HH:mm:ss").alias("captured_at"))
 
 
-@query("s13_quota_plan")
+@query(
+    "s13_quota_plan",
+    """with t as (select count(*) as n, cast(ceil(count(*) / 9.0) as bigint) as q from gdelt_urls) select cast(k as int) as key_no, cast(least(q, n - k * q) as int) as n_requests from t, (select unnest(range(10)) as k) where n - k * q > 0""",
+)
 def _(spark, d):
     from panelwright.operators.crawl import quota_plan
 
@@ -256,6 +261,32 @@ def _(spark, d):
     return S.parquet(spark, path).groupBy("source_id").agg(F.count("*").alias("n"))
 
 
+@query("k1_parquet_codecs", "select 'gzip' as codec, count(*) as n, sum(article_row) as total from articles union all select 'zstd', count(*), sum(article_row) from articles")
+def _(spark, d):
+    out = None
+    for codec in ("zstd", "gzip"):
+        path = _scratch(spark, codec)
+        S.write_parquet(table(spark, d, "articles").select("article_row"), path, codec)
+        got = S.parquet(spark, path).agg(F.count("*").alias("n"), F.sum("article_row").alias("total")).select(F.lit(codec).alias("codec"), "n", "total")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query("k3_atomic_replace", "select count(*) as n, max(r_name) as last_name from region")
+def _(spark, d):
+    # A table is replaced; then a write that fails half-way must leave it as it is.
+    path = _scratch(spark, "replace")
+    S.replace_table(table(spark, d, "nation").select(F.col("n_name").alias("r_name")), path)
+    S.replace_table(table(spark, d, "region").select("r_name"), path)
+    broken = table(spark, d, "nation").select(F.when(F.col("n_nationkey") >= 0, F.raise_error(F.lit("stopped"))).cast("string").alias("r_name"))
+    try:
+        S.replace_table(broken, path)
+    except Exception as e:
+        if "stopped" not in str(e):
+            raise
+    return spark.read.parquet(path).agg(F.count("*").alias("n"), F.max("r_name").alias("last_name"))
+
+
 @query(
     "k4_upsert",
     """with o as (select source_id, url, article_row from (select *, row_number() over (partition by source_id, url order by article_row) as k from articles where article_row%2=0) where k=1), n as (select source_id, url, article_row from (select *, row_number() over (partition by source_id, url order by article_row desc) as k from articles where article_row%2=1) where k=1)
@@ -301,14 +332,39 @@ def _(spark, d):
     return _rows(spark, R.fixed_effects(_sample(spark, d), "y", ["x"], ["t"], ["u"]))
 
 
-@query("r2_two_way")
+def _panel(spark, d):
+    """A balanced panel of 12 units and 7 years; every third unit is treated from 1998 on."""
+    o = table(spark, d, "orders")
+    cell = o.groupBy((F.col("o_custkey") % 12).cast("int").alias("u"), F.year("o_orderdate").alias("t"))
+    cell = cell.agg(F.avg("o_totalprice").alias("y"), F.avg((F.col("o_orderpriority") == "1-URGENT").cast("double")).alias("x"), F.avg((F.col("o_orderkey") % 3 == 0).cast("double")).alias("z"))
+    return cell.withColumn("d", ((F.col("u") % 3 == 0) & (F.col("t") >= 1998)).cast("int"))
+
+
+_PANEL = """p as (select cast(o_custkey % 12 as int) as u, year(o_orderdate) as t, avg(o_totalprice) as y, avg(cast(o_orderpriority='1-URGENT' as double)) as x, avg(cast(o_orderkey % 3 = 0 as double)) as z from orders group by 1,2)"""
+#: Both effects taken out of a balanced panel in closed form.
+_BOTH = "m as (select u, t, {} from p)"
+_OUT = "{0} - avg({0}) over (partition by u) - avg({0}) over (partition by t) + avg({0}) over () as {0}"
+#: Sums and scores of a regression of y on x and z within years, by unit.
+_TWO = (
+    _PANEL
+    + """, m as (select u, t, y - avg(y) over (partition by t) as y, x - avg(x) over (partition by t) as x, z - avg(z) over (partition by t) as z from p),
+    a as (select sum(x*x) as a, sum(x*z) as b, sum(z*z) as c, sum(x*y) as d, sum(z*y) as e, count(*) as n, count(distinct t) as nt from m), k as (select *, (c*d-b*e)/(a*c-b*b) as b1, (a*e-b*d)/(a*c-b*b) as b2, a*c-b*b as det from a),
+    s as (select sum(x*(y-b1*x-b2*z)) as sx, sum(z*(y-b1*x-b2*z)) as sz from m, k group by u), q as (select count(*) as g, sum(sx*sx) as m11, sum(sx*sz) as m12, sum(sz*sz) as m22 from s), r as (select *, g/(g-1.0)*(n-1.0)/(n-2-nt) as f from k, q)"""
+)
+
+
+@query(
+    "r2_two_way",
+    f"""with {_PANEL}, {_BOTH.format(', '.join(_OUT.format(c) for c in 'xy'))}, b as (select sum(x*y)/sum(x*x) as b, sum(x*x) as xx, count(*) as n, count(distinct t) as nt from m), c as (select sum(x*(y-b*x)) as s from m, b group by u), g as (select count(*) as g, sum(s*s) as meat from c)
+    select 'x' as term, round(b,6) as estimate, round(sqrt(g.g/(g.g-1.0)*(n-1.0)/(n-nt)*meat/(xx*xx)),6) as se, n, g.g as clusters from b, g""",
+)
 def _(spark, d):
-    return _rows(spark, R.fixed_effects(_sample(spark, d), "y", ["x", "z"], ["u", "t"], ["u"]))
+    return _rows(spark, R.fixed_effects(_panel(spark, d), "y", ["x"], ["u", "t"], ["u"]))
 
 
-@query("r3_singletons", "with e as (select user_id, value from events where event_type='error' and value>120), a as (select * from e where user_id in (select user_id from e group by 1 having count(*)>1)) select user_id, count(*) as n from a group by 1")
+@query("r3_singletons", "with e as (select user_id, value from events where event_type='error'), a as (select * from e where user_id in (select user_id from e group by 1 having count(*)>1)) select user_id, count(*) as n from a group by 1")
 def _(spark, d):
-    e = table(spark, d, "events").where("event_type = 'error' and value > 120").select("user_id", "value")
+    e = table(spark, d, "events").where("event_type = 'error'").select("user_id", "value")
     return R.drop_singletons(e, ["user_id"]).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
@@ -319,27 +375,56 @@ def _(spark, d):
     return spark.createDataFrame([(n, "kept") for n in fit.names] + [(n, "dropped") for n in fit.dropped], "term string, status string")
 
 
-@query("r6_two_way_cluster")
+@query(
+    "r6_two_way_cluster",
+    f"""with {_PANEL}, {_BOTH.format(', '.join(_OUT.format(c) for c in 'xy'))}, b as (select sum(x*y)/sum(x*x) as b, sum(x*x) as xx, count(*) as n from m), e as (select u, t, x*(y-b*x) as s from m, b),
+    v as (select sum(g/(g-1.0)*q*k) as v from (select count(*) as g, sum(s*s) as q, 1 as k from (select sum(s) as s from e group by u) union all select count(*), sum(s*s), 1 from (select sum(s) as s from e group by t) union all select count(*), sum(s*s), -1 from e))
+    select 'x' as term, round(b,6) as estimate, round(sqrt(v/(xx*xx)),6) as se, n, (select least(count(distinct u), count(distinct t)) from e) as clusters from b, v""",
+)
 def _(spark, d):
-    return _rows(spark, R.fixed_effects(_sample(spark, d), "y", ["x", "z"], ["u", "t"], ["u", "t"], nested=True))
+    return _rows(spark, R.fixed_effects(_panel(spark, d), "y", ["x"], ["u", "t"], ["u", "t"], nested=True))
 
 
-@query("r7_wald")
+@query("r7_wald", f"with {_TWO}, w as (select (m22*d*d - 2*m12*d*e + m11*e*e)/(m11*m22-m12*m12)/f/2 as f, g from r) select round(f, 6) as f, 2 as restrictions, round(power(1 + 2*f/(g-1.0), -(g-1.0)/2), 6) as p from w")
 def _(spark, d):
-    f, k, p = R.fixed_effects(_sample(spark, d), "y", ["x", "z"], ["t"], ["u"]).wald(["x", "z"])
+    f, k, p = R.fixed_effects(_panel(spark, d), "y", ["x", "z"], ["t"], ["u"]).wald(["x", "z"])
     return spark.createDataFrame([(round(f, 6), k, round(p, 6))], "f double, restrictions int, p double")
 
 
-@query("r8_contrast")
+@query("r8_contrast", f"with {_TWO}, h as (select *, (c+b)/det as p, -(a+b)/det as q from r) select round(b1-b2, 6) as estimate, round(sqrt(f*(p*p*m11 + 2*p*q*m12 + q*q*m22)), 6) as se from h")
 def _(spark, d):
-    b, s = R.fixed_effects(_sample(spark, d), "y", ["x", "z"], ["t"], ["u"]).contrast({"x": 1.0, "z": -1.0})
+    b, s = R.fixed_effects(_panel(spark, d), "y", ["x", "z"], ["t"], ["u"]).contrast({"x": 1.0, "z": -1.0})
     return spark.createDataFrame([(round(b, 6), round(s, 6))], "estimate double, se double")
 
 
-@query("r9_interacted")
+_GROUPS = (
+    _PANEL
+    + """, m as (select u % 3 as g, u, y - avg(y) over (partition by u % 3, t) as y, x - avg(x) over (partition by u % 3, t) as x from p), b as (select g, sum(x*y)/sum(x*x) as b, sum(x*x) as xx, count(*) as n from m group by 1),
+    c as (select m.g, u, sum(x*(y-b*x)) as s from m join b using (g) group by 1,2), q as (select g, sum(s*s) as meat from c group by 1), h as (select count(*) as n, count(distinct u) as g, count(distinct (u % 3, t)) as k from p),
+    v as (select b.g, b.b, h.g/(h.g-1.0)*(h.n-1.0)/(h.n-3-h.k)*meat/(xx*xx) as v, h.n, h.g as clusters from b join q using (g), h)"""
+)
+
+
+def _interacted(spark, d):
+    t = _panel(spark, d).withColumn("g", F.concat(F.lit("g"), (F.col("u") % 3).cast("string")))
+    return R.interacted(t, "y", "x", "g", ["g0", "g1", "g2"], ["t"], ["u"])
+
+
+@query("r9_interacted", f"with {_GROUPS} select 'x:g' || g as term, round(b, 6) as estimate, round(sqrt(v), 6) as se, n, clusters from v")
+def _(spark, d):
+    return _rows(spark, _interacted(spark, d))
+
+
+@query("r9_equal_slopes", f"with {_GROUPS}, w as (select sum(b/v)/sum(1/v) as mean from v), f as (select sum((b-mean)*(b-mean)/v)/2 as f, max(clusters) as g from v, w) select round(f, 6) as f, 2 as restrictions, round(power(1 + 2*f/(g-1.0), -(g-1.0)/2), 6) as p from f")
+def _(spark, d):
+    f, k, p = _interacted(spark, d).equal(["x:g0", "x:g1", "x:g2"])
+    return spark.createDataFrame([(round(f, 6), k, round(p, 6))], "f double, restrictions int, p double")
+
+
+@query("r9_pairs", f"with {_GROUPS} select 'x:g' || a.g as a, 'x:g' || b.g as b, round(a.b-b.b, 6) as difference, round(sqrt(a.v+b.v), 6) as se from v a join v b on a.g < b.g")
 def _(spark, d):
-    t = _sample(spark, d).withColumn("g", F.concat(F.lit("g"), (F.col("u") % 3).cast("string")))
-    return _rows(spark, R.interacted(t, "y", "x", "g", ["g0", "g1", "g2"], ["t"], ["u"]))
+    rows = R.pairwise(_interacted(spark, d), ["x:g0", "x:g1", "x:g2"])
+    return spark.createDataFrame([(a, b, round(float(x), 6), round(float(s), 6)) for a, b, x, s, _ in rows], "a string, b string, difference double, se double")
 
 
 @query("r10_missing_patterns", "select contract_id, coalesce(importe,0) as importe, coalesce(cantidad,0) as cantidad, cast(importe is null as int) as missing_importe from contracts")
@@ -361,32 +446,38 @@ def _(spark, d):
     return spark.createDataFrame([(round(r["beta"], 6), round(r["t"], 6), r["p"], r["draws"])], "beta double, t double, p double, draws int")
 
 
-@query("r13_imputation_att")
+#: Effects where all treated rows come last: a unit's mean before, moved as the controls' mean moved.
+_EFFECTS = """, e as (select u, t, y - (select avg(y) from p q where q.u = p.u and q.t < {0}) - (select avg(y) from p q where q.u % 3 <> 0 and q.t = p.t) + (select avg(y) from p q where q.u % 3 <> 0 and q.t < {0}) as e from p where u % 3 = 0 and t >= {0})"""
+
+
+@query("r13_imputation_att", f"with {_PANEL}{_EFFECTS.format(1998)} select count(*) as n, round(avg(e), 3) as att from e")
 def _(spark, d):
-    return R.att(_sample(spark, d), "y", F.col("d") == 1, "u", "t").withColumn("att", F.round("att", 6))
+    return R.att(_panel(spark, d), "y", F.col("d") == 1, "u", "t").withColumn("att", F.round("att", 3))
 
 
 @query("r14_unit_bootstrap")
 def _(spark, d):
-    return R.unit_bootstrap(_sample(spark, d), "y", "d", "u", "t", 50)
+    t = _panel(spark, d).withColumn("side", F.col("u") % 3 == 0)
+    return R.unit_bootstrap(t, "y", "d", "u", "t", 1_000, stratum="side", controls=["x"])
 
 
 @query("r15_bands")
 def _(spark, d):
     import numpy as np
 
-    fit = R.fixed_effects(_sample(spark, d), "y", ["x", "z"], ["t"], ["u"])
+    fit = R.fixed_effects(_panel(spark, d), "y", ["x", "z"], ["t"], ["u"])
     draws = np.random.default_rng(1).multivariate_normal(fit.beta, fit.vcov, 2000)
     lo, hi, p = R.max_t_bands(fit.beta, draws)
     return spark.createDataFrame([(n, float(a), float(b), p) for n, a, b in zip(fit.names, lo, hi, strict=True)], "term string, low double, high double, joint_p double")
 
 
-@query("r16_event_study")
+@query(
+    "r16_event_study",
+    f"with {_PANEL}{_EFFECTS.format(1997)} select case when t < 2000 then 'onset' else 'exit' end as side, cast(case when t < 2000 then t - 1996 else t - 1999 end as int) as horizon, count(*) as n, round(avg(e), 3) as att from e group by 1, 2",
+)
 def _(spark, d):
-    from panelwright.operators.windows import event_labels
-
-    t = event_labels(_sample(spark, d).withColumn("s", F.col("d")), ["u"], ["t"], "s")
-    return R.att(t, "y", F.col("onset").isNotNull(), "u", "t", "onset").withColumn("att", F.round("att", 6))
+    t = _panel(spark, d).withColumn("s", ((F.col("u") % 3 == 0) & F.col("t").between(1997, 1999)).cast("int"))
+    return R.event_horizons(t, "y", "s", "u", "t", 10).withColumn("att", F.round("att", 3)).withColumn("horizon", F.col("horizon").cast("int"))
 
 
 @query(

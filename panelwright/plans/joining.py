@@ -186,7 +186,7 @@ def _(spark, d):
 
 @query(
     "j21_jaro_winkler",
-    """with n as (select distinct lower(strip_accents(trim(medios))) as n from attendance where medios is not null and trim(medios) <> ''), p as (select a.n as "left", b.n as "right", jaro_winkler_similarity(a.n, b.n) as s from n a join n b on a.n < b.n and substr(a.n,1,4)=substr(b.n,1,4))
+    """with n as (select distinct lower(strip_accents(trim(medios))) as n from attendance where medios is not null and trim(medios) <> ''), p as (select a.n as "left", b.n as "right", jaro_winkler_similarity(a.n, b.n) as s from n a join n b on a.n < b.n)
     select "left", "right", round(s, 6) as similarity from p where s >= 0.97""",
 )
 def _(spark, d):
@@ -206,9 +206,14 @@ def _(spark, d):
     return J.matching_blocks(p.select("article_row", F.split("a", "\n").alias("a"), F.split("b", "\n").alias("b")), "article_row", "a", "b")
 
 
-@query("u12_clusters")
+@query(
+    "u12_clusters",
+    """with recursive c as (select lower(strip_accents(trim(medios))) as n, count(*) as k from attendance where medios is not null and trim(medios) <> '' group by 1),
+    e as materialized (select a.n as a, b.n as b from c a join c b on a.n <> b.n where jaro_winkler_similarity(a.n, b.n) >= 0.97), r as (select a, b from e union select r.a, e.b from r join e on r.b = e.a)
+    select a as member, arg_min(b, (-k, b)) as representative from (select a, b from r union select a, a from e) x join c on c.n = x.b group by 1""",
+)
 def _(spark, d):
-    n = table(spark, d, "attendance").select(F.lower(F.trim("medios")).alias("n")).where("n <> ''")
+    n = table(spark, d, "attendance").select(F.lower(fold_accents(F.trim("medios"))).alias("n")).where("n <> ''")
     members = J.clusters(J.fuzzy_pairs(n, "n", 0.97), "left", "right")
     counts = n.groupBy(F.col("n").alias("member")).agg(F.count("*").alias("n"))
     return members.join(J.representatives(members, counts), "root").select("member", "representative")

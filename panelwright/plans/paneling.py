@@ -72,11 +72,12 @@ def _(spark, d):
 
 @query(
     "d4_entity_dimension",
-    """with t as (select distinct estado, medio, outlet_id, ciudad from outlet_registry) select medio, count(distinct outlet_id) as n_members, nullif(string_agg(distinct ciudad, ' | ' order by ciudad), '') as names,
-    case when count(distinct case when lower(estado)<>'unknown' then estado end)=1 then max(estado) when count(distinct case when lower(estado)<>'unknown' then estado end)>1 then 'conflict' else 'unknown' end as category from t group by 1""",
+    """with t as (select distinct estado, medio, outlet_id, ciudad, cast(outlet_id as varchar) as m from outlet_registry), g as (select medio, count(distinct outlet_id) as n_members, string_agg(distinct m, ' | ' order by m) as members, nullif(string_agg(distinct ciudad, ' | ' order by ciudad), '') as names,
+    case when count(distinct case when lower(estado)<>'unknown' then estado end)=1 then max(estado) when count(distinct case when lower(estado)<>'unknown' then estado end)>1 then 'conflict' else 'unknown' end as category from t group by 1)
+    select *, category = 'conflict' as estado_conflict, cast(row_number() over (order by medio nulls first) as int) as entity_number from g""",
 )
 def _(spark, d):
-    return P.entity_dimension(table(spark, d, "outlet_registry"), "medio", "outlet_id", "ciudad", "estado").drop("members")
+    return P.entity_dimension(table(spark, d, "outlet_registry"), "medio", "outlet_id", "ciudad", "estado")
 
 
 @query(
@@ -91,6 +92,40 @@ def _(spark, d):
     return h.select("o_custkey", F.col("window").alias("window_name"), "n_observed", "v", "v_per_day")
 
 
+_BASELINE = """w as (select * from (values ('total', date '2022-01-01', date '2024-06-14'), ('year1', date '2022-01-01', date '2022-12-31'), ('year2', date '2023-01-01', date '2023-12-31'), ('year3', date '2024-01-01', date '2024-06-14'), ('last_year', date '2023-06-15', date '2024-06-14'), ('last_2years', date '2022-06-15', date '2024-06-14')) t(name,a,b))"""
+
+
+@query(
+    "d5_baseline",
+    f"""with {_BASELINE}, t as (select coalesce(outlet_final,'none') as e, fecha as day, count(*) as rec, count(*) filter (where cargo is null) as q, count(*) filter (where medios is null) as ass from attendance where fecha < date '2024-06-15' group by 1,2),
+    p as (select e, day, strftime(day, '%Y-%m') <> '2023-11' as ao, q < 3 as qo, rec, ass, q from t), m as (select e, day, ao, qo, case when ao then rec end as rec, case when ao then ass end as ass, case when qo then q end as q, case when qo then cast(q > 0 as int) end as asked from p),
+    c as (select *, case when ao then greatest(rec + ass, coalesce(asked, 0)) when asked = 1 then 1 end as cor from m)
+    select e, name as window_name, sum(case when ao and qo then q end) as common_questions, sum(case when ao and qo then cor end) as common_attendance, sum(case when ao and qo then cast(cor > 0 as int) end) as common_attendance_days, sum(rec) as recorded, sum(cor - coalesce(rec,0) - coalesce(ass,0)) as inferred, sum(cor) as corrected, sum(q) as questions,
+    sum(cast(rec > 0 as int)) as attendance_days, sum(asked) as question_days, count(*) filter (where ao) as attendance_observed_days, count(*) filter (where ao and qo) as common_observed_days, round(sum(case when ao and qo then q end) / nullif(sum(case when ao and qo then cor end), 0), 8) as questions_per_attendance
+    from c join w on day between a and b group by 1, 2""",
+)
+def _(spark, d):
+    t = table(spark, d, "attendance").where("fecha < '2024-06-15'").groupBy(F.coalesce("outlet_final", F.lit("none")).alias("e"), F.col("fecha").alias("day"))
+    t = t.agg(F.count("*").alias("recorded"), F.count_if(F.col("cargo").isNull()).alias("questions"), F.count_if(F.col("medios").isNull()).alias("assumed"))
+    yes = F.lit(True)
+    t = t.withColumns({"attendance_matched": yes, "attendance_observed": yes, "questions_matched": yes, "questions_observed": F.col("questions") < 3})
+    h = P.baseline_history(P.prepare_history_days(t, "day", ("2023-11",)), P.baseline_windows(spark, "2024-06-15", "2022-01-01"), "e", "day", "2024-06-15")
+    kept = ["common_questions", "common_attendance", "common_attendance_days", "recorded", "inferred", "corrected", "questions", "attendance_days", "question_days", "attendance_observed_days", "common_observed_days"]
+    return h.select("e", F.col("window").alias("window_name"), *kept, F.round("questions_per_attendance", 8).alias("questions_per_attendance"))
+
+
+@query(
+    "d5_contracts",
+    f"""with {_BASELINE}, t as (select coalesce(entidad,'none') as e, fecha_contrato as day, sum(coalesce(importe,0)) as importe, count(*) as n, bool_and(importe is not null) as seen from contracts where fecha_contrato < date '2024-06-15' group by 1,2)
+    select e, name as window_name, count(*) filter (where seen) as observed_days, sum(case when seen then cast(n > 0 as int) end) as award_days, round(sum(case when seen then importe end), 4) as importe, sum(case when seen then n end) as n from t join w on day between a and b group by 1, 2""",
+)
+def _(spark, d):
+    t = table(spark, d, "contracts").where("fecha_contrato < '2024-06-15'").groupBy(F.coalesce("entidad", F.lit("none")).alias("e"), F.col("fecha_contrato").alias("day"))
+    t = t.agg(F.sum(F.coalesce("importe", F.lit(0))).alias("importe"), F.count("*").alias("n"), F.bool_and(F.col("importe").isNotNull()).alias("seen")).withColumn("matched", F.lit(True))
+    h = P.contract_history(t, P.baseline_windows(spark, "2024-06-15", "2022-01-01"), "e", "day", ["importe", "n"], "n", "matched", "seen", "2024-06-15")
+    return h.select("e", F.col("window").alias("window_name"), "observed_days", "award_days", F.round("importe", 4).alias("importe"), "n")
+
+
 @query(
     "d6_corrected",
     """with a as (select fecha as day, count(*) as rec from attendance group by 1), q as (select date as day, count(*) filter (where is_question_speaker) as asked from transcript_rows group by 1), j as (select coalesce(a.day,q.day) as day, rec, asked from a full join q on a.day=q.day)
@@ -104,15 +139,15 @@ def _(spark, d):
 
 @query(
     "d7_participation",
-    """with p as (select distinct outlet_final as e from attendance where outlet_final like 'radio%'), r as (select fecha as day, count(*) as n from attendance group by 1), q as (select distinct outlet_final as e, fecha as day from attendance where cargo is null and outlet_final like 'radio%'), k as (select distinct day from q),
-    d as (select coalesce(r.day,k.day) as day, n from r full join k on r.day=k.day), a as (select distinct outlet_final as e, fecha as day from attendance where outlet_final like 'radio%')
-    select p.e as outlet_final, d.day as fecha, case when q.e is not null or a.e is not null then 1 when coalesce(n,0)>=2 then 0 end as present, case when q.e is not null then 1 when k.day is not null then 0 end as asked
-    from p cross join d left join q on q.e=p.e and q.day=d.day left join a on a.e=p.e and a.day=d.day left join k on k.day=d.day""",
+    """with t as (select *, coalesce(outlet_final, 'none') as e from attendance), p as (select distinct e from t), r as (select fecha as day, count(*) as n from attendance group by 1), q as (select distinct e, fecha as day from t where cargo is null), k as (select distinct day from q),
+    d as (select coalesce(r.day,k.day) as day, n from r full join k on r.day=k.day), a as (select distinct e, fecha as day from t)
+    select p.e as outlet, count(*) as n_days, count(case when q.e is not null or a.e is not null then 1 when coalesce(n,0)>=2 then 0 end) as n_known, sum(case when q.e is not null or a.e is not null then 1 when coalesce(n,0)>=2 then 0 end) as n_present, sum(case when q.e is not null then 1 when k.day is not null then 0 end) as n_asked
+    from p cross join d left join q on q.e=p.e and q.day=d.day left join a on a.e=p.e and a.day=d.day left join k on k.day=d.day group by 1""",
 )
 def _(spark, d):
-    t = table(spark, d, "attendance")
-    r = t.where("outlet_final like 'radio%'")
-    return P.participation_panel(r, r, r.where("cargo is null"), t, "outlet_final", "fecha", 2)
+    t = table(spark, d, "attendance").withColumn("outlet", F.coalesce("outlet_final", F.lit("none")))
+    p = P.participation_panel(t, t, t.where("cargo is null"), table(spark, d, "attendance"), "outlet", "fecha", 2)
+    return p.groupBy("outlet").agg(F.count("*").alias("n_days"), F.count("present").alias("n_known"), F.sum("present").alias("n_present"), F.sum("asked").alias("n_asked"))
 
 
 @query(
@@ -130,13 +165,14 @@ def _(spark, d):
 @query(
     "d9_discoveries",
     """with t as (select *, lower(regexp_extract(regexp_replace(trim(url), '#.*$', ''), '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]+)', 1)) || substr(regexp_replace(trim(url), '#.*$', ''), 1 + length(regexp_extract(regexp_replace(trim(url), '#.*$', ''), '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]+)', 1))) as canonical,
-    case discovery_strategy when 'news_sitemap' then 1 when 'rss' then 2 else 3 end as p from sitemap_articles where regexp_matches(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]')), s as (select source_id, canonical, discovery_strategy as s, min(page_row) as r from t where discovery_strategy is not null group by 1,2,3), l as (select source_id, canonical, string_agg(s, ';' order by r) as strategies from s group by 1,2)
-    select t.source_id, t.canonical, count(*) as n_rows, max(l.strategies) as strategies, arg_min(page_row, p*10000000000+page_row) as page_row from t left join l on l.source_id=t.source_id and l.canonical=t.canonical group by 1,2""",
+    case discovery_strategy when 'news_sitemap' then 1 when 'rss' then 2 else 9 end as p, coalesce(discovery_strategy, 'unknown') as st from sitemap_articles where regexp_matches(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]')), s as (select source_id, canonical, st, min(p*10000000000+page_row) as r from t group by 1,2,3), l as (select source_id, canonical, string_agg(st, ';' order by r) as strategies from s group by 1,2)
+    select t.source_id, t.canonical, count(*) as n_rows, max(l.strategies) as strategies, arg_min(page_row, p*10000000000+page_row) as page_row, cast(min(scrape_timestamp) as date) as first_capture, cast(max(scrape_timestamp) as date) as last_capture, count(distinct language) as n_indexes
+    from t left join l on l.source_id is not distinct from t.source_id and l.canonical=t.canonical group by 1,2""",
 )
 def _(spark, d):
-    t = table(spark, d, "sitemap_articles")
-    m = C.merge_discoveries(t, "source_id", "url", "discovery_strategy", "scrape_timestamp", {"news_sitemap": 1, "rss": 2}, ["page_row"], "page_row")
-    return m.select("source_id", "canonical", "n_rows", "strategies", "page_row")
+    t = table(spark, d, "sitemap_articles").withColumn("stamp", F.date_format("scrape_timestamp", "yyyyMMddHHmmss"))
+    m = C.merge_discoveries(t, "source_id", "url", "discovery_strategy", "scrape_timestamp", {"news_sitemap": 1, "rss": 2}, ["page_row"], "page_row", "stamp", "language")
+    return m.select("source_id", "canonical", "n_rows", "strategies", "page_row", "first_capture", "last_capture", "n_indexes")
 
 
 @query(

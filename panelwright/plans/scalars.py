@@ -66,7 +66,14 @@ def _(spark, d):
     return table(spark, d, "articles").select("article_row", K.slug(F.col("title")).alias("slug"))
 
 
-@query("f8_stable_ids")
+_SLUG = "nullif(regexp_replace(regexp_replace(lower(strip_accents({})), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), '')"
+
+
+@query(
+    "f8_stable_ids",
+    f"""with t as (select outlet_id, coalesce({_SLUG.format('medio')}, 'x') as b, {_SLUG.format('estado')} as s from outlet_registry), w as (select outlet_id, case when count(*) over (partition by b) = 1 then b else concat_ws('-', b, s) end as w from t),
+    k as (select *, row_number() over (partition by w order by outlet_id) as k from w) select outlet_id, case when k = 1 then w else w || '-' || k end as stable_id from k""",
+)
 def _(spark, d):
     return C.stable_ids(table(spark, d, "outlet_registry").select("outlet_id", "medio", "estado"), "medio", "estado", "outlet_id").select("outlet_id", "stable_id")
 
@@ -110,12 +117,16 @@ def _(spark, d):
     return table(spark, d, "accreditations").select("accred_id", K.names_text(F.col("reporter"), F.concat_ws(" ", "reporter", "medios")).alias("named"))
 
 
-@query("f15_title_case")
+@query(
+    "f15_title_case",
+    """with t as (select outlet_id, array_to_string(list_transform(string_split(lower(canonical_id), ' '), lambda w: upper(w[1]) || w[2:]), ' ') as s from outlet_registry)
+    select outlet_id, array_to_string(list_transform(string_split(s, ' '), lambda w, i: case when w in ('De', 'La') and i > 1 and i < len(string_split(s, ' ')) then lower(w) when w = 'Tv' then 'TV' else w end), ' ') as title from t""",
+)
 def _(spark, d):
     return table(spark, d, "outlet_registry").select("outlet_id", K.title_case(F.col("canonical_id"), ("de", "la"), {"Tv": "TV"}).alias("title"))
 
 
-@query("f16_distinct_lines")
+@query("f16_distinct_lines", "select article_row, array_to_string(list_filter(string_split(main_text, chr(10)), lambda x, i: list_position(string_split(main_text, chr(10)), x) = i), chr(10)) as main_text from articles")
 def _(spark, d):
     return table(spark, d, "articles").select("article_row", K.distinct_lines(F.col("main_text")).alias("main_text"))
 
@@ -174,7 +185,14 @@ def _(spark, d):
     return table(spark, d, "sitemap_articles").select("page_row", D.url_date(F.col("url")).alias("day"))
 
 
-@query("f26_spanish_date")
+_ES = "(?i)([0-9]{1,2}) de (enero|febrero|marzo|abril|mayo|junio|julio|agosto|septiembre|octubre|noviembre|diciembre) de ([0-9]{4})"
+
+
+@query(
+    "f26_spanish_date",
+    f"""with t as (select article_row, regexp_extract(date_published, '{_ES}', 1) as d, lower(regexp_extract(date_published, '{_ES}', 2)) as m, regexp_extract(date_published, '{_ES}', 3) as y from articles)
+    select article_row, case when d <> '' then try_cast(y || '-' || lpad(cast(list_position(['enero','febrero','marzo','abril','mayo','junio','julio','agosto','septiembre','octubre','noviembre','diciembre'], m) as varchar), 2, '0') || '-' || lpad(d, 2, '0') as date) end as day from t""",
+)
 def _(spark, d):
     return table(spark, d, "articles").select("article_row", D.spanish_date(F.col("date_published")).alias("day"))
 

@@ -69,7 +69,12 @@ def _(spark, d):
     return _run(spark, s).select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("day"), "event_type", "n")
 
 
-@query("t4_split_windows")
+@query(
+    "t4_split_windows",
+    """with recursive c as (select cast(day(ts) as int) as k, count(*) as n from events group by 1), m as (select greatest(1, sum(n) // 6) as cap from c),
+    w as (select 1 as a, 30 as b union all select case h when 0 then a else (a + b) // 2 + 1 end, case h when 0 then (a + b) // 2 else b end from w, (values (0), (1)) x(h), m where b > a and (select sum(n) from c where k between a and b) > cap),
+    x as (select a, b, (select sum(n) from c where k between a and b) as n from w) select a, b, cast(n as bigint) as n from x, m where n > 0 and (n <= cap or a = b)""",
+)
 def _(spark, d):
     counts = dict(spark.read.parquet(f"{d}/events.parquet").groupBy(F.dayofmonth("ts").alias("k")).count().collect())
     plan = T.split_windows(1, 30, lambda a, b: sum(counts.get(k, 0) for k in range(a, b + 1)), max(1, sum(counts.values()) // 6))

@@ -58,14 +58,51 @@ def sheet_with_header(rows: DataFrame, order: str, sentinel_column: str, sentine
     return rows.where(F.col(order) > head[0][order]).withColumnsRenamed(names)
 
 
-def dated_files(spark: SparkSession, path: str, pattern: str = r"(\d{4})[-_](\d{2})[-_](\d{2})", form: str = "parquet") -> DataFrame:
+def dated_files(spark: SparkSession, path: str, pattern: str = r"(\d{4})[-_](\d{2})[-_](\d{2})", form: str = "parquet", **options: object) -> DataFrame:
     """Files of a folder with the date in their names as ``file_date`` (NULL if there is none)."""
-    df = spark.read.format(form).load(path)
+    df = spark.read.format(form).options(**options).load(path)
     name = F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1)
     g = [F.regexp_extract(name, pattern, k) for k in (1, 2, 3)]
     return df.withColumn("file_date", F.to_date(F.try_to_timestamp(F.concat_ws("-", *g), F.lit("yyyy-MM-dd"))))
 
 
+def write_named(df: DataFrame, path: str, by: str, name: str) -> str:
+    """One CSV file for each value of ``by`` in one folder, with the value in its name (``name`` has a ``{}``); the folder.
+
+    Values are as many as files: days, sources. Rows of a value are written by one task, as one file needs.
+    """
+    df.repartition(by).sortWithinPartitions(by).write.partitionBy(by).option("header", True).csv(f"{path}/parts")
+    jvm = df.sparkSession.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/parts")
+    fs = folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{path}/files"))
+    for part in fs.listStatus(folder):
+        if part.isDirectory():
+            value = part.getPath().getName().split("=", 1)[1]
+            files = [f.getPath() for f in fs.listStatus(part.getPath()) if f.getPath().getName().startswith("part-")]
+            for k, f in enumerate(files):
+                fs.rename(f, jvm.org.apache.hadoop.fs.Path(f"{path}/files/{name.format(value if not k else f'{value}.{k}')}"))
+    return f"{path}/files"
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """Write a Parquet table beside the old one and put it in its place once it is whole: readers see either of them.
+
+    If the write fails the old table stays. The swap is two renames in one folder.
+    """
+    jvm = df.sparkSession.sparkContext._jvm
+    at = lambda x: jvm.org.apache.hadoop.fs.Path(x)
+    fs = at(path).getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    new, old = f"{path}.new", f"{path}.old"
+    df.write.mode("overwrite").parquet(new)
+    fs.delete(at(old), True)
+    if fs.exists(at(path)):
+        fs.rename(at(path), at(old))
+    if not fs.rename(at(new), at(path)):
+        raise OSError(f"{new} could not be put in place of {path}")
+    fs.delete(at(old), True)
+
+
 def union_by_name(frames: list[DataFrame], wanted: dict[str, str], aliases: dict[str, list[str]] | None = None) -> DataFrame:
     """The wanted columns (name: type) of several tables: missing ones NULL, other names of a column coalesced, all cast."""
     def one(df: DataFrame) -> DataFrame:

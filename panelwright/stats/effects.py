@@ -10,12 +10,13 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.functions.numbers import finite
 from panelwright.operators.ordering import numbered, running
-from panelwright.session import broadcast_if_small, cut
+from panelwright.operators.windows import event_labels
+from panelwright.session import broadcast_if_small, cut, forget
 
 SWEEPS, TOLERANCE = 200, 1e-9
 
@@ -34,32 +35,49 @@ def drop_singletons(df: DataFrame, effects: list[str], max_rounds: int = 50) ->
     raise RuntimeError("singletons did not settle")
 
 
-def demean(df: DataFrame, columns: list[str], effects: list[str], weight: str | None = None) -> DataFrame:
-    """Columns less the means of all effects: exact for one, by alternating projections for several.
+def level_effects(d: DataFrame, columns: list[str], effects: list[str], weight: str | None = None, spread: dict[str, float] | None = None) -> dict[str, DataFrame]:
+    """For each of several effects a table (level, one mean a column) that together make up the columns' additive part.
 
-    Sweeps end when no value moves by more than TOLERANCE of its column's spread; lineage is cut in between.
+    Rows stay where they are: each step aggregates what the other effects leave over, partially before the shuffle,
+    and joins tables of levels, which are broadcast while they are small. It is an error if they do not settle.
     """
     w = F.col(weight) if weight else F.lit(1.0)
+    spread = spread or {c: 1.0 for c in columns}
+    tables = {e: cut(d.groupBy(e).agg(*[F.lit(0.0).alias(f"__{i}_{k}") for k in range(len(columns))])) for i, e in enumerate(effects)}
+    for _ in range(SWEEPS):
+        moved = 0.0
+        for i, e in enumerate(effects):
+            j = d
+            for o in effects:
+                if o != e:
+                    j = j.join(broadcast_if_small(tables[o]), o)
+            left = [F.col(c) - sum((F.col(f"__{n}_{k}") for n, o in enumerate(effects) if o != e), F.lit(0.0)) for k, c in enumerate(columns)]
+            new = cut(j.groupBy(e).agg(*[(F.sum(x * w) / F.sum(w)).alias(f"__{i}_{k}") for k, x in enumerate(left)]))
+            old = tables[e].select(F.col(e).alias("__e"), *[F.col(f"__{i}_{k}").alias(f"__o_{k}") for k in range(len(columns))])
+            change = new.join(broadcast_if_small(old), F.col(e) == F.col("__e")).agg(*[F.max(F.abs(F.col(f"__{i}_{k}") - F.col(f"__o_{k}"))) for k in range(len(columns))]).first()
+            forget(tables[e])
+            tables[e] = new
+            moved = max([moved, *[(x or 0.0) / max(spread[c] or 0.0, 1e-300) for x, c in zip(change, columns, strict=True) if spread[c]]])
+        if moved <= TOLERANCE:
+            return tables
+    raise RuntimeError(f"effects did not settle in {SWEEPS} sweeps")
 
-    def mean_out(d: DataFrame, e: str) -> DataFrame:
-        over = Window.partitionBy(e)
-        return d.withColumns({c: F.col(c) - F.sum(F.col(c) * w).over(over) / F.sum(w).over(over) for c in columns})
 
+def demean(df: DataFrame, columns: list[str], effects: list[str], weight: str | None = None) -> DataFrame:
+    """Columns less the means of all effects: exact for one, by alternating means of levels for several."""
+    w = F.col(weight) if weight else F.lit(1.0)
     if len(effects) == 1:
-        return mean_out(df, effects[0])
-    spread = df.agg(*[F.stddev_samp(c).alias(c) for c in columns]).first()
-    now = cut(df)
-    for k in range(SWEEPS):
-        before = {c: f"__old_{c}" for c in columns}
-        new = now.withColumns({o: F.col(c) for c, o in before.items()})
-        for e in effects:
-            new = mean_out(new, e)
-        new = cut(new)
-        moved = new.agg(*[F.max(F.abs(F.col(c) - F.col(o))).alias(c) for c, o in before.items()]).first()
-        now = new.drop(*before.values())
-        if all((moved[c] or 0.0) <= TOLERANCE * max(spread[c] or 0.0, 1e-300) for c in columns):
-            return now
-    raise RuntimeError(f"effects did not settle in {k + 1} sweeps")
+        e = effects[0]
+        means = df.groupBy(F.col(e).alias("__e")).agg(*[(F.sum(F.col(c) * w) / F.sum(w)).alias(f"__m{k}") for k, c in enumerate(columns)])
+        out = df.join(broadcast_if_small(cut(means)), F.col(e).eqNullSafe(F.col("__e")))
+        return out.select(*[(F.col(c) - F.col(f"__m{columns.index(c)}")).alias(c) if c in columns else F.col(c) for c in df.columns])
+    d = cut(df)
+    spread = d.agg(*[F.stddev_samp(c).alias(c) for c in columns]).first().asDict()
+    out = d
+    for t in (tables := level_effects(d, columns, effects, weight, spread)).items():
+        out = out.join(broadcast_if_small(t[1]), t[0])
+    part = lambda k: sum((F.col(f"__{i}_{k}") for i in range(len(tables))), F.lit(0.0))
+    return out.select(*[(F.col(c) - part(columns.index(c))).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def moments(df: DataFrame, xs: list[str], y: str | None = None) -> tuple[np.ndarray, np.ndarray | None, int, float]:
@@ -114,10 +132,21 @@ class Fit:
 
     def wald(self, names: list[str]) -> tuple[float, int, float]:
         """(F, restrictions, p) that all named coefficients are 0."""
+        return self.restrict(np.eye(len(self.names))[[self.names.index(n) for n in names]])
+
+    def equal(self, names: list[str]) -> tuple[float, int, float]:
+        """(F, restrictions, p) that all named coefficients are the same."""
         k = [self.names.index(n) for n in names]
-        b = self.beta[k]
-        f = float(b @ np.linalg.pinv(self.vcov[np.ix_(k, k)]) @ b) / len(k)
-        return f, len(k), f_tail(f, len(k), self.dof)
+        r = np.zeros((len(k) - 1, len(self.names)))
+        r[:, k[0]] = 1.0
+        r[np.arange(len(k) - 1), k[1:]] = -1.0
+        return self.restrict(r)
+
+    def restrict(self, r: np.ndarray) -> tuple[float, int, float]:
+        """(F, restrictions, p) that ``r`` times the coefficients is 0."""
+        b, v = r @ self.beta, r @ self.vcov @ r.T
+        f = float(b @ np.linalg.pinv(v) @ b) / len(r)
+        return f, len(r), f_tail(f, len(r), self.dof)
 
 
 def _meat(df: DataFrame, xs: list[str], cluster: list[str]) -> tuple[np.ndarray, int]:
@@ -127,25 +156,28 @@ def _meat(df: DataFrame, xs: list[str], cluster: list[str]) -> tuple[np.ndarray,
     return g, n
 
 
-def fixed_effects(df: DataFrame, y: str, xs: list[str], effects: list[str], cluster: list[str], nested: bool = True) -> Fit:
+def fixed_effects(df: DataFrame, y: str, xs: list[str], effects: list[str], cluster: list[str], nested: bool = True, weight: str | None = None) -> Fit:
     """Least squares of ``y`` on ``xs`` within ``effects``, with variance clustered on one or two columns.
 
     Rows with a missing or infinite value and singletons of effects are left out, as are collinear terms. One-way:
     factor G / (G - 1) * (n - 1) / (n - k), where k counts the terms, and the effects not nested in the clusters;
-    t with G - 1 degrees. Two-way: V1 + V2 - V12 with the smaller number of clusters.
+    t with G - 1 degrees. Two-way: V1 + V2 - V12 with the smaller number of clusters. ``weight`` weighs rows.
     """
     ok = finite(F.col(y).cast("double"))
     for x in xs:
         ok = ok & finite(F.col(x).cast("double"))
-    keep = list(dict.fromkeys([y, *xs, *effects, *cluster]))
-    d = df.select(*keep).where(ok).dropna(subset=[*effects, *cluster]).withColumns({c: F.col(c).cast("double") for c in [y, *xs]})
+    keep = list(dict.fromkeys([y, *xs, *effects, *cluster, *([weight] if weight else [])]))
+    d = df.select(*keep).where(ok if weight is None else ok & (F.col(weight) > 0)).dropna(subset=[*effects, *cluster]).withColumns({c: F.col(c).cast("double") for c in [y, *xs]})
     d = drop_singletons(d, effects) if effects else cut(d)
     if not effects:
         d = d.withColumn("(const)", F.lit(1.0))
         xs = ["(const)", *xs]
     ids = {c: f"__id_{i}" for i, c in enumerate(cluster)}
     m = d.withColumns({i: F.col(c) for c, i in ids.items()})
-    m = cut(demean(m, [y, *[x for x in xs if x != "(const)"]], effects)) if effects else m
+    m = cut(demean(m, [y, *[x for x in xs if x != "(const)"]], effects, weight)) if effects else m
+    if weight:
+        root = F.sqrt(F.col(weight).cast("double"))
+        m = m.withColumns({c: F.col(c) * root for c in [y, *xs]})
     g, v, n, _ = moments(m, xs, y)
     kept = independent_columns(g)
     names = [xs[i] for i in kept]
@@ -178,36 +210,59 @@ def interacted(df: DataFrame, y: str, x: str, group: str, levels: list[str], eff
     return fixed_effects(d.where(F.col(group).isin(*levels)), y, [f"{x}:{v}" for v in levels], [f"{e}*{group}" for e in effects], cluster)
 
 
+def pairwise(fit: Fit, names: list[str]) -> list[tuple[str, str, float, float, float]]:
+    """(a, b, difference, se, p) of each two of the named coefficients."""
+    out = []
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            d, se = fit.contrast({a: 1.0, b: -1.0})
+            out.append((a, b, d, se, 2 * t_tail(abs(d / se), fit.dof) if se > 0 else math.nan))
+    return out
+
+
 def fit_effects(df: DataFrame, y: str, unit: str, date: str, weight: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(unit effects, date effects) of a two-way model by alternating group means."""
-    w = F.col(weight) if weight else F.lit(1.0)
-    d = cut(df.select(unit, date, F.col(y).cast("double").alias("__y"), w.alias("__w")).dropna())
-    dates = cut(d.groupBy(date).agg(F.lit(0.0).alias("b")))
-    units = None
-    for _ in range(SWEEPS):
-        units = d.join(dates, date).groupBy(unit).agg((F.sum((F.col("__y") - F.col("b")) * F.col("__w")) / F.sum("__w")).alias("a"))
-        new = d.join(units, unit).groupBy(date).agg((F.sum((F.col("__y") - F.col("a")) * F.col("__w")) / F.sum("__w")).alias("b"))
-        new = cut(new)
-        moved = new.join(dates.withColumnRenamed("b", "old"), date).agg(F.max(F.abs(F.col("b") - F.col("old")))).first()[0] or 0.0
-        dates = new
-        if moved <= 1e-10:
-            break
-    units = cut(d.join(dates, date).groupBy(unit).agg((F.sum((F.col("__y") - F.col("b")) * F.col("__w")) / F.sum("__w")).alias("a")))
-    return units, dates
+    """((unit, a), (date, b)): effects of a two-way model by alternating group means; raises if they do not settle."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    d = cut(df.select(unit, date, F.col(y).cast("double").alias("__y"), w.alias("__w")).dropna().where("__w > 0"))
+    spread = {"__y": d.agg(F.stddev_samp("__y")).first()[0] or 1.0}
+    t = level_effects(d, ["__y"], [unit, date], "__w", spread)
+    return t[unit].withColumnRenamed("__0_0", "a"), t[date].withColumnRenamed("__1_0", "b")
+
+
+def imputation_effects(df: DataFrame, y: str, treated: Column, unit: str, date: str, controls: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """Treated rows with ``effect``: outcome less what untreated rows predict; NULL without both effects or a control.
+
+    The model of the untreated rows has unit and date effects and, with ``controls``, their slopes; ``weight`` weighs rows.
+    """
+    d = df.withColumn("__t", F.coalesce(treated, F.lit(False))).withColumn("__y", F.col(y).cast("double"))
+    if controls:
+        fit = fixed_effects(d.where(~F.col("__t")), "__y", controls, [unit, date], [unit], weight=weight)
+        for name, k in zip(fit.names, fit.beta, strict=True):
+            d = d.withColumn("__y", F.col("__y") - F.col(name).cast("double") * F.lit(float(k)))
+    units, dates = fit_effects(d.where(~F.col("__t")), "__y", unit, date, weight)
+    t = d.where("__t").join(broadcast_if_small(units), unit, "left").join(broadcast_if_small(dates), date, "left")
+    return t.withColumn("effect", F.col("__y") - F.col("a") - F.col("b")).drop("a", "b", "__t", "__y")
 
 
-def imputation_effects(df: DataFrame, y: str, treated: Column, unit: str, date: str) -> DataFrame:
-    """Treated rows with ``effect``: outcome less what the effects of untreated rows predict; NULL without both effects."""
-    d = df.withColumn("__t", F.coalesce(treated, F.lit(False)))
-    units, dates = fit_effects(d.where(~F.col("__t")), y, unit, date)
-    t = d.where("__t").join(units, unit, "left").join(dates, date, "left")
-    return t.withColumn("effect", F.col(y) - F.col("a") - F.col("b")).drop("a", "b", "__t")
+def att(df: DataFrame, y: str, treated: Column, unit: str, date: str, by: str | None = None, controls: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """(by, n, att): mean effect of treated rows, by event label if one is named; weighed if ``weight`` is."""
+    e = imputation_effects(df, y, treated, unit, date, controls, weight).where("effect is not null")
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    return e.groupBy(*([by] if by else [])).agg(F.count("*").alias("n"), (F.sum(F.col("effect") * w) / F.sum(w)).alias("att"))
 
 
-def att(df: DataFrame, y: str, treated: Column, unit: str, date: str, by: str | None = None) -> DataFrame:
-    """(by, n, att): mean effect of treated rows, by event label if one is named."""
-    e = imputation_effects(df, y, treated, unit, date).where("effect is not null")
-    return e.groupBy(*([by] if by else [])).agg(F.count("*").alias("n"), F.avg("effect").alias("att"))
+def event_horizons(df: DataFrame, y: str, state: str, unit: str, date: str, k: int, controls: list[str] | None = None) -> DataFrame:
+    """(side, horizon, n, att): mean effects at 1..k steps from an onset on and 1..k steps after an exit (carryover).
+
+    Rows at these steps, and all others whose state is 1, are left out of the model of the untreated.
+    """
+    labelled = event_labels(df, [unit], [date], state, k)
+    on, off = F.col("onset") > 0, F.col("exit") > 0
+    side = F.when(on, F.lit("onset")).when(off, F.lit("exit"))
+    d = cut(labelled.withColumn("__side", side).withColumn("__h", F.when(on, F.col("onset")).when(off, F.col("exit"))))
+    e = imputation_effects(d, y, (F.col(state) == 1) | F.col("__side").isNotNull(), unit, date, controls)
+    e = e.where(F.col("effect").isNotNull() & F.col("__side").isNotNull())
+    return e.groupBy(F.col("__side").alias("side"), F.col("__h").alias("horizon")).agg(F.count("*").alias("n"), F.avg("effect").alias("att"))
 
 
 def standardized_differences(df: DataFrame, flag: str, columns: list[str]) -> DataFrame:
@@ -291,45 +346,83 @@ def wild_bootstrap(sums: DataFrame, draws: int = 9_999, seed: int = 1, max_clust
     return {"beta": float(s.sum() / total), "t": t0, "p": (1 + more) / (1 + draws), "clusters": len(s), "draws": draws}
 
 
-def unit_bootstrap(df: DataFrame, y: str, treated: str, unit: str, date: str, draws: int, seed: int = 1, max_cells: int = 5_000_000, done: DataFrame | None = None) -> DataFrame:
-    """(draw, att): imputation effects with units drawn with replacement, as weights and not as copies.
+def unit_weights(units: DataFrame, unit: str, draw: int, seed: int = 1, stratum: str | None = None) -> DataFrame:
+    """(unit, weight): how often each unit is drawn in one draw of as many as there are, within its stratum.
 
-    The panel goes to the workers as arrays if it has no more than ``max_cells`` rows; draws are spread over them.
-    ``done`` (draw, att): draws already made, which are kept; so a stopped run goes on.
+    Every unit makes one draw: the place it draws is a hash of it, so units are never collected.
+    """
+    group = [stratum] if stratum else []
+    d = cut(numbered(units.select(unit, *group).distinct(), [*group, unit], "__k"))
+    per = d.groupBy(*group).agg(F.count("*").alias("__n"), F.min("__k").alias("__from"))
+    d = d.join(broadcast_if_small(per), group) if group else d.join(F.broadcast(per))  # one row
+    place = F.col("__from") + F.pmod(F.xxhash64(unit, F.lit(draw), F.lit(seed)), F.col("__n"))
+    drawn = d.groupBy(place.alias("__k")).agg(F.count("*").alias("weight"))
+    return d.join(drawn, "__k", "left").select(unit, F.coalesce("weight", F.lit(0)).alias("weight"))
+
+
+def unit_bootstrap(
+    df: DataFrame, y: str, treated: str, unit: str, date: str, draws: int, seed: int = 1, max_cells: int = 5_000_000, done: DataFrame | None = None,
+    stratum: str | None = None, controls: list[str] | None = None,
+) -> DataFrame:
+    """(draw, att): imputation effects with units drawn with replacement, within strata, as weights and not as copies.
+
+    A panel of at most ``max_cells`` rows goes to the workers as arrays, and draws are spread over them. A larger one
+    stays where it is: each draw is a weighted fit of its own. ``done`` (draw, att): draws already made, which are
+    kept; so a stopped run goes on. With ``controls`` their slopes are those of the whole sample's untreated rows.
     """
     import pandas as pd
 
-    d = df.select(unit, date, F.col(y).cast("double").alias("y"), F.col(treated).cast("int").alias("d")).dropna()
+    spark = df.sparkSession
+    d = df.withColumn("__y", F.col(y).cast("double")).withColumn("__d", F.col(treated).cast("int"))
+    if controls:
+        fit = fixed_effects(d.where("__d = 0"), "__y", controls, [unit, date], [unit])
+        for name, k in zip(fit.names, fit.beta, strict=True):
+            d = d.withColumn("__y", F.col("__y") - F.col(name).cast("double") * F.lit(float(k)))
+    group = (F.col(stratum) if stratum else F.lit(0)).cast("string").alias("__s")
+    d = cut(d.select(unit, date, "__y", "__d", group).dropna())
+    todo = spark.range(draws).select(F.col("id").cast("int").alias("draw"))
+    todo = todo.join(done.select("draw"), "draw", "left_anti") if done is not None else todo
     if d.count() > max_cells:
-        raise ValueError(f"more than {max_cells} cells; use att() on weights of one draw at a time")
+        rows = []
+        for k in sorted(r[0] for r in todo.collect()):  # numbers of draws, a setting
+            w = unit_weights(d, unit, k, seed, "__s")
+            one = att(d.join(w, unit), "__y", F.col("__d") == 1, unit, date, weight="weight").first()
+            rows.append((k, one["att"] if one else None))
+        new = spark.createDataFrame(rows, "draw int, att double")
+        return done.unionByName(new) if done is not None else new
     p = d.toPandas()
     u, n_u = pd.factorize(p[unit])[0], p[unit].nunique()
     t, n_t = pd.factorize(p[date])[0], p[date].nunique()
-    arrays = df.sparkSession.sparkContext.broadcast((u, t, p["y"].to_numpy(), p["d"].to_numpy() == 1, n_u, n_t))
+    of_unit = p.groupby(u)["__s"].first()
+    strata = [of_unit.index[of_unit == x].to_numpy() for x in sorted(of_unit.unique())]
+    arrays = spark.sparkContext.broadcast((u, t, p["__y"].to_numpy(), p["__d"].to_numpy() == 1, n_u, n_t, strata))
 
     def run(parts):
-        u, t, y, d, n_u, n_t = arrays.value
+        u, t, y, d, n_u, n_t, strata = arrays.value
         c = ~d
         for part in parts:
             out = []
             for k in part["draw"]:
-                w_u = np.bincount(np.random.default_rng([seed, int(k)]).integers(0, n_u, n_u), minlength=n_u).astype(float)
+                rng = np.random.default_rng([seed, int(k)])
+                w_u = np.zeros(n_u)
+                for s in strata:
+                    w_u[s] = np.bincount(rng.integers(0, len(s), len(s)), minlength=len(s))
                 w = w_u[u]
                 b = np.zeros(n_t)
-                for _ in range(500):
+                for _ in range(5_000):
                     a = _mean(u[c], (y - b[t])[c], w[c], n_u)
                     new = _mean(t[c], (y - a[u])[c], w[c], n_t)
                     moved = np.nanmax(np.abs(new - b)) if (~np.isnan(new)).any() else 0.0
                     b = new
-                    if moved < 1e-10:
+                    if moved < 1e-10 * max(1.0, np.nanmax(np.abs(y))):
                         break
+                else:
+                    raise RuntimeError(f"effects of draw {k} did not settle")
                 e = (y - a[u] - b[t])[d]
                 ok = ~np.isnan(e)
                 out.append(float((e * w[d])[ok].sum() / w[d][ok].sum()) if w[d][ok].sum() > 0 else None)
-            yield pd.DataFrame({"draw": part["draw"], "att": out})
+            yield pd.DataFrame({"draw": part["draw"], "att": out}).astype({"att": "float64"})
 
-    todo = df.sparkSession.range(draws).select(F.col("id").cast("int").alias("draw"))
-    todo = todo.join(done.select("draw"), "draw", "left_anti") if done is not None else todo
     new = todo.repartition(32).mapInPandas(run, "draw int, att double")
     return done.unionByName(new) if done is not None else new
 

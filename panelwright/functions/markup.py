@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,7 @@ def first_of(*columns: Column) -> Column:
     return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in columns])
 
 
+# Public schema type names of articles.
 ARTICLE_TYPES = frozenset(("article", "newsarticle", "reportagenewsarticle", "blogposting", "opinionnewsarticle"))
 
 
@@ -122,27 +124,52 @@ def main_text(html: str | None) -> str | None:
     return best
 
 
-def page_fields(df: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, title, published, author, canonical, main_text): JSON-LD first, then meta tags, then elements."""
-    kind = df.schema[key].dataType.simpleString()
+def author_names(author: object, sep: str = "; ") -> str | None:
+    """Names of the authors of an article item, each once and in order, joined; NULL if there is none."""
+    names: dict[str, None] = {}
+    for a in author if isinstance(author, list) else [author]:
+        name = a.get("name") if isinstance(a, dict) else a
+        for n in name if isinstance(name, list) else [name]:
+            if isinstance(n, str) and n.strip(" "):
+                names[n.strip(" ")] = None
+    return sep.join(names) or None
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            out = []
-            for k, h in zip(p[key], p[html], strict=True):
-                x = article_json(h) or {}
-                author = x.get("author")
-                author = author[0] if isinstance(author, list) and author else author
-                author = author.get("name") if isinstance(author, dict) else author
-                out.append((k, x.get("headline"), x.get("datePublished"), author, main_text(h), h))
-            yield pd.DataFrame(out, columns=[key, "j_title", "j_date", "j_author", "main_text", "h"])
-
-    j = df.select(key, html).mapInPandas(run, f"`{key}` {kind}, j_title string, j_date string, j_author string, main_text string, h string")
-    h = F.col("h")
+
+def json_ld(df: DataFrame, key: str, html: str, keep: list[str] | None = None, with_main_text: bool = False) -> DataFrame:
+    """(key, keep..., headline, published, modified, authors[, main_text]) of the first article item of a page's JSON-LD.
+
+    Rows without such an item, with null or broken pages keep NULLs; every row comes out once.
+    """
+    keep = keep or []
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [key, *keep]) + ", headline string, published string, modified string, authors string, main_text string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(article_json(h) or {}, h) for h in b.column(b.num_columns - 1).to_pylist()]
+            text = lambda k: pa.array([x.get(k) if isinstance(x.get(k), str) else None for x, _ in rows], pa.string())  # noqa: B023, E731
+            out = [text("headline"), text("datePublished"), text("dateModified"), pa.array([author_names(x.get("author")) for x, _ in rows], pa.string())]
+            main = pa.array([main_text(h) if with_main_text else None for _, h in rows], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *out, main], names=[key, *keep, "headline", "published", "modified", "authors", "main_text"])
+
+    got = df.select(key, *keep, html).mapInArrow(run, schema)
+    return got if with_main_text else got.drop("main_text")
+
+
+def page_fields(df: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, title, published, author, canonical, main_text): JSON-LD first, then meta tags, then elements.
+
+    Native expressions take the tags before the page goes through the parser once; only fields come back.
+    """
+    h = F.col(html)
+    native = df.select(
+        key, first_of(meta_content(h, "og:title"), tag_text(h, "h1"), tag_text(h, "title")).alias("__title"),
+        first_of(meta_content(h, "article:published_time"), F.regexp_extract(h, r"""(?is)<time\b[^>]*\bdatetime\s*=\s*["']([^"']+)""", 1)).alias("__date"),
+        meta_content(h, "author").alias("__author"), first_of(link_href(h, "canonical"), meta_content(h, "og:url")).alias("canonical"), h.alias("__html"),
+    )
+    j = json_ld(native, key, "__html", ["__title", "__date", "__author", "canonical"], with_main_text=True)
     return j.select(
-        key, first_of(F.col("j_title"), meta_content(h, "og:title"), tag_text(h, "h1"), tag_text(h, "title")).alias("title"),
-        first_of(F.col("j_date"), meta_content(h, "article:published_time"), F.regexp_extract(h, r"""(?is)<time\b[^>]*\bdatetime\s*=\s*["']([^"']+)""", 1)).alias("published"),
-        first_of(F.col("j_author"), meta_content(h, "author")).alias("author"), first_of(link_href(h, "canonical"), meta_content(h, "og:url")).alias("canonical"), "main_text",
+        key, first_of(F.col("headline"), F.col("__title")).alias("title"), first_of(F.col("published"), F.col("__date")).alias("published"),
+        first_of(F.col("authors"), F.col("__author")).alias("author"), "canonical", "main_text",
     )
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.operators.contracts import require_unique
+from panelwright.operators.graph import components
 from panelwright.session import broadcast_if_small, cut
 
 
@@ -254,22 +255,9 @@ MOST_LETTERS = 10_000
 LETTER_COLUMNS = 64
 
 
-def clusters(links: DataFrame, left: str, right: str, max_rounds: int = 50) -> DataFrame:
-    """(member, root): the smallest member that a member is linked with, by rounds of min-label joins."""
-    e = links.select(F.col(left).alias("a"), F.col(right).alias("b"))
-    e = cut(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = cut(e.groupBy(F.col("a").alias("member")).agg(F.least(F.min("b"), F.min("a")).alias("root")))
-    for _ in range(max_rounds):
-        seen = e.join(label, F.col("b") == F.col("member")).groupBy("a").agg(F.min("root").alias("r"))
-        new = label.join(seen, F.col("member") == F.col("a"), "left").select("member", F.least("root", "r").alias("root"))
-        # Labels also jump to the label of their label, which halves long chains.
-        jump = new.select(F.col("member").alias("m2"), F.col("root").alias("r2"))
-        new = cut(new.join(jump, F.col("root") == F.col("m2"), "left").select("member", F.least("root", "r2").alias("root")))
-        changed = new.join(label.withColumnRenamed("root", "old"), "member").where("root <> old").limit(1).count()
-        label = new
-        if not changed:
-            return label
-    raise RuntimeError("clusters did not settle")
+def clusters(links: DataFrame, left: str, right: str) -> DataFrame:
+    """(member, root): the smallest member that a member is linked with; rows with a NULL end link nothing."""
+    return components(links.dropna(subset=[left, right]), left, right).select(F.col("id").alias("member"), "root")
 
 
 def representatives(members: DataFrame, counts: DataFrame, member: str = "member", root: str = "root", n: str = "n") -> DataFrame:

@@ -281,13 +281,26 @@ def _(spark, d):
     return t.select("page_row", M.meta_content(h, "og:title").alias("og"), M.link_href(h, "canonical").alias("canonical"))
 
 
+@query(
+    "f41_json_ld",
+    """select article_row, title as headline, date_published as published, date_modified as modified, nullif(array_to_string(list_distinct_in_order, '; '), '') as authors
+    from (select *, list_filter(l, lambda x, i: list_position(l, x) = i) as list_distinct_in_order from (select *, list_filter(list_transform(string_split(authors, ','), lambda x: trim(x, ' ')), lambda x: x <> '') as l from articles))""",
+)
+def _(spark, d):
+    names = F.transform(F.split("authors", ","), lambda x: F.struct(F.lit("Person").alias("@type"), x.alias("name")))
+    item = F.struct(F.lit("NewsArticle").alias("@type"), F.col("title").alias("headline"), F.col("date_published").alias("datePublished"), F.col("date_modified").alias("dateModified"), names.alias("author"))
+    graph = F.to_json(F.struct(F.array(F.struct(F.lit("WebSite").alias("@type"))).alias("@graph")))
+    page = F.concat(F.lit('<html><script type="application/ld+json">{broken</script><script type="application/ld+json">'), graph, F.lit('</script><script type="application/ld+json">['), F.to_json(item), F.lit("]</script></html>"))
+    return M.json_ld(table(spark, d, "articles").select("article_row", page.alias("html")), "article_row", "html")
+
+
 @query("f43_page_fields")
 def _(spark, d):
     t = table(spark, d, "sitemap_articles").where("title is not null and main_text is not null").select("page_row", F.expr(_HTML.replace("canonical_url", "coalesce(canonical_url, url)")).alias("html"))
     return M.page_fields(t, "page_row", "html").select("page_row", "title", "canonical", F.length("main_text").alias("n_chars"))
 
 
-@query("f44_feed_entries")
+@query("f44_feed_entries", "select distinct source_id, 'sitemap' as kind, trim(url) as url from sitemap_articles where trim(url) <> ''")
 def _(spark, d):
     one = F.concat(F.lit("<url><loc>"), F.regexp_replace("url", "&", "&amp;"), F.lit("</loc></url>"))
     t = table(spark, d, "sitemap_articles").groupBy("source_id").agg(F.concat(F.lit("<urlset>"), F.array_join(F.array_sort(F.collect_set(one)), ""), F.lit("</urlset>")).alias("xml"))

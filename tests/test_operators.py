@@ -143,7 +143,14 @@ def test_discoveries_and_queue(spark):
     rows = [("s", "http://A.mx/1", "cdx", "2025-01-03", "old", 1), ("s", "http://a.mx/1#f", "sitemap", "2025-02-01", "new", 2), ("s", None, "x", "2025-01-01", "z", 3)]
     df = spark.createDataFrame(rows, "source string, url string, strategy string, seen string, title string, k int")
     got = crawl.merge_discoveries(df, "source", "url", "strategy", "seen", {"sitemap": 1}, ["title"], "k").collect()
-    assert len(got) == 1 and (got[0]["title"], got[0]["strategies"], got[0]["first_seen"], got[0]["n_rows"]) == ("new", "cdx;sitemap", "2025-01-03", 2)
+    assert len(got) == 1 and (got[0]["title"], got[0]["strategies"], got[0]["first_seen"], got[0]["n_rows"]) == ("new", "sitemap;cdx", "2025-01-03", 2)
+    # A source's variants of one URL fold into one; the best strategy comes first, whatever came first.
+    rows = [("r", "http://r.mx/story/ar123456?v=3#x", "archive", None, "I1", "20250103040506", 1), ("r", "https://www.r.mx/story/ar123456", "official", "2026-01-02", None, None, 2), ("r", "nowhere", "official", None, None, None, 3), ("r", "http://r.mx/b?q=1", None, None, "I1", "bad", 4)]
+    df = spark.createDataFrame(rows, "source string, url string, strategy string, lastmod string, ix string, stamp string, k int")
+    got = crawl.merge_discoveries(df, "source", "url", "strategy", "lastmod", {"official": 1, "archive": 3}, ["lastmod"], "k", "stamp", "ix", {"r": (r"/(?:ar|op)\d+/?$", "www.r.mx")}).orderBy("canonical").collect()
+    assert [r["canonical"] for r in got] == ["http://r.mx/b?q=1", "https://www.r.mx/story/ar123456"]
+    assert (got[1]["lastmod"], got[1]["strategy"], got[1]["strategies"], got[1]["first_capture"], got[1]["n_indexes"]) == ("2026-01-02", "official", "official;archive", D(2025, 1, 3), 1)
+    assert (got[0]["strategies"], got[0]["first_capture"]) == ("unknown", None)
     done = spark.createDataFrame([("s", "u1", 200, None, "text", 1), ("s", "u2", 500, "x", None, 1), ("s", "u3", 200, None, "", 1)], "source string, url string, status int, error string, main_text string, scrape_timestamp int")
     found = spark.createDataFrame([("s", f"u{k}") for k in (1, 2, 3, 4)], "source string, url string")
     queue = lambda **x: [r["url"] for r in crawl.work_queue(found, done, "source", "url", ["url"], **x).collect()]
@@ -241,3 +248,107 @@ def test_registered_queries_take_all_ids(spark, data):
             n = Counter(x[k] for x in left)
             left = {x for x in left if n[x[k]] >= least}
     assert {tuple(r) for r in selections.QUERIES["proj_p14_support"](spark, larger).select("user_id", "day").collect()} == left != set()
+
+
+def test_baseline_history(spark):
+    w = panel.baseline_windows(spark, "2022-04-18")
+    by = {r["window"]: (r["from_date"], r["to_date"]) for r in w.collect()}
+    assert by["year1"] == (D(2018, 12, 1), D(2019, 11, 30)) and by["last_year"][0] == D(2021, 4, 18) and by["last_2years"][0] == D(2020, 4, 18) and by["total"] == (D(2018, 12, 1), D(2022, 4, 17))
+    assert max(b for _, b in by.values()) == D(2022, 4, 17) and by["year4"] == (D(2021, 12, 1), D(2022, 4, 17)) and "year5" not in by
+    dates = [D(2021, 11, 1), D(2022, 4, 15), D(2022, 4, 16), D(2022, 4, 17)]
+    rows = [(e, d, e != 2, True, e != 2, d != dates[3], 2.0 if d == dates[1] else 0.0, 0.0, 3.0 if e == 1 else 0.0) for e in (1, 2, 3) for d in dates]
+    days = spark.createDataFrame(rows, "e int, day date, attendance_matched boolean, attendance_observed boolean, questions_matched boolean, questions_observed boolean, recorded double, assumed double, questions double")
+    p = panel.prepare_history_days(days, "day", ("2021-11",))
+    seen = {(r["e"], r["day"]): r for r in p.collect()}
+    assert not any(seen[e, dates[0]]["attendance_observed"] for e in (1, 2, 3)) and all(seen[2, d]["recorded"] is None for d in dates) and seen[1, dates[2]]["corrected"] == 1
+    got = {r["e"]: r for r in panel.baseline_history(p, w, "e", "day", "2022-04-18").where("window = 'total'").collect()}
+    assert (got[1]["questions"], got[1]["recorded"], got[1]["questions_per_attendance"], got[1]["question_day_share"]) == (9, 2, 2.0, 1.0)
+    assert (got[2]["questions"], got[2]["attendance_observed_days"], got[3]["questions"]) == (None, 0, 0)
+    late = p.unionByName(p.where("e = 1 and day = '2022-04-17'").withColumn("day", F.lit("2022-04-18").cast("date")))
+    for bad in (late, p.unionByName(p.limit(1))):
+        with pytest.raises(Q.ContractError):
+            panel.baseline_history(bad, w, "e", "day", "2022-04-18")
+
+
+def test_contract_history(spark):
+    w = panel.baseline_windows(spark, "2022-04-18")
+    rows = [(e, d, e != "none", True, 100.0 if e == "a" else 0.0, 3 if e == "a" else 0) for e in ("a", "b", "none") for d in (D(2021, 11, 1), D(2022, 4, 17))]
+    days = spark.createDataFrame(rows, "e string, day date, matched boolean, seen boolean, cost double, n int")
+    run = lambda x: panel.contract_history(x, w, "e", "day", ["cost", "n"], "n", "matched", "seen", "2022-04-18")
+    got = {r["e"]: r for r in run(days).where("window = 'total'").collect()}
+    assert (got["a"]["cost"], got["a"]["n"], got["a"]["award_days"]) == (200, 6, 2) and got["b"]["cost"] == 0 and (got["none"]["cost"], got["none"]["observed_days"]) == (None, 0)
+    with pytest.raises(Q.ContractError):
+        run(days.unionByName(days.limit(1)))
+
+
+def test_running_values_and_quantiles(spark):
+    from panelwright.operators.ordering import exact_quantiles, numbered, running
+
+    rng = np.random.default_rng(7)
+    rows = [(int(k), str(g) if g else None, float(v) if v > 2 else None) for k, (g, v) in enumerate(zip(rng.integers(0, 3, 500), rng.integers(0, 40, 500), strict=True))]
+    df = spark.createDataFrame(rows, "k long, g string, v double").repartition(7)
+    got = sorted(map(tuple, running(df, ["k"], {"s": ("v", "sum"), "m": ("v", "max"), "i": ("k", "sum")}).select("k", "s", "m", "i").collect()))
+    v = [x[2] for x in rows]
+    assert [x[3] for x in got] == np.cumsum(range(500)).tolist()
+    assert np.allclose([x[1] for x in got], np.cumsum([x or 0 for x in v])) and [x[2] for x in got] == np.maximum.accumulate([x if x is not None else -np.inf for x in v]).tolist()
+    assert sorted(r["n"] for r in numbered(df, ["k"], "n").collect()) == [*range(1, 501)] and numbered(df.limit(0), ["k"], "n").count() == 0
+    q = {r["g"]: (r["a"], r["b"], r["c"]) for r in exact_quantiles(df, "v", {"a": 0.0, "b": 0.37, "c": 1.0}, ["g"]).collect()}
+    for g in {r[1] for r in rows}:
+        mine = [r[2] for r in rows if r[1] == g and r[2] is not None]
+        assert np.allclose(q[g], np.quantile(mine, [0, 0.37, 1]))
+    assert exact_quantiles(df, "v", {"b": 0.5}).first()["b"] == pytest.approx(np.quantile([x for x in v if x is not None], 0.5))
+
+
+def test_imputation_with_controls_weights_and_draws(spark):
+    rng = np.random.default_rng(9)
+    cells = [(u, t) for u in range(12) for t in range(8)]
+    x = rng.normal(size=len(cells))
+    d = np.array([int(u >= 8 and t >= 5) for u, t in cells])
+    y = np.array([u * 0.5 - t for u, t in cells]) + 2 * x + 3 * d + rng.normal(size=len(cells)) * 0.1
+    w = np.array([1 + u % 3 for u, _ in cells])
+    df = spark.createDataFrame([(u, t, float(a), float(b), int(c), int(e), u % 2) for (u, t), a, b, c, e in zip(cells, x, y, d, w, strict=True)], "u int, t int, x double, y double, d int, w int, s int")
+    m = np.c_[x, np.eye(12)[[u for u, _ in cells]], np.eye(8)[[t for _, t in cells]][:, 1:]]
+    for weight in (None, "w"):
+        r = np.sqrt(w) if weight else np.ones(len(w))
+        b, *_ = np.linalg.lstsq((m * r[:, None])[d == 0], (y * r)[d == 0], rcond=None)
+        want = np.average((y - m @ b)[d == 1], weights=r[d == 1] ** 2)
+        assert effects.att(df, "y", F.col("d") == 1, "u", "t", controls=["x"], weight=weight).first()["att"] == pytest.approx(want, abs=1e-6)
+    few = effects.unit_bootstrap(df, "y", "d", "u", "t", 40, stratum="s", controls=["x"]).collect()
+    assert len(few) == 40 and abs(np.mean([r["att"] for r in few if r["att"] is not None]) - 3) < 0.3
+    drawn = effects.unit_weights(df, "u", 3, stratum="s").join(df.select("u", "s").distinct(), "u").groupBy("s").agg(F.sum("weight").alias("n"), F.count("*").alias("m")).collect()
+    assert all(r["n"] == r["m"] for r in drawn)
+    large = effects.unit_bootstrap(df, "y", "d", "u", "t", 2, max_cells=10, done=spark.createDataFrame([(0, 1.5)], "draw int, att double")).collect()
+    assert sorted(r["draw"] for r in large) == [0, 1]
+
+
+def test_equality_of_slopes(spark):
+    fit = effects.Fit(["a", "b", "c"], np.array([1.0, 1.0, 4.0]), np.diag([1.0, 2.0, 0.5]), 10, 5, 4, [])
+    w = 1 / np.diag(fit.vcov)
+    mean = (w @ fit.beta) / w.sum()
+    assert fit.equal(["a", "b", "c"])[:2] == (pytest.approx(float(w @ (fit.beta - mean) ** 2) / 2), 2) and fit.equal(["a", "b"])[0] == 0
+    assert [p[:2] for p in effects.pairwise(fit, ["a", "b", "c"])] == [("a", "b"), ("a", "c"), ("b", "c")]
+
+
+def test_windows_meet_facts_by_month(spark):
+    f = spark.createDataFrame([(D(2024, 1, 31),), (D(2024, 2, 1),), (None,), (D(2030, 1, 1),)], "day date")
+    w = spark.createDataFrame([("a", D(2024, 1, 31), D(2024, 2, 1)), ("b", D(2024, 2, 1), D(2029, 1, 1)), ("empty", D(2024, 3, 1), D(2024, 2, 1)), ("open", None, D(2024, 2, 1))], "name string, from_date date, to_date date")
+    assert sorted((r["name"], r["day"].day) for r in joins.in_windows(f, w, "day").collect()) == [("a", 1), ("a", 31), ("b", 1)]
+
+
+def test_streams_pass_over_repeated_and_late_rows(spark, tmp_path):
+    from panelwright.streaming import streams
+
+    batches = [spark.createDataFrame(x, "k int, v int") for x in ([(1, 1), (2, 1)], [(1, 3)], [(2, 0), (3, 5)])]
+    sink = streams.repeated(streams.latest_state(spark, str(tmp_path / "state"), ["k"], [F.desc("v")]))
+    for n, b in enumerate(batches):
+        sink(b, n)
+    assert sorted(map(tuple, streams.last_version(spark, str(tmp_path / "state")).collect())) == [(1, 3), (2, 0), (3, 5)]
+
+
+def test_a_failed_write_leaves_the_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for v in (1, 2):
+        tables.replace_table(spark.createDataFrame([(v,)], "v int"), path)
+    with pytest.raises(Exception, match="stopped"):
+        tables.replace_table(spark.range(3).select(F.raise_error(F.lit("stopped")).cast("int").alias("v")), path)
+    assert [r["v"] for r in spark.read.parquet(path).collect()] == [2]

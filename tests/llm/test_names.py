@@ -3,7 +3,8 @@ import string
 
 from pyspark.sql import functions as F
 
-from panelwright.llm import graph, names, outlets, payees, setjoin, variants
+from panelwright.llm import names, outlets, payees, setjoin, variants
+from panelwright.operators import graph
 
 
 def osa(a, b):

@@ -52,8 +52,8 @@ class LossyCounter:
             self.counts = {k: c for k, c in self.counts.items() if c[0] + c[1] > b}
 
 
-#: The source under which keys of all rows together are counted.
-ALL = "*"
+#: The source under which keys of all rows together are counted; no site is named so.
+ALL = "\x01all"
 
 
 def candidates(df: DataFrame, source: str, text: str, keys_of: Callable[[str], object], share: float, eps: float, wide: tuple[float, float] | None = None) -> DataFrame:
@@ -100,13 +100,13 @@ def candidates(df: DataFrame, source: str, text: str, keys_of: Callable[[str], o
 class SourceSets:
     """The confirmed or candidate keys of every source, carried to the rows by broadcast or, beyond its bound, by a join."""
 
-    def __init__(self, sets: DataFrame, limit: int = BROADCAST_SET_BYTES):
-        """``sets``: (source, key), already small in proportion to the number of sources."""
+    def __init__(self, sets: DataFrame, limit: int | None = BROADCAST_SET_BYTES):
+        """``sets``: (source, key), already small in proportion to the number of sources; no limit: their number is bounded."""
         self.spark = sets.sparkSession
         size = sets.agg(F.coalesce(F.sum(F.length("key") + 64), F.lit(0))).first()[0]
         self.frame = sets
         self.value = None
-        if size <= limit:
+        if limit is None or size <= limit:
             by: dict[str | None, set[str]] = {}
             for s, k in sets.select("source", "key").toLocalIterator():
                 by.setdefault(s, set()).add(k)

@@ -9,6 +9,8 @@ once more without the paragraphs whose label the first machines contradict, as l
 
 from __future__ import annotations
 
+import copy
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -317,9 +319,25 @@ def paragraphs(df: DataFrame, model: LanguageModel, key: str = "doc_id", text: s
     return df.select(F.col(key), F.col(text), label_code(F.col(lang))).mapInArrow(run, schema)
 
 
+#: Models of the last training samples, by a digest of the sample: the same sample is trained on once a process.
+_MODELS: dict[bytes, LanguageModel] = {}
+
+
+def trained(texts: list[str], labels: list[str]) -> LanguageModel:
+    """The model of a sample; trained anew only if the sample is another than the last ones."""
+    h = hashlib.blake2b(digest_size=16)
+    for t, c in zip(texts, labels, strict=True):
+        h.update(f"{c}\x00{t}\x01".encode("utf-8", "surrogatepass"))
+    if h.digest() not in _MODELS:
+        while len(_MODELS) > 1:
+            _MODELS.pop(next(iter(_MODELS)))
+        _MODELS[h.digest()] = train(texts, labels)
+    return copy.copy(_MODELS[h.digest()])
+
+
 def languages(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Train on a bounded sample of the labelled rows of ``df`` and label all of its paragraphs."""
-    model = train(*training_sample(df, text, lang))
+    model = trained(*training_sample(df, text, lang))
     counts = dict(df.groupBy(label_code(F.col(lang)).alias("code")).count().collect())  # a row for each language
     n = np.array([counts.get(x, 0) + 1.0 for x in LANGUAGES])
     model.share = n / n.sum()

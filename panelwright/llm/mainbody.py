@@ -1,10 +1,10 @@
 """Main body of a web page by line-block distribution, with the furniture of each site taken out.
 
-The text lengths of lines are summed over a sliding window of neighbouring lines; where the sum surges a
-block of running text begins, where it dives the block ends. Lines count with their length only if they
-read as running text and do not belong to the site: the furniture of a site is found from all its pages,
-as lines that a large share of its different pages hold. Inside a block, lines that are neither running
-text nor a subheading between two pieces of it are outside the body again.
+Markup is stripped and the lengths of lines are summed over a sliding window of neighbouring lines. Where the
+curve of these sums surges a block of text begins, where it dives for some lines on end the block ends; blocks
+with a fair share of the page's text are its body. Two corrections go with it: the furniture of a site, found from
+all its pages as lines that a large share of its different pages hold, has no length in the curve; and inside a
+block, lines that are neither running text nor a subheading between two pieces of it are outside the body again.
 """
 
 from __future__ import annotations
@@ -22,10 +22,13 @@ from panelwright.llm.heavy import ALL, SourceSets, candidates, short_key
 from panelwright.session import broadcast_if_small, cut
 from panelwright.sources.tables import table
 
-#: Lines of a window, the least sum of a window in a block, and the lines a block may be interrupted by.
+#: Lines of a window (odd); characters of a window where a block begins, and below which it ends; and the lines on end
+#: that must lie below for that.
 WINDOW = 3
-SURGE_CHARS = 25
-MAX_GAP = 24
+SURGE_CHARS, DIVE_CHARS = 80, 40
+DIVE_LINES = 6
+#: A block is of the body if it has this share of the running text of the largest one.
+BLOCK_SHARE = 0.25
 #: A line is furniture of a site in this share of its different pages, of which there are so many at least.
 SITE_SHARE = 0.15
 SITE_PAGES = 5
@@ -126,6 +129,24 @@ def _subheading(s: str) -> bool:
     return 1 <= len(w) <= _SUBHEAD_WORDS or (len(w) <= _SUBHEAD_WORDS + 2 and not s.endswith("?") and all(x[:1].isupper() for x in w[-2:]) and sum(x[:1].islower() for x in w[1:]) <= 2)
 
 
+def blocks(lengths: list[int]) -> list[tuple[int, int]]:
+    """(first, last) line of each block between a surge point and a dive point of the curve of window sums."""
+    n, half = len(lengths), WINDOW // 2
+    sums = [0] * (n + 1)
+    for k in range(n):
+        sums[k + 1] = sums[k] + lengths[k]
+    out: list[tuple[int, int]] = []
+    start = last = -1
+    for k in range(n):
+        here = sums[min(n, k + half + 1)] - sums[max(0, k - half)]
+        if start >= 0 and here < DIVE_CHARS and k - last > DIVE_LINES:
+            out.append((start, last))
+            start = -1
+        if here >= (DIVE_CHARS if start >= 0 else SURGE_CHARS):
+            start, last = (start if start >= 0 else k), k
+    return [*out, (start, last)] if start >= 0 else out
+
+
 def body_lines(text: str, is_furniture, is_subheading) -> tuple[set[int], list[int]]:
     """(numbers of the body's lines, numbers of all non-blank lines) of a page's text."""
     lines = [(i, y) for i, x in enumerate(text.split("\n")) if (y := _plain_line(x))]
@@ -133,36 +154,22 @@ def body_lines(text: str, is_furniture, is_subheading) -> tuple[set[int], list[i
     keys = [line_key(x) for _, x in lines]
     known = [is_subheading(k) for k in keys]
     furniture = [is_furniture(k) and not h for k, h in zip(keys, known, strict=True)]
-    running = [not f and _running(x) for f, (_, x) in zip(furniture, lines, strict=True)]
-    weight = [len(x) if r else 0 for r, (_, x) in zip(running, lines, strict=True)]
-    # Block of line k: the lengths of its window. A block surges above and dives below SURGE_CHARS.
-    sums = [0] * (n + 1)
-    for k in range(n):
-        sums[k + 1] = sums[k] + weight[k]
-    high = [sums[min(n, k + WINDOW)] - sums[k] >= SURGE_CHARS for k in range(n)]
-    spans: list[list[int]] = []
-    for k in range(n):
-        if high[k] and weight[k]:
-            if spans and k - spans[-1][1] <= MAX_GAP:
-                spans[-1][1] = k
-                spans[-1][2] += weight[k]
-            else:
-                spans.append([k, k, weight[k]])
+    spans = blocks([0 if f else len(x) for f, (_, x) in zip(furniture, lines, strict=True)])
+    near = {k for a, b in spans for k in range(max(0, a - 3), min(n, b + 4))}
+    running = [k in near and not furniture[k] and _running(lines[k][1]) for k in range(n)]
+    weight = [sum(len(lines[k][1]) for k in range(a, b + 1) if running[k]) for a, b in spans]
     body: set[int] = set()
-    if spans:
-        most = max(s[2] for s in spans)
-        for a, b, total in spans:
-            if total * 4 < most:
-                continue
-            inside = [k for k in range(a, b + 1) if running[k]]
-            body.update(inside)
-            # A subheading stands alone between two pieces of running text, furniture left out of account;
-            # one known from other pages, next to one piece.
-            seen = [k for k in range(max(0, a - 3), min(n, b + 4)) if not furniture[k]]
-            for x, k, y in zip([-1, *seen], seen, [*seen[1:], -1], strict=False):
-                before, after = x >= 0 and running[x], y >= 0 and running[y]
-                if not running[k] and ((known[k] and (before or after)) or (before and after and _subheading(lines[k][1]))):
-                    body.add(k)
+    for (a, b), total in zip(spans, weight, strict=True):
+        if not total or total < BLOCK_SHARE * max(weight):
+            continue
+        body.update(k for k in range(a, b + 1) if running[k])
+        # A subheading stands alone between two pieces of running text, furniture left out of account; one known
+        # from other pages, next to one piece.
+        seen = [k for k in range(max(0, a - 3), min(n, b + 4)) if not furniture[k]]
+        for x, k, y in zip([-1, *seen], seen, [*seen[1:], -1], strict=False):
+            before, after = x >= 0 and running[x], y >= 0 and running[y]
+            if not running[k] and ((known[k] and (before or after)) or (before and after and _subheading(lines[k][1]))):
+                body.add(k)
     return {lines[k][0] for k in body}, [i for i, _ in lines]
 
 
@@ -180,10 +187,10 @@ def site_furniture(df: DataFrame, source: str, text: str, url: str) -> DataFrame
     base = df.select(F.col(source).cast("string").alias("__src"), F.expr(page_hash(f"`{url}`")).alias("__page"), F.col(text).alias("__text"))
     found = cut(candidates(base, "__src", "__text", page_keys, SITE_SHARE * 0.8, EPS, (SUBHEAD_SHARE, SUBHEAD_SHARE / 2)))
     own, short = ~F.col("source").eqNullSafe(F.lit(ALL)), F.col("source").eqNullSafe(F.lit(ALL))
-    sets, wide_sets = SourceSets(found.where(own)), SourceSets(found.where(short))
+    # Short lines of all sites are in a two-thousandth of all pages at least: no more of them than two thousand times
+    # the short lines of a mean page.
+    sets, wide_sets = SourceSets(found.where(own)), SourceSets(found.where(short), None)
     get, get_any = sets.getter(), wide_sets.getter()
-    if wide_sets.value is None:
-        raise RuntimeError("the short lines of all sites together are larger than a broadcast value may be; raise BROADCAST_SET_BYTES")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -220,9 +227,8 @@ def outside_lines(df: DataFrame, row_id: str = "page_row", source: str = "source
     """
     kinds = cut(site_furniture(df, source, text, url))
     own_sets = SourceSets(kinds.where("kind = 'site'").select("source", "key"))
-    others = SourceSets(kinds.where("kind <> 'site'").select(F.col("kind").alias("source"), "key"))
-    if others.value is None:
-        raise RuntimeError("the lines of sites in general are larger than a broadcast value may be; raise BROADCAST_SET_BYTES")
+    # These are among the short lines of all sites, or in a third of the pages of two sites: bounded as those are.
+    others = SourceSets(kinds.where("kind <> 'site'").select(F.col("kind").alias("source"), "key"), None)
     get, get_any = own_sets.getter(), others.getter()
     id_type = df.schema[row_id].dataType.simpleString()
 

@@ -48,6 +48,20 @@ def test_mixed_documents_and_edges(spark, model):
     assert language.paragraphs(df.limit(0), model).count() == 0
 
 
+def test_a_sample_is_trained_on_once(monkeypatch):
+    rng = random.Random(4)
+    rows = [(text(rng, c, 20), c) for c in WORDS for _ in range(20)]
+    texts, labels = [t for t, _ in rows], [c for _, c in rows]
+    calls = []
+    real = language.train
+    monkeypatch.setattr(language, "train", lambda *a: calls.append(1) or real(*a))
+    first, second = language.trained(texts, labels), language.trained(texts, labels)
+    first.share = "other"
+    assert len(calls) == 1 and second.share != "other"
+    language.trained(texts[1:], labels[1:])
+    assert len(calls) == 2
+
+
 def test_training_sample_is_bounded(spark):
     df = spark.createDataFrame([(f"frase número {i} de una lista de frases que sirven de muestra", "es" if i % 2 else None) for i in range(50)], "text string, lang string")
     assert len(language.training_sample(df, "text", "lang", 7)[0]) == 7

@@ -65,6 +65,19 @@ def test_sets_go_by_join_beyond_the_broadcast(spark):
     assert standing.line_hits(df, "article_row", "source_id", "main_text", sets).count() == 20
 
 
+def test_blocks_lie_between_surge_and_dive():
+    assert mainbody.blocks([10, 5, 0, 90, 90, 90, 8, 7]) == [(2, 6)]
+    # A short interruption stays in, a long one ends the block; what never surges is in none.
+    assert mainbody.blocks([90] * 3 + [0] * 4 + [90] * 3) == [(0, 9)]
+    assert mainbody.blocks([90] * 3 + [0] * 20 + [90] * 3) == [(0, 3), (22, 25)]
+    assert mainbody.blocks([20] * 30) == mainbody.blocks([]) == []
+
+
+def test_a_sentence_alone_is_no_body():
+    page = "\n".join(["Este sitio guarda archivos.", *["menú"] * 20, "La obra de la carretera se terminará a tiempo según el alcalde de la ciudad.", "Los vecinos dijeron que el pago está pendiente desde hace varios meses.", *["pie"] * 20, "Todo queda en la red."])
+    assert mainbody.body_lines(page, lambda k: False, lambda k: False)[0] == {21, 22}
+
+
 PAGE = """Inicio > Política > Título de la nota
 Título de la nota
 Por Ana Galventes

@@ -22,8 +22,8 @@ from panelwright.llm.heavy import ALL, SourceSets, candidates, short_key
 from panelwright.session import broadcast_if_small, cut
 from panelwright.sources.tables import table
 
-#: Lines of a window (odd); characters of a window where a block begins, and below which it ends; and the lines on end
-#: that must lie below for that.
+#: Lines of a window (odd); characters of a window where a block begins, and below which it ends (on a page whose curve
+#: stays lower, its highest point and half of that); and the lines on end that must lie below for that.
 WINDOW = 3
 SURGE_CHARS, DIVE_CHARS = 80, 40
 DIVE_LINES = 6
@@ -135,14 +135,16 @@ def blocks(lengths: list[int]) -> list[tuple[int, int]]:
     sums = [0] * (n + 1)
     for k in range(n):
         sums[k + 1] = sums[k] + lengths[k]
+    curve = [sums[min(n, k + half + 1)] - sums[max(0, k - half)] for k in range(n)]
+    surge = min(SURGE_CHARS, max(curve, default=0))
+    dive = min(DIVE_CHARS, surge / 2)
     out: list[tuple[int, int]] = []
     start = last = -1
-    for k in range(n):
-        here = sums[min(n, k + half + 1)] - sums[max(0, k - half)]
-        if start >= 0 and here < DIVE_CHARS and k - last > DIVE_LINES:
+    for k, here in enumerate(curve):
+        if start >= 0 and here < dive and k - last > DIVE_LINES:
             out.append((start, last))
             start = -1
-        if here >= (DIVE_CHARS if start >= 0 else SURGE_CHARS):
+        if here and here >= (dive if start >= 0 else surge):
             start, last = (start if start >= 0 else k), k
     return [*out, (start, last)] if start >= 0 else out
 

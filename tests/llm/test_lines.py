@@ -67,10 +67,11 @@ def test_sets_go_by_join_beyond_the_broadcast(spark):
 
 def test_blocks_lie_between_surge_and_dive():
     assert mainbody.blocks([10, 5, 0, 90, 90, 90, 8, 7]) == [(2, 6)]
-    # A short interruption stays in, a long one ends the block; what never surges is in none.
+    # A short interruption stays in, a long one ends the block; a low curve is measured by its highest point.
     assert mainbody.blocks([90] * 3 + [0] * 4 + [90] * 3) == [(0, 9)]
     assert mainbody.blocks([90] * 3 + [0] * 20 + [90] * 3) == [(0, 3), (22, 25)]
-    assert mainbody.blocks([20] * 30) == mainbody.blocks([]) == []
+    assert mainbody.blocks([20] * 30) == [(1, 29)]
+    assert mainbody.blocks([0] * 5) == mainbody.blocks([]) == []
 
 
 def test_a_sentence_alone_is_no_body():

@@ -195,30 +195,32 @@ def soft_similarity(wa: list[str], xa: list[float], wb: list[str], xb: list[floa
     return got / max(sum(xa) + sum(xb), 1e-9)
 
 
-def spelling_links(forms: DataFrame) -> DataFrame:
-    """(a, b): each spelling with the one it is a slip of; forms: (id, name, words, n, mark), one row for each name.
+def spelling_facts(forms: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """(forms with the weights of their words, (w, c, weight) of all words, how often a slip is usually written)."""
+    forms = forms.where("name <> ''")
+    # How often a slip is written: of all forms the lower quarter, so that a table repeated k times gives the same.
+    slip = forms.agg(F.percentile_approx("n", 0.25)).first()[0] or 1
+    n = forms.count()
+    each = forms.select("id", F.explode(F.array_distinct("words")).alias("w"))
+    counts = cut(each.groupBy("w").agg(F.count("*").alias("c"))).withColumn("weight", F.log(F.lit(float(max(n, 2)) + 1) / F.col("c")))
+    weight = each.join(counts, "w").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("w", "weight"))).alias("of"))
+    return cut(forms.join(weight, "id").withColumn("weights", F.transform("words", lambda w: F.element_at("of", w))).drop("of")), counts, slip
 
-    ``n`` says how often a form is written. Forms whose ``mark`` is known and more than one letter apart are never linked.
-    Candidates share an alike word among their rarest ones, found by the q-grams of words; names run together are found by
-    their own q-grams. They are verified by the soft similarity of their words, in which rare words weigh more, and by
-    the distance of their letters. What depends on how often a form is written depends on ratios only.
-    """
+
+def spelling_candidates(forms: DataFrame, counts: DataFrame) -> DataFrame:
+    """(a, b): pairs of names that share an alike word among their rarest ones, found by a prefix-filtered join on the
+    q-grams of words, and of names run together with all others, found by their own q-grams. What tells early that two
+    names are too far apart (length, letters in order, mark) goes with their words into the join."""
 
     def with_grams(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             yield pd.DataFrame({"id": p["id"], "grams": [grams([*w]) for w in p["words"]], "alone": p["alone"]})
 
-    # What tells early that two names are too far apart goes with their words into the join: length, letters in order, mark.
     letters = F.array_join(F.array_sort(F.split("name", "")), "")
-    forms = forms.where("name <> ''")
-    # How often a slip is written: of all forms the lower quarter, so that a table repeated k times gives the same.
-    slip = forms.agg(F.percentile_approx("n", 0.25)).first()[0] or 1
-    n = forms.count()
     each = forms.select("id", F.explode(F.array_distinct("words")).alias("w"))
-    counts = cut(each.groupBy("w").agg(F.count("*").alias("c"))).withColumn("weight", F.log(F.lit(float(max(n, 2)) + 1) / F.col("c")))
     alike = alike_words(counts.where(F.length("w") >= 4).select("w"))
     facts = forms.select("id", F.length("name").alias("len"), letters.alias("letters"), "mark")
-    words = rarest_words(each, counts).join(facts, "id")
+    words = rarest_words(each, counts.select("w", "weight")).join(facts, "id")
     near = words.join(alike, F.col("w") == F.col("a")).select("id", "len", "letters", "mark", F.col("b").alias("v"))
     near = near.unionByName(words.where(F.length("w") < 4).select("id", "len", "letters", "mark", F.col("w").alias("v")))
     most = 2 * int(NAME_MOST / 0.7)
@@ -229,12 +231,36 @@ def spelling_links(forms: DataFrame) -> DataFrame:
     # Names run together have no words of their own: they are compared as one word with the joined forms of all.
     joined = forms.select("id", F.array("name").alias("words"), (F.size("words") == 1).alias("alone"))
     joined = joined.mapInPandas(with_grams, "id string, grams array<string>, alone boolean")
-    pairs = cut(pairs.unionByName(similar_sets(joined, JOINED_JACCARD, asks="alone").select("a", "b")).distinct())
-    weight = each.join(counts, "w").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("w", "weight"))).alias("of"))
-    full = forms.join(weight, "id").withColumn("weights", F.transform("words", lambda w: F.element_at("of", w))).drop("of")
+    return cut(pairs.unionByName(similar_sets(joined, JOINED_JACCARD, asks="alone").select("a", "b")).distinct())
+
+
+def spelling_distance(a: tuple, b: tuple, slip: float) -> float | None:
+    """Distance of two spellings (name, words, weights, times written) of one name; None if they are not."""
+    (na, wa, xa, ma), (nb, wb, xb, mb) = a, b
+    d = _name_distance(na, wa, nb, wb)
+    if d is None:
+        return None
+    lo, hi = min(ma, mb), max(ma, mb)
+    if (lo >= OFTEN * slip and hi < OFTEN_LEAD * lo) or (lo > slip and d >= FAR and hi < FAR_LEAD * lo):
+        return None
+    # Words that run together or are split differently are judged by their letters alone.
+    if len(wa) == len(wb) > 1 and soft_similarity(wa, xa, wb, xb) < SOFT:
+        return None
+    return d
+
+
+def spelling_links(forms: DataFrame) -> DataFrame:
+    """(a, b): each spelling with the one it is a slip of; forms: (id, name, words, n, mark), one row for each name.
+
+    ``n`` says how often a form is written. Forms whose ``mark`` is known and more than one letter apart are never linked.
+    Candidates are verified by the soft similarity of their words, in which rare words weigh more, and by the distance
+    of their letters. What depends on how often a form is written depends on ratios only.
+    """
+    forms, counts, slip = spelling_facts(forms)
+    pairs = spelling_candidates(forms, counts)
     columns = ("id", "name", "words", "n", "mark", "weights")
-    left = full.select(*[F.col(c).alias(f"{c}_a") for c in columns])
-    right = full.select(*[F.col(c).alias(f"{c}_b") for c in columns])
+    left = forms.select(*[F.col(c).alias(f"{c}_a") for c in columns])
+    right = forms.select(*[F.col(c).alias(f"{c}_b") for c in columns])
     both = pairs.join(left, F.col("a") == F.col("id_a")).join(right, F.col("b") == F.col("id_b")).where(F.coalesce(F.levenshtein("mark_a", "mark_b") <= 1, F.lit(True)))
 
     def verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -242,17 +268,9 @@ def spelling_links(forms: DataFrame) -> DataFrame:
             p = p[may_be_alike(p["name_a"].tolist(), p["name_b"].tolist())]
             out = []
             for a, b, na, wa, xa, ma, nb, wb, xb, mb in zip(*(p[c] for c in ("a", "b", "name_a", "words_a", "weights_a", "n_a", "name_b", "words_b", "weights_b", "n_b")), strict=True):
-                wa, wb = [*wa], [*wb]
-                d = _name_distance(na, wa, nb, wb)
-                if d is None:
-                    continue
-                lo, hi = min(ma, mb), max(ma, mb)
-                if (lo >= OFTEN * slip and hi < OFTEN_LEAD * lo) or (lo > slip and d >= FAR and hi < FAR_LEAD * lo):
-                    continue
-                # Words that run together or are split differently are judged by their letters alone.
-                if len(wa) == len(wb) > 1 and soft_similarity(wa, [*xa], wb, [*xb]) < SOFT:
-                    continue
-                out.append((a, b, ma, mb, d))
+                d = spelling_distance((na, [*wa], [*xa], ma), (nb, [*wb], [*xb], mb), slip)
+                if d is not None:
+                    out.append((a, b, ma, mb, d))
             yield pd.DataFrame(out, columns=["a", "b", "n_a", "n_b", "d"]).astype({"a": "object", "b": "object", "n_a": "int64", "n_b": "int64", "d": "float64"})
 
     near = cut(both.mapInPandas(verify, "a string, b string, n_a long, n_b long, d double"))
@@ -268,7 +286,7 @@ def organisation_classes(labels: DataFrame, places: frozenset[str]) -> DataFrame
     def keyed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             got = [(x, n, *name_keys(x, places)) for x, n in zip(p["label"], p["n"], strict=True) if not remark(x)]
-            yield pd.DataFrame([g for g in got if g[2]], columns=["label", "n", "name", "keys", "words"])
+            yield pd.DataFrame([g for g in got if g[3]], columns=["label", "n", "name", "keys", "words"])
 
     distinct = labels.select("label").dropna().groupBy("label").agg(F.count("*").alias("n"))
     named = cut(distinct.mapInPandas(keyed, "label string, n long, name string, keys array<string>, words array<string>"))
@@ -398,6 +416,40 @@ def _most_evidence() -> Column:
     return name + tel + place + org
 
 
+def person_candidates(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((a, b), records with ``tells``, the words of each name that tell persons apart): pairs of records (id, words, place,
+    tel, org) that share an alike word among the rarest of their names and could be one person by all else that is known."""
+    # How rare a word is: counted over distinct names, so that one person with many rows does not make it common.
+    names = cut(records.select("words").distinct())
+    n = names.count()
+    split = lambda df, *keep: df.select(*keep, F.explode(F.array_distinct(F.split("words", " "))).alias("w"))
+    counts = cut(split(names).groupBy("w").agg(F.count("*").alias("c"))).withColumn("weight", F.log(F.lit(float(max(n, 2))) / F.col("c")))
+    each = split(names, F.col("words").alias("id"))
+    alike = alike_words(counts.where(F.length("w") >= 4).select("w"))
+    rare = rarest_words(each, counts).select(F.col("id").alias("words"), "w")
+    tells = split(names, "words").join(counts.where((F.col("weight") >= TELLING) | (F.col("c") <= FEW)), "w").groupBy("words").agg(F.collect_list("w").alias("tells"))
+    records = cut(records.join(tells, "words", "left"))
+    # What else is known goes with the words into the join, so that pairs that no name can save are never built.
+    facts = [F.col(c) for c in ("id", "place", "tel", "org")]
+    words = records.join(rare, "words").select(*facts, "w", F.size(F.split("words", " ")).alias("k"))
+    near = words.join(alike, F.col("w") == F.col("a")).select(*facts, "k", F.col("b").alias("v"))
+    near = near.unionByName(words.where(F.length("w") < 4).select(*facts, "k", F.col("w").alias("v")))
+    x, y = near.alias("x"), words.alias("y")
+    pairs = x.join(y, (F.col("v") == F.col("y.w")) & (F.col("x.id") < F.col("y.id")) & (_most_evidence() >= PERSON_LINK)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    return cut(pairs), records
+
+
+def person_evidence(a: tuple, b: tuple) -> tuple[float, bool]:
+    """(what two records (words, place, tel, org, tells) are worth as one person, whether more than the name speaks for it)."""
+    (wa, pa, ta, oa, ra), (wb, pb, tb, ob, rb) = a, b
+    more = [_tel_evidence(ta, tb), _place_evidence(pa, pb), 0.0 if not oa or not ob else 1.5 if oa == ob else -0.5]
+    if BEST_NAME + sum(more) < PERSON_LINK:
+        return 0.0, False
+    rare = {*(() if ra is None else ra), *(() if rb is None else rb)}
+    s = person_alike(wa.split(" "), wb.split(" "), lambda w: TELLING + 1 if w in rare else 1.0)
+    return (s + sum(more) if s else 0.0), max(more) > 0.5
+
+
 def person_classes(rows: DataFrame) -> DataFrame:
     """(row_id, person) of rows (row_id, name, place, tel, org): persons told apart by name and what else is known.
 
@@ -416,23 +468,7 @@ def person_classes(rows: DataFrame) -> DataFrame:
     # Rows that say the same are one record; its number is its least row.
     same = ["words", "place", "tel", "org"]
     records = cut(clean.groupBy(*same).agg(F.min("row_id").alias("id")))
-    # How rare a word is: counted over distinct names, so that one person with many rows does not make it common.
-    names = cut(records.select("words").distinct())
-    n = names.count()
-    split = lambda df, *keep: df.select(*keep, F.explode(F.array_distinct(F.split("words", " "))).alias("w"))
-    counts = cut(split(names).groupBy("w").agg(F.count("*").alias("c"))).withColumn("weight", F.log(F.lit(float(max(n, 2))) / F.col("c")))
-    each = split(names, F.col("words").alias("id"))
-    alike = alike_words(counts.where(F.length("w") >= 4).select("w"))
-    rare = rarest_words(each, counts).select(F.col("id").alias("words"), "w")
-    tells = split(names, "words").join(counts.where((F.col("weight") >= TELLING) | (F.col("c") <= FEW)), "w").groupBy("words").agg(F.collect_list("w").alias("tells"))
-    records = cut(records.join(tells, "words", "left"))
-    # What else is known goes with the words into the join, so that pairs that no name can save are never built.
-    facts = [F.col(c) for c in ("id", "place", "tel", "org")]
-    words = records.join(rare, "words").select(*facts, "w", F.size(F.split("words", " ")).alias("k"))
-    near = words.join(alike, F.col("w") == F.col("a")).select(*facts, "k", F.col("b").alias("v"))
-    near = near.unionByName(words.where(F.length("w") < 4).select(*facts, "k", F.col("w").alias("v")))
-    x, y = near.alias("x"), words.alias("y")
-    pairs = x.join(y, (F.col("v") == F.col("y.w")) & (F.col("x.id") < F.col("y.id")) & (_most_evidence() >= PERSON_LINK)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    pairs, records = person_candidates(records)
     more = [*same, "tells"]
     left = records.select(F.col("id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in more])
     right = records.select(F.col("id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in more])
@@ -440,15 +476,12 @@ def person_classes(rows: DataFrame) -> DataFrame:
 
     def verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
+            sides = [zip(*(p[f"{c}_{x}"] for c in more), strict=True) for x in "ab"]
             out = []
-            for a, b, wa, wb, pa, pb, ta, tb, oa, ob, ra, rb in zip(*(p[c] for c in ("a", "b", "words_a", "words_b", "place_a", "place_b", "tel_a", "tel_b", "org_a", "org_b", "tells_a", "tells_b")), strict=True):
-                more = [_tel_evidence(ta, tb), _place_evidence(pa, pb), 0.0 if not oa or not ob else 1.5 if oa == ob else -0.5]
-                if BEST_NAME + sum(more) < PERSON_LINK:
-                    continue
-                rare = {*(() if ra is None else ra), *(() if rb is None else rb)}
-                s = person_alike(wa.split(" "), wb.split(" "), lambda w, rare=rare: TELLING + 1 if w in rare else 1.0)
-                if s and s + sum(more) >= PERSON_LINK:
-                    out.append((a, b, max(more) > 0.5))
+            for a, b, x, y in zip(p["a"], p["b"], *sides, strict=True):
+                worth, sure = person_evidence(x, y)
+                if worth >= PERSON_LINK:
+                    out.append((a, b, sure))
             yield pd.DataFrame(out, columns=["a", "b", "sure"]).astype({"a": "int64", "b": "int64", "sure": "bool"})
 
     links = cut(both.mapInPandas(verify, "a long, b long, sure boolean"))

@@ -222,3 +222,68 @@ def test_payees(spark):
     got = {r["contract_id"]: best[r["payee"]][0] for r in who.collect() if best.get(r["payee"], (0, 0))[1] >= payees.SURE}
     assert got == {1: 1, 2: 1, 3: 1, 4: 2}
     assert payees.payee_matches(df.limit(0), reg)[1].count() == 0
+
+
+def records_of(spark, folder):
+    """Persons' records of accreditations, as they are compared."""
+    t = spark.read.parquet(f"{folder}/accreditations.parquet").select(F.col("accred_id").alias("row_id"), F.col("reporter").alias("name"), F.col("estado").alias("place"), F.col("tel_final").alias("tel"), F.col("medios").alias("org"))
+    rows = [(r["row_id"], " ".join(variants.person_words(r["name"])), " ".join(names.tokens(r["place"])) if r["place"] else None, r["tel"], r["org"]) for r in t.collect()]
+    return spark.createDataFrame([r for r in rows if " " in r[1]], "id long, words string, place string, tel string, org string").dropDuplicates(["words", "place", "tel", "org"])
+
+
+def test_candidates_of_persons_against_all_pairs(spark, data):
+    """Every record whose id is divisible by 20 against all: the search finds nine of ten links, and in fact nearly all."""
+    pairs, full = variants.person_candidates(records_of(spark, data.replace("sf0.001", "sf0.01")))
+    found = {(r["a"], r["b"]) for r in pairs.collect()}
+    all_ = [(r["id"], (r["words"], r["place"], r["tel"], r["org"], r["tells"])) for r in full.collect()]
+    want = {(min(a, b), max(a, b)) for a, x in all_ if a % 20 == 0 for b, y in all_ if a != b and variants.person_evidence(x, y)[0] >= variants.PERSON_LINK}
+    assert want and len(want & found) >= 0.97 * len(want)
+
+
+def forms_of(spark, folder):
+    t = spark.read.parquet(f"{folder}/accreditations.parquet").select("medios").dropna().groupBy("medios").count()
+    got: dict = {}
+    for label, n in t.collect():
+        if not variants.remark(label):
+            name, keys, words = variants.name_keys(label, frozenset())
+            if name:
+                old = got.get(name)
+                got[name] = (label, name, words, n + (old[3] if old else 0), None)
+    return spark.createDataFrame([*got.values()], "id string, name string, words array<string>, n long, mark string")
+
+
+def test_candidates_of_organisations_against_all_pairs(spark, data):
+    """Every twentieth name against all names."""
+    forms, counts, slip = variants.spelling_facts(forms_of(spark, data.replace("sf0.001", "sf0.01")))
+    found = {(r["a"], r["b"]) for r in variants.spelling_candidates(forms, counts).collect()}
+    all_ = sorted((r["id"], (r["name"], list(r["words"]), list(r["weights"]), r["n"])) for r in forms.collect())
+    want = {(min(a, b), max(a, b)) for a, x in all_[::20] for b, y in all_ if a != b and variants.spelling_distance(x, y, slip) is not None}
+    assert want and len(want & found) >= 0.95 * len(want)
+
+
+def test_repeated_rows_do_not_change_classes(spark, data):
+    rows = [("El Faro de Gorvecorcuaro", 12), ("El Faro de Gorvecorcuraro", 2), ("El Faro de Gorvecrocuarro", 1), ("Portal Lumbretinta", 3), ("Portal Lumbretinto", 3), ("Zeta", 1), ("EFE", 2), ("Canal 22", 1), ("canal-22", 1), ("radio", 1), ("Radio.", 1)]
+    classes = []
+    for k in (1, 3, 10):
+        df = spark.createDataFrame([(x,) for x, n in rows for _ in range(n * k)], "label string")
+        classes.append({r["label"]: r["org"] for r in variants.organisation_classes(df, frozenset()).collect()})
+    assert classes[0] == classes[1] == classes[2]
+    assert classes[0]["Canal 22"] == classes[0]["canal-22"] and "radio" not in classes[0] and {"Zeta", "EFE"} <= set(classes[0])
+
+
+def test_a_person_with_most_rows_is_one(spark):
+    rows = [(k, "Juana Bormanda Ciltrupe", "Altamar", "1234", f"org {k}") for k in range(60)] + [(100 + k, "Juana Bormanda Ciltrupe", None, None, f"org {k}") for k in range(60)] + [(200 + k, f"Luis {chr(98 + k % 20)}orta{chr(97 + k // 20)} Vela{chr(99 + k % 20)}", "San Telmo", f"{k:04d}", None) for k in range(60)]
+    got = {r["row_id"]: r["person"] for r in variants.person_classes(spark.createDataFrame(rows, "row_id long, name string, place string, tel string, org string")).collect()}
+    assert len({got[k] for k in range(60)}) == 1 and all(got[k] == got[k + 100] for k in range(60))
+
+
+def test_pairs_of_large_classes(spark, monkeypatch):
+    monkeypatch.setattr(variants, "CLASS_PART", 3)
+    rows = [(k, "a") for k in range(11)] + [(50, "b"), (51, "b"), (60, "c")]
+    got = sorted((r["id_a"], r["id_b"]) for r in variants.class_pairs(spark.createDataFrame(rows, "i long, g string"), "x", "i", "g").collect())
+    assert got == sorted([(a, b) for a in range(11) for b in range(a + 1, 11)] + [(50, 51)])
+
+
+def test_places_two_exchanges_apart_are_one():
+    assert variants._place_evidence("puebla de zaragoza", "pubela de zaragzoa") == 1.0
+    assert variants.soft_similarity(["radio", "zerquillo"], [0.1, 5.0], ["radio", "valmonte"], [0.1, 5.0]) < 0.1 < 0.9 < variants.soft_similarity(["radio", "zerquillo"], [0.1, 5.0], ["zerquilo", "radio"], [5.0, 0.1])

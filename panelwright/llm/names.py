@@ -22,7 +22,7 @@ SHORT = {
 }
 LINKS = frozenset("de del la las el los y e d".split())
 ARTICLES = frozenset("el la los las".split())
-#: What is written before and after a name without belonging to it.
+#: What is written before and after a name without belonging to it; top-level domains, also the one reserved for examples.
 BEFORE = (
     "www", "http", "https", "corresponsal de", "corresponsalia de", "reportero de", "reportera de", "periodista de", "enviado de", "equipo de", "redaccion de", "redaccion",
     "noticiero nocturno de", "noticiero matutino de", "noticiero vespertino de", "noticiero de", "organizacion", "empresa", "medio", "grupo",

@@ -33,7 +33,10 @@ def similar_sets(sets: DataFrame, threshold: float, key: str = "id", items: str
     count = each.groupBy("g").agg(F.count("*").alias("n"))
     ordered = each.join(count, "g").groupBy("id", "ask").agg(F.sort_array(F.collect_list(F.struct("n", "g"))).alias("o"))
     ordered = ordered.select("id", "ask", F.transform("o", lambda x: x["g"]).alias("o"))
-    ordered = cut(ordered)
+    # Sets are few bytes for the pairs they make: they are spread over all cores and not put together again.
+    spark = sets.sparkSession
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ordered = cut(ordered.repartition(tasks))
     n = F.size("o")
     first = ordered.select("id", "ask", n.alias("n"), F.explode(F.slice("o", F.lit(1), (n - F.ceil(F.lit(threshold - 1e-9) * n) + 1).cast("int"))).alias("g"))
     x, y = first.alias("x"), first.alias("y")

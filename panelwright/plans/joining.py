@@ -128,7 +128,7 @@ def _(spark, d):
 
 @query(
     "j16_dated_links",
-    """with r as (select fecha, medios, min(outlet_final) as canonical from attendance group by 1,2), l as (select attendance_row, fecha, medios, lower(medios) as canonical from attendance where medios is not null and attendance_row % 7 = 0)
+    """with r as (select fecha, medios, min(outlet_final) as canonical from attendance group by 1,2), l as (select attendance_row, fecha, medios, lower(medios) as canonical from attendance where medios is not null)
     select attendance_row, case when r.canonical is null then 'absent' when r.canonical = l.canonical then 'ok' else 'differs' end as link_status from l left join r on l.fecha=r.fecha and l.medios=r.medios""",
 )
 def _(spark, d):

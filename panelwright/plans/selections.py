@@ -119,7 +119,7 @@ def _(spark, d):
 
 @query(
     "proj_p14_support",
-    """with recursive e0 as (select distinct user_id, cast(ts as date) as day from events where event_type='error' and user_id % 2 = 0),
+    """with recursive e0 as (select distinct user_id, cast(ts as date) as day from events where event_type='error'),
     a as (select * from e0 where user_id in (select user_id from e0 group by 1 having count(*) >= 8)),
     b as (select * from a where day in (select day from a group by 1 having count(*) >= 5)),
     c as (select * from b where user_id in (select user_id from b group by 1 having count(*) >= 8)),

@@ -162,7 +162,7 @@ def payees(contracts: DataFrame) -> DataFrame:
     # Slips of a name that no tax code ties to it: joined by their spelling, unless the dates of their codes differ.
     forms = rows.where("name is not null").groupBy("name").agg(F.min("words").alias("w"), F.count("*").alias("n"), F.mode("day", True).alias("mark"))
     forms = cut(forms.select(F.col("name").alias("id"), "name", F.array_except(F.split("w", " "), F.array(*[F.lit(x) for x in sorted(LINKS)])).alias("words"), "n", "mark"))
-    slips = spelling_links(forms).select(node("n", "a").alias("a"), node("n", "b").alias("b"))
+    slips = spelling_links(forms, word_edits=2, word_jaccard=0.3).select(node("n", "a").alias("a"), node("n", "b").alias("b"))
     roots = cut(components(pairs.dropna().unionByName(slips)))
     rows = rows.withColumn("node", F.coalesce(node("n", "name"), node("c", "code"), F.xxhash64(F.lit("r"), "contract_id")))
     rows = rows.join(roots, F.col("node") == F.col("id"), "left").withColumn("payee", F.coalesce("root", "node"))

@@ -46,7 +46,9 @@ PERSON_LINK = 2.0
 BEST_NAME, BEST_PARTIAL = 2.5, 1.4
 #: Rows of a class that are paired with all of it in one part.
 CLASS_PART = 5_000
-WORD_JACCARD = 0.3
+WORD_JACCARD = 0.25
+#: Plain edits between two alike words: exchanged neighbours are two each, and two of them lie within the bound of names.
+WORD_EDITS = 4
 #: The words of a name that are left out of the search weigh less than this share of all.
 REST = 0.35
 JOINED_JACCARD = 0.5
@@ -127,15 +129,22 @@ def _name_distance(a: str, wa: list[str], b: str, wb: list[str]) -> float | None
     return best
 
 
-def alike_words(vocabulary: DataFrame) -> DataFrame:
-    """(a, b) in both directions and with itself: words (w) within two edits, found by their q-grams."""
+def alike_words(vocabulary: DataFrame, edits: int = WORD_EDITS, jaccard: float = WORD_JACCARD) -> DataFrame:
+    """(a, b) in both directions and with itself: words (w) no farther apart than names may be and no more than so many
+    plain edits, found by their q-grams."""
 
     def with_grams(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             yield pd.DataFrame({"id": p["w"], "grams": [grams([w]) for w in p["w"]]})
 
-    pairs = similar_sets(vocabulary.mapInPandas(with_grams, "id string, grams array<string>"), WORD_JACCARD)
-    pairs = pairs.where(F.levenshtein("a", "b") <= 2).select("a", "b")
+    def near(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            p = p[may_be_alike(p["a"].tolist(), p["b"].tolist(), False)]
+            yield p[[weighted_distance(a, b, NAME_MOST) <= NAME_MOST for a, b in zip(p["a"], p["b"], strict=True)]]
+
+    pairs = similar_sets(vocabulary.mapInPandas(with_grams, "id string, grams array<string>"), jaccard)
+    pairs = pairs.where(F.levenshtein("a", "b", edits) >= 0).select("a", "b")
+    pairs = cut(pairs.mapInPandas(near, "a string, b string"))
     return cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(vocabulary.select(F.col("w").alias("a"), F.col("w").alias("b"))))
 
 
@@ -164,8 +173,8 @@ def _letter_counts(name: str) -> bytes:
     return bytes(out)
 
 
-def may_be_alike(a: list[str], b: list[str]) -> np.ndarray:
-    """Whether two names may be within the greatest distance, whatever the order of their words.
+def may_be_alike(a: list[str], b: list[str], strict: bool = True) -> np.ndarray:
+    """Whether two names may be within the greatest distance, whatever the order of their words; strict: less for short ones.
 
     An edit of two letters' counts costs at least 0.7, one of a single letter's at least 0.7, and a turn changes none.
     """
@@ -175,7 +184,7 @@ def may_be_alike(a: list[str], b: list[str]) -> np.ndarray:
     apart = np.abs(x - y).sum(axis=1)
     la, lb = np.fromiter(map(len, a), np.int64, len(a)), np.fromiter(map(len, b), np.int64, len(b))
     short = np.minimum(la, lb) < 9
-    most = np.where(short, 1.0, NAME_MOST)
+    most = np.where(short & strict, 1.0, NAME_MOST)
     d = np.abs(la - lb)
     return apart <= d + 2 * np.floor(np.maximum(most - 0.7 * d, 0) / 0.7 + 1e-9)
 
@@ -207,7 +216,7 @@ def spelling_facts(forms: DataFrame) -> tuple[DataFrame, DataFrame, float]:
     return cut(forms.join(weight, "id").withColumn("weights", F.transform("words", lambda w: F.element_at("of", w))).drop("of")), counts, slip
 
 
-def spelling_candidates(forms: DataFrame, counts: DataFrame) -> DataFrame:
+def spelling_candidates(forms: DataFrame, counts: DataFrame, word_edits: int = WORD_EDITS, word_jaccard: float = WORD_JACCARD) -> DataFrame:
     """(a, b): pairs of names that share an alike word among their rarest ones, found by a prefix-filtered join on the
     q-grams of words, and of names run together with all others, found by their own q-grams. What tells early that two
     names are too far apart (length, letters in order, mark) goes with their words into the join."""
@@ -218,7 +227,7 @@ def spelling_candidates(forms: DataFrame, counts: DataFrame) -> DataFrame:
 
     letters = F.array_join(F.array_sort(F.split("name", "")), "")
     each = forms.select("id", F.explode(F.array_distinct("words")).alias("w"))
-    alike = alike_words(counts.where(F.length("w") >= 4).select("w"))
+    alike = alike_words(counts.where(F.length("w") >= 4).select("w"), word_edits, word_jaccard)
     facts = forms.select("id", F.length("name").alias("len"), letters.alias("letters"), "mark")
     words = rarest_words(each, counts.select("w", "weight")).join(facts, "id")
     near = words.join(alike, F.col("w") == F.col("a")).select("id", "len", "letters", "mark", F.col("b").alias("v"))
@@ -249,15 +258,16 @@ def spelling_distance(a: tuple, b: tuple, slip: float) -> float | None:
     return d
 
 
-def spelling_links(forms: DataFrame) -> DataFrame:
+def spelling_links(forms: DataFrame, word_edits: int = WORD_EDITS, word_jaccard: float = WORD_JACCARD) -> DataFrame:
     """(a, b): each spelling with the one it is a slip of; forms: (id, name, words, n, mark), one row for each name.
 
     ``n`` says how often a form is written. Forms whose ``mark`` is known and more than one letter apart are never linked.
     Candidates are verified by the soft similarity of their words, in which rare words weigh more, and by the distance
-    of their letters. What depends on how often a form is written depends on ratios only.
+    of their letters. What depends on how often a form is written depends on ratios only. ``word_edits``, ``word_jaccard``:
+    how far apart the word they share may be; less where names are close to one another and codes tie most slips.
     """
     forms, counts, slip = spelling_facts(forms)
-    pairs = spelling_candidates(forms, counts)
+    pairs = spelling_candidates(forms, counts, word_edits, word_jaccard)
     columns = ("id", "name", "words", "n", "mark", "weights")
     left = forms.select(*[F.col(c).alias(f"{c}_a") for c in columns])
     right = forms.select(*[F.col(c).alias(f"{c}_b") for c in columns])

@@ -287,3 +287,57 @@ def test_pairs_of_large_classes(spark, monkeypatch):
 def test_places_two_exchanges_apart_are_one():
     assert variants._place_evidence("puebla de zaragoza", "pubela de zaragzoa") == 1.0
     assert variants.soft_similarity(["radio", "zerquillo"], [0.1, 5.0], ["radio", "valmonte"], [0.1, 5.0]) < 0.1 < 0.9 < variants.soft_similarity(["radio", "zerquillo"], [0.1, 5.0], ["zerquilo", "radio"], [5.0, 0.1])
+
+
+def shuffled_rows(df):
+    """Rows that the exchanges of a query wrote; the query is run."""
+    df.collect()
+    todo, n = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            n += node.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return n
+
+
+def test_sets_that_are_not_similar_are_never_paired_on_disk(spark):
+    rows = [(k, [f"own {k} {j}" for j in range(5)] + [f"all {j}" for j in range(5)]) for k in range(200)] + [(900, ["a", "b", "c"]), (901, ["a", "b"])]
+    found = setjoin.similar_sets(spark.createDataFrame(rows, "id long, grams array<string>"), 0.5)
+    # Each set goes to its first six items on both sides; all pairs were 19,900 rows.
+    assert shuffled_rows(found) < 5_000
+    assert [(r["a"], r["b"]) for r in found.collect()] == [(900, 901)]
+
+
+def test_persons_whose_other_words_differ_are_no_candidates(spark):
+    given = ("bortaquex", "celvindro", "damzelpan", "filwogrim", "gusyubal", "hulmandor", "janquespi", "korlinfa", "lisgomber", "murdachel")
+    rng = random.Random(13)
+    rows = [(k, f"{g} ciltrupenda", "altamar", None) for k, g in enumerate(given)] + [(100, "bortaqeux ciltrupenda", "altamar", None), (101, "b ciltrupenda", "altamar", "1234")]
+    rows += [(1000 + k, f"{given[k % 10]} {''.join(rng.choices(string.ascii_lowercase, k=9))}", "altamar", None) for k in range(400)]
+    records = spark.createDataFrame([(*r, None) for r in rows], "id long, words string, place string, tel string, org string")
+    pairs = {(r["a"], r["b"]) for r in variants.person_candidates(records)[0].where("b < 1000").collect()}
+    # Of 66 pairs that share the family name and the place.
+    assert pairs == {(0, 100), (0, 101), (100, 101)}
+
+
+def test_what_may_be_a_word_holds_all_alike_words(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abceilmnorstu", k=rng.randint(1, 9))) for _ in range(1500)]
+    pairs = [(w, slips(rng, w, rng.randint(1, 3)) if len(w) > 4 else rng.choice(words)) for w in words] + [(w, w[: rng.randint(1, len(w))]) for w in words] + [(a, b) for a, b in zip(words, reversed(words), strict=True)]
+    pairs = [p for p in pairs if variants._word_alike(*p) > 0]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert len(pairs) > 1500 and df.where(~variants._may_be_word(F.col("a"), F.col("b"))).count() == 0
+
+
+def test_names_alike_in_few_words_meet_either_way(spark):
+    """A slip may be in the name with the smaller or the greater number, in a rare or a common word."""
+    rows = [("z1", "faro gorvecuaro", 9), ("a1", "faro gorveucaro", 1), ("b1", "portal lumbretinta", 1), ("y1", "portal lumbretnita", 9), ("c1", "lumbretinta verde", 2), ("d1", "rumbo ya", 1), ("e1", "rumbo ya", 2)]
+    df = spark.createDataFrame([(i, w.replace(" ", ""), w.split(" "), n, None) for i, w, n in rows], "id string, name string, words array<string>, n long, mark string")
+    forms, counts, _ = variants.spelling_facts(df)
+    got = [(r["a"], r["b"]) for r in variants.spelling_candidates(forms, counts).collect()]
+    assert {("a1", "z1"), ("b1", "y1"), ("d1", "e1")} <= set(got) and len(got) == len(set(got)) and all(a < b for a, b in got)
